@@ -27,7 +27,7 @@ WITH fine AS (
   FROM items
 ), pairs AS (
   SELECT s.card_id, s.document_id, a.fact_key AS later_key, b.fact_key AS earlier_key,
-    a.value IS DISTINCT FROM b.value OR a.status IS DISTINCT FROM b.status AS differs
+    b.fact_key IS NULL OR a.value IS DISTINCT FROM b.value OR a.status IS DISTINCT FROM b.status AS differs
   FROM seq s JOIN facts a ON a.card_id = s.card_id AND a.document_id = s.document_id
   LEFT JOIN facts b ON b.card_id = s.card_id AND b.document_id = s.before AND b.fact_key = a.fact_key
   UNION ALL
