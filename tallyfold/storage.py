@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_paths: dict[int, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,4 +46,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tallyfold/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _paths[id(back)] = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table of `written` that nothing reads any more, before the application ends."""
+    path = _paths.pop(id(df), None)
+    if path:
+        _remove(df.sparkSession, path)
