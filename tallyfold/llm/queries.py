@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import consistent, leaks, mixing, percentiles, splitting
+from tallyfold.llm import consistent, leaks, mixing, nearcopies, percentiles, splitting
 from tallyfold.sources.tables import table
 
 
@@ -30,6 +30,7 @@ QUERIES = {
     "p2_coarse": coarse_percentiles,
     "p3_found": lambda spark, d: splitting.found(table(spark, d, "blocks"), table(spark, d, "sections")),
     "p3_pieces": lambda spark, d: splitting.paragraph_pieces(table(spark, d, "blocks"), table(spark, d, "sections")),
+    "p4_found": lambda spark, d: nearcopies.found(table(spark, d, "blocks")),
     "p6_found": lambda spark, d: leaks.found(table(spark, d, "documents"), table(spark, d, "eval_passages")),
     "p6_leaks": lambda spark, d: leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_passages")).distinct(),
     "p7_mix": lambda spark, d: mixing.mixed(table(spark, d, "documents"), table(spark, d, "source_targets"))[0],
