@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.plans import dealt
+from tallyfold.plans import dealt, scalars
 
-MODULES = (dealt,)
+MODULES = (dealt, scalars)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
