@@ -11,15 +11,17 @@ within t_i in some partition: t = -1 asks nothing, t = 0 that both bins agree, t
 programming over the partitions, on counts from a sketch of all texts.  Values that the sketch has seen once are
 certain to have no partner, cost nothing and are never sent; nor are values that no text asks for.
 
-A probe's partners are held against the text at once by the Hamming distance of 128 bits drawn from both sets, four of
-each of 32 least hashes (see `BITS_APART`).  What is left is verified on the full sets.
+A probe's partners are held against the text at once by size and by the Hamming distance of 120 bits drawn from both
+sets, four of each of 30 least hashes (see `BITS_APART`); what is left, by 256 parity bits of the sets, whose Hamming
+distance never exceeds the size of the symmetric difference, so that this filter loses no pair.  The rest is verified
+on the full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pandas as pd
@@ -31,11 +33,15 @@ from tallyfold.storage import discard, written
 
 BINS = 32
 PARTS = BINS // 2
-SLOTS = 1 << 25  # counters of a count sketch: one byte each (32 MiB), whatever the number of texts
-PIECE = 1 << 19
-#: Of 32 least hashes, texts of similarity 0.6 differ in 12.8 +- 2.8, in half of the four bits of each: 25.6 +- 6.7; texts
-#: without likeness in 64 +- 5.7.  A pair at the threshold is lost once in a thousand, one at 0.65 once in ten thousand.
-BITS_APART = 47
+MOST_SLOTS = 1 << 27  # a count sketch has as many counters as keys need, and never more: 64 MiB
+PIECES = 64
+#: What the four bits of a counter stand for; up to 4 a count is exact, above it is rounded down.
+LEVELS = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 32, 64, 128, 512, 2048, 8192, 32768], dtype=np.int64)
+#: Of 30 least hashes, texts of similarity 0.6 differ in 12 +- 2.7, in half of the four bits of each: 24 +- 6.4; texts
+#: without likeness in 60 +- 5.5.  A pair at the threshold is lost once in a thousand, one at 0.65 once in ten thousand.
+BITS_APART = 45
+#: Sizes are sent as logarithms to this base, in one byte; sizes that differ by less than two steps may read alike.
+SIZE_STEP = 1.04
 EMPTY = np.uint32(0xFFFFFFFF)
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -123,7 +129,7 @@ def _chunks(batches: Iterator[pd.DataFrame], least_words: int) -> Iterator[tuple
                 yield part[keep], hashes[np.repeat(keep, counts)], counts[keep]
 
 
-FEATURES = "id bigint, at timestamp_ntz, h1 bigint, h2 bigint, sketch binary, bits1 bigint, bits2 bigint"
+FEATURES = "id bigint, at timestamp_ntz, h1 bigint, h2 bigint, sketch binary, bits1 bigint, bits2 bigint, size int, p1 bigint, p2 bigint, p3 bigint, p4 bigint"
 MEMBERS = "id bigint, h1 bigint, h2 bigint, members binary"
 
 
@@ -143,10 +149,15 @@ def featured(width: int, least_words: int, probe_width: int):
             spread, h1, h2 = _set_hashes(members, off)
             low = _least(spread, np.repeat(np.arange(n), np.diff(off)), n)
             bits = np.where(low == EMPTY, 0, low & np.uint32(15)).astype(np.uint8)
-            bits = (bits[:, 0::2] << 4 | bits[:, 1::2]).copy().view(np.int64)
+            bits = bits[:, 0::2] << 4 | bits[:, 1::2]
+            sizes = np.diff(off)
+            bits[:, 15] = np.minimum(np.log(sizes) / np.log(SIZE_STEP), 255)
+            bits = np.ascontiguousarray(bits).view(np.int64)
+            place = np.repeat(np.arange(n), sizes) * 256 + (spread >> np.uint64(24) & np.uint64(255)).astype(np.int64)
+            parity = np.packbits((np.bincount(place, minlength=n * 256).reshape(n, 256) & 1).astype(np.uint8), axis=1).view(np.int64)
             # the sketch is drawn from wider windows: what texts have in common by form alone is rarer in them
             sketch = _least(*windows(hashes, counts, probe_width), n)
-            yield pd.DataFrame({"id": part["id"].to_numpy(), "at": part["at"].to_numpy(), "h1": h1, "h2": h2, "sketch": [r.tobytes() for r in sketch], "bits1": bits[:, 0], "bits2": bits[:, 1]})
+            yield pd.DataFrame({"id": part["id"].to_numpy(), "at": part["at"].to_numpy(), "h1": h1, "h2": h2, "sketch": [r.tobytes() for r in sketch], "bits1": bits[:, 0], "bits2": bits[:, 1], "size": sizes.astype(np.int32)} | {f"p{i + 1}": parity[:, i] for i in range(4)})
 
     return run
 
@@ -182,44 +193,64 @@ def _matrix(batch: pd.DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(batch["sketch"]), dtype=np.uint32).reshape(-1, BINS)
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (keys % np.uint64(SLOTS)).astype(np.int64)
+def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
+    return (keys & np.uint64(slots - 1)).astype(np.int64)
+
+
+class Counts:
+    """A sketch of counts: four bits for each slot of a key's hash.  None is too small up to 4, so 0 and 1 are certain."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        level = (np.searchsorted(LEVELS, counts, side="right") - 1).astype(np.uint8)
+        self.slots, self.packed = len(counts), level[0::2] | level[1::2] << 4
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        slot = _slot(keys, self.slots)
+        return LEVELS[self.packed[slot >> 1] >> ((slot & 1) << 2).astype(np.uint8) & 15]
 
 
 SPARSE = "piece int, slots binary, counts binary"
 
 
-def _sparse(batches: Iterator[pd.DataFrame], keys_of) -> Iterator[pd.DataFrame]:
+def _sparse(batches: Iterator[pd.DataFrame], keys_of, slots: int) -> Iterator[pd.DataFrame]:
     """The counters of a partition's keys that aren't 0, in pieces."""
-    counts = np.zeros(SLOTS, dtype=np.uint8)
+    counts = np.zeros(slots, dtype=np.uint16)
     for batch in batches:
-        slots, n = np.unique(_slot(keys_of(batch)), return_counts=True)
-        counts[slots] = np.minimum(counts[slots].astype(np.int64) + n, 255)
-    used = np.flatnonzero(counts)
-    cut = np.searchsorted(used, np.arange(0, SLOTS + 1, PIECE))
+        at, n = np.unique(_slot(keys_of(batch), slots), return_counts=True)
+        counts[at] = np.minimum(counts[at].astype(np.int64) + n, 65535)
+    used, piece = np.flatnonzero(counts), slots // PIECES
+    cut = np.searchsorted(used, np.arange(0, slots + 1, piece))
     for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
         if b > a:
-            yield pd.DataFrame({"piece": [i], "slots": [(used[a:b] - i * PIECE).astype(np.uint32).tobytes()], "counts": [counts[used[a:b]].tobytes()]})
+            yield pd.DataFrame({"piece": [i], "slots": [(used[a:b] - i * piece).astype(np.uint32).tobytes()], "counts": [counts[used[a:b]].tobytes()]})
+
+
+def _summed(slots: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(slots // PIECES, dtype=np.int64)
+        for at, counts in zip(pdf["slots"], pdf["counts"], strict=True):
+            total[np.frombuffer(at, dtype=np.uint32)] += np.frombuffer(counts, dtype=np.uint16)
+        used = np.flatnonzero(total)
+        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "slots": [used.astype(np.uint32).tobytes()], "counts": [np.minimum(total[used], 65535).astype(np.uint16).tobytes()]})
+
+    return run
 
 
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(PIECE, dtype=np.int64)
-    for slots, counts in zip(pdf["slots"], pdf["counts"], strict=True):
-        total[np.frombuffer(slots, dtype=np.uint32)] += np.frombuffer(counts, dtype=np.uint8)
-    used = np.flatnonzero(total)
-    return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "slots": [used.astype(np.uint32).tobytes()], "counts": [np.minimum(total[used], 255).astype(np.uint8).tobytes()]})
+def slots_for(keys: int) -> int:
+    """Twice the keys as a power of two, within the bounds."""
+    return min(MOST_SLOTS, max(1 << 16, 1 << (2 * keys).bit_length()))
 
 
-def counters(df: DataFrame, keys_of) -> np.ndarray:
-    """Saturating counters of the keys of all rows, at least each key's number: 32 MiB, whatever the input."""
-    parts = df.mapInPandas(lambda batches: _sparse(batches, keys_of), SPARSE)
+def counters(df: DataFrame, keys_of, slots: int) -> np.ndarray:
+    """Counts by slot over the keys of all rows."""
+    parts = df.mapInPandas(lambda batches: _sparse(batches, keys_of, slots), SPARSE)
     # a task sums a piece of at most 64 input partitions, so its group is bounded too
     salts = max(1, df._jdf.rdd().getNumPartitions() // 64)
     if salts > 1:
-        parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy("piece", "salt").applyInPandas(lambda pdf: _summed(pdf), SPARSE)
-    out = np.zeros(SLOTS, dtype=np.uint8)
-    for r in parts.groupBy("piece").applyInPandas(lambda pdf: _summed(pdf), SPARSE).toLocalIterator():
-        out[r.piece * PIECE + np.frombuffer(r.slots, dtype=np.uint32).astype(np.int64)] = np.frombuffer(r.counts, dtype=np.uint8)
+        parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy("piece", "salt").applyInPandas(_summed(slots), SPARSE)
+    out = np.zeros(slots, dtype=np.uint16)
+    for r in parts.groupBy("piece").applyInPandas(_summed(slots), SPARSE).toLocalIterator():
+        out[r.piece * (slots // PIECES) + np.frombuffer(r.slots, dtype=np.uint32).astype(np.int64)] = np.frombuffer(r.counts, dtype=np.uint16)
     return out
 
 
@@ -236,7 +267,7 @@ def _joint_keys(pairing: np.ndarray, seen):
 
     def run(batch: pd.DataFrame) -> np.ndarray:
         single, both = signatures(_matrix(batch), pairing)
-        more = (single != 0) & (seen.value[_slot(single)] > 1)
+        more = (single != 0) & (seen.value.of(single) > 1)
         return both[(both != 0) & more[:, pairing[:, 0]] & more[:, pairing[:, 1]]]
 
     return run
@@ -249,7 +280,7 @@ def paired(sketches: DataFrame, seen, common: int = 8) -> np.ndarray:
         together = np.zeros((BINS, BINS), dtype=np.int64)
         for batch in batches:
             single, _ = signatures(_matrix(batch), START)
-            hot = ((seen.value[_slot(single)] > common) & (single != 0)).astype(np.float32)
+            hot = ((seen.value.of(single) > common) & (single != 0)).astype(np.float32)
             together += (hot.T @ hot).astype(np.int64)
         yield pd.DataFrame({"cell": np.arange(BINS * BINS), "n": together.ravel()})
 
@@ -331,10 +362,10 @@ def allocated(pairing: np.ndarray, seen, seen_jointly, need: np.ndarray):
             for low in range(0, len(batch), 4000):
                 part = batch.iloc[low : low + 4000]
                 single, both = signatures(_matrix(part), pairing)
-                # a key's partners: the counters never count too few, so 0 is certain
-                alone = np.where(single == 0, 0, seen.value[_slot(single)].astype(np.int64) - 1)
+                # a key's partners: counts up to 1 are never too small, so 0 is certain
+                alone = np.where(single == 0, 0, seen.value.of(single) - 1)
                 least = np.minimum(alone[:, pairing[:, 0]], alone[:, pairing[:, 1]])
-                joint = np.where(least <= 0, 0, np.minimum(np.maximum(seen_jointly.value[_slot(both)].astype(np.int64) - 1, 0), least))
+                joint = np.where(least <= 0, 0, np.minimum(np.maximum(seen_jointly.value.of(both) - 1, 0), least))
                 asked, asked_jointly = thresholds(single, alone, joint, pairing, need[(single != 0).sum(1)])
                 yield part[["id", "sketch", "bits1", "bits2"]].assign(mask=_bits(asked & (alone > 0), asked_jointly & (joint > 0)))
 
@@ -358,7 +389,8 @@ def sent(pairing: np.ndarray, asked_anywhere=None):
         for batch in batches:
             keys, asked = _keys(batch, pairing)
             if asked_anywhere is not None:
-                asked = (keys != 0) & (asked_anywhere.value[_slot(keys)] > 0)
+                slot = _slot(keys, 8 * len(asked_anywhere.value))
+                asked = (keys != 0) & (asked_anywhere.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1)
             r, c = np.nonzero(asked)
             yield pd.DataFrame({"key": keys[r, c].view(np.int64)} | {x: batch[x].to_numpy()[r] for x in ("id", "bits1", "bits2")})
 
@@ -387,24 +419,35 @@ def near_copies(df: DataFrame, key: str, text: str, latest: str, similarity: flo
     leads = newest.groupBy("h1", "h2").agg(F.min("id").alias("class"))
     classes = written(newest.join(leads, ["h1", "h2"]).select("id", "class", "h1", "h2"), "near-classes")
     lead = classes.where(F.col("id") == F.col("class")).select("id", "h1", "h2")
-    kept = features.join(lead, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "sketch", "bits1", "bits2")
+    kept = features.join(lead, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).drop("at", "h1", "h2")
     kept = written(kept, "near-sketches")
     discard(features)
+    parities = written(kept.select("id", "size", "p1", "p2", "p3", "p4"), "near-parities")
 
-    send = df.sparkSession.sparkContext.broadcast
-    sketches = kept.select("sketch")
-    seen = send(counters(sketches, _single_keys))
+    send = df.sparkSession.sparkContext.broadcast  # of sketches of bounded size
+    sketches, texts = kept.select("sketch"), kept.count()
+    seen = send(Counts(counters(sketches, _single_keys, slots_for(texts * BINS))))
     pairing = paired(sketches, seen)
-    seen_jointly = send(counters(sketches, _joint_keys(pairing, seen)))
+    seen_jointly = send(Counts(counters(sketches, _joint_keys(pairing, seen), slots_for(texts * 4))))
     asks = written(kept.mapInPandas(allocated(pairing, seen, seen_jointly, needs(similarity, width, probe_width)), ASKS), "near-asks")
     discard(kept)
-    asked_anywhere = send(counters(asks.select("sketch", "mask"), asking_keys(pairing)))
+    seen.unpersist()
+    seen_jointly.unpersist()
+    asked = counters(asks.select("sketch", "mask"), asking_keys(pairing), slots_for(texts * BINS))
+    asked_anywhere = send(np.packbits(asked > 0, bitorder="little"))
 
     asking = asks.mapInPandas(sent(pairing), KEYS).select("key", F.col("id").alias("a"), F.col("bits1").alias("x1"), F.col("bits2").alias("x2"))
     held = asks.mapInPandas(sent(pairing, asked_anywhere), KEYS).select("key", F.col("id").alias("b"), F.col("bits1").alias("y1"), F.col("bits2").alias("y2"))
-    apart = F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) + F.bit_count(F.col("x2").bitwiseXOR(F.col("y2")))
-    near = asking.join(held, "key").where((F.col("a") != F.col("b")) & (apart <= BITS_APART))
-    candidates = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
+    apart = F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) + F.bit_count(F.col("x2").bitwiseXOR(F.col("y2")).bitwiseAND(F.lit((1 << 56) - 1)))
+    steps = F.abs(F.shiftrightunsigned("x2", 56) - F.shiftrightunsigned("y2", 56))
+    near = asking.join(held, "key").where((F.col("a") != F.col("b")) & (apart <= BITS_APART) & (steps <= int(log(1 / similarity) / log(SIZE_STEP)) + 2))
+    first = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-first")
+    discard(asks)
+    side = lambda at: parities.select(F.col("id").alias(at), F.col("size").alias(f"n{at}"), *[F.col(f"p{i}").alias(f"{at}{i}") for i in (1, 2, 3, 4)])
+    odd = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in (2, 3, 4)), F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))))
+    could = (F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & (odd <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")))
+    candidates = written(first.join(side("a"), "a").join(side("b"), "b").where(could).select("a", "b"), "near-candidates")
+    discard(first)
 
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if ids.count() <= 1_000_000:  # 8 MB of ids; beyond, the join shuffles
