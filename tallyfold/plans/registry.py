@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.plans import dealt, scalars
+from tallyfold.plans import dealt, ledger, scalars
 
-MODULES = (dealt, scalars)
+MODULES = (dealt, scalars, ledger)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
