@@ -200,9 +200,11 @@ def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
 class Counts:
     """A sketch of counts: four bits for each slot of a key's hash.  None is too small up to 4, so 0 and 1 are certain."""
 
-    def __init__(self, counts: np.ndarray) -> None:
-        level = (np.searchsorted(LEVELS, counts, side="right") - 1).astype(np.uint8)
-        self.slots, self.packed = len(counts), level[0::2] | level[1::2] << 4
+    def __init__(self, pieces: Iterator[tuple[int, np.ndarray]], slots: int) -> None:
+        self.slots, self.packed = slots, np.zeros(slots // 2, dtype=np.uint8)
+        for at, counts in pieces:
+            level = (np.searchsorted(LEVELS, counts, side="right") - 1).astype(np.uint8)
+            self.packed[at // 2 : (at + len(counts)) // 2] = level[0::2] | level[1::2] << 4
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         slot = _slot(keys, self.slots)
@@ -241,17 +243,17 @@ def slots_for(keys: int) -> int:
     return min(MOST_SLOTS, max(1 << 16, 1 << (2 * keys).bit_length()))
 
 
-def counters(df: DataFrame, keys_of, slots: int) -> np.ndarray:
-    """Counts by slot over the keys of all rows."""
+def counters(df: DataFrame, keys_of, slots: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Counts by slot over the keys of all rows, piece by piece: the piece's first slot and its counts."""
     parts = df.mapInPandas(lambda batches: _sparse(batches, keys_of, slots), SPARSE)
     # a task sums a piece of at most 64 input partitions, so its group is bounded too
     salts = max(1, df._jdf.rdd().getNumPartitions() // 64)
     if salts > 1:
         parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy("piece", "salt").applyInPandas(_summed(slots), SPARSE)
-    out = np.zeros(slots, dtype=np.uint16)
     for r in parts.groupBy("piece").applyInPandas(_summed(slots), SPARSE).toLocalIterator():
-        out[r.piece * (slots // PIECES) + np.frombuffer(r.slots, dtype=np.uint32).astype(np.int64)] = np.frombuffer(r.counts, dtype=np.uint16)
-    return out
+        out = np.zeros(slots // PIECES, dtype=np.uint16)
+        out[np.frombuffer(r.slots, dtype=np.uint32)] = np.frombuffer(r.counts, dtype=np.uint16)
+        yield r.piece * len(out), out
 
 
 START = np.arange(BINS).reshape(PARTS, 2)
@@ -426,15 +428,18 @@ def near_copies(df: DataFrame, key: str, text: str, latest: str, similarity: flo
 
     send = df.sparkSession.sparkContext.broadcast  # of sketches of bounded size
     sketches, texts = kept.select("sketch"), kept.count()
-    seen = send(Counts(counters(sketches, _single_keys, slots_for(texts * BINS))))
+    many, few = slots_for(texts * BINS), slots_for(texts * 4)
+    seen = send(Counts(counters(sketches, _single_keys, many), many))
     pairing = paired(sketches, seen)
-    seen_jointly = send(Counts(counters(sketches, _joint_keys(pairing, seen), slots_for(texts * 4))))
+    seen_jointly = send(Counts(counters(sketches, _joint_keys(pairing, seen), few), few))
     asks = written(kept.mapInPandas(allocated(pairing, seen, seen_jointly, needs(similarity, width, probe_width)), ASKS), "near-asks")
     discard(kept)
     seen.unpersist()
     seen_jointly.unpersist()
-    asked = counters(asks.select("sketch", "mask"), asking_keys(pairing), slots_for(texts * BINS))
-    asked_anywhere = send(np.packbits(asked > 0, bitorder="little"))
+    bitmap = np.zeros(many // 8, dtype=np.uint8)
+    for at, asked in counters(asks.select("sketch", "mask"), asking_keys(pairing), many):
+        bitmap[at // 8 : (at + len(asked)) // 8] = np.packbits(asked > 0, bitorder="little")
+    asked_anywhere = send(bitmap)
 
     asking = asks.mapInPandas(sent(pairing), KEYS).select("key", F.col("id").alias("a"), F.col("bits1").alias("x1"), F.col("bits2").alias("x2"))
     held = asks.mapInPandas(sent(pairing, asked_anywhere), KEYS).select("key", F.col("id").alias("b"), F.col("bits1").alias("y1"), F.col("bits2").alias("y2"))
