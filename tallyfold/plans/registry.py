@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.plans import dealt, ledger, scalars
+from tallyfold.plans import dealt, derived, ledger, scalars
 
-MODULES = (dealt, scalars, ledger)
+MODULES = (dealt, scalars, ledger, derived)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
