@@ -58,8 +58,8 @@ def plain_source(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(c)), r"[\s-]+", "_")
 
 
-def flight(pi: np.ndarray, x: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Move probabilities along the null space of (1, x) until at most two units are fractional."""
+def flight(pi: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Move probabilities along the null space of (1, x) until at most two units are fractional; each keeps its expectation."""
     pi = pi.astype(float).copy()
     open_units = [int(k) for k in np.flatnonzero((pi > EPS) & (pi < 1 - EPS))]
     if len(open_units) < 3:
@@ -76,7 +76,7 @@ def flight(pi: np.ndarray, x: np.ndarray, draws: np.ndarray) -> np.ndarray:
                 up, down = min(up, (1 - pi[k]) / v), min(down, pi[k] / v)
             elif v < 0:
                 up, down = min(up, pi[k] / -v), min(down, (1 - pi[k]) / -v)
-        step = up if draws[a] * (up + down) < down else -down
+        step = up if rng.random() * (up + down) < down else -down
         left = []
         for k, v in zip(window, u, strict=True):
             pi[k] = min(1.0, max(0.0, pi[k] + step * v))
@@ -103,10 +103,10 @@ def landing(pi: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _balanced(land: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # an order and draws that hang on the records only, so that a lost task comes out the same again
+        # an order and a seed that hang on the records only, so that a lost task comes out the same again
         pdf = pdf.sort_values(["draw", "doc_id"], kind="stable")
         x = pdf["tokens"].to_numpy(float)
-        pi = flight(pdf["pi"].to_numpy(float), x, pdf["draw"].to_numpy(float))
+        pi = flight(pdf["pi"].to_numpy(float), x, np.random.default_rng(int(pdf["draw"].iloc[0] * (1 << 40))))
         return pdf.assign(pi=landing(pi, x) if land else pi)
 
     return run

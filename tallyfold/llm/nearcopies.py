@@ -129,7 +129,7 @@ def _chunks(batches: Iterator[pd.DataFrame], least_words: int) -> Iterator[tuple
                 yield part[keep], hashes[np.repeat(keep, counts)], counts[keep]
 
 
-FEATURES = "id bigint, at timestamp_ntz, h1 bigint, h2 bigint, sketch binary, bits1 bigint, bits2 bigint, size int, p1 bigint, p2 bigint, p3 bigint, p4 bigint"
+FEATURES = "id bigint, at bigint, h1 bigint, h2 bigint, sketch binary, bits1 bigint, bits2 bigint, size int, p1 bigint, p2 bigint, p3 bigint, p4 bigint"
 MEMBERS = "id bigint, h1 bigint, h2 bigint, members binary"
 
 
@@ -415,7 +415,7 @@ def near_copies(df: DataFrame, key: str, text: str, latest: str, similarity: flo
     with fewer than `least_words` words, and null ones, are in no class.  Of an id delivered several times the latest
     row counts, of rows of one time the one with the greatest text hash.
     """
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(latest).cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"), F.col(text).alias("text"))
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.unix_micros(F.col(latest).cast("timestamp")), F.lit(-(1 << 62))).alias("at"), F.col(text).alias("text"))
     features = written(rows.mapInPandas(featured(width, least_words, probe_width), FEATURES), "near-features")
     newest = features.groupBy("id").agg(F.max(F.struct("at", "h1", "h2")).alias("r")).select("id", "r.h1", "r.h2")
     leads = newest.groupBy("h1", "h2").agg(F.min("id").alias("class"))
