@@ -77,7 +77,7 @@ def pieces(text: str, limit: int, overlap: int, size: Callable[[str], int] = len
                 bounds[kind].append(i)
                 break
     order = [kind for kind, _ in ENDS]
-    out, first, count = [], 0, len(ends)
+    out, first, done, count = [], 0, 0, len(ends)  # done: tokens that earlier pieces hold
     while True:
         last = bisect.bisect_right(sums, sums[first] + limit) - 1  # tokens first..last-1 fit
         if last >= count:
@@ -89,12 +89,13 @@ def pieces(text: str, limit: int, overlap: int, size: Callable[[str], int] = len
         for k in order:
             strong = sorted([*strong, *bounds[k]])
             i = bisect.bisect_right(strong, last) - 1
-            if i >= 0 and strong[i] > first and strong[i] >= floor:
+            if i >= 0 and strong[i] > done and strong[i] >= floor:
                 cut, kind = strong[i], k
                 break
         out.append((sums_to(starts, ends, first), ends[cut - 1], kind))
-        back = bisect.bisect_left(sums, sums[cut] - overlap)
-        first = max(first + 1, min(back, cut))
+        # back by the overlap, but not so far that the next token doesn't fit
+        back = max(bisect.bisect_left(sums, sums[cut] - overlap), bisect.bisect_left(sums, sums[cut + 1] - limit))
+        first, done = max(first + 1, min(back, cut)), cut
 
 
 def sums_to(starts: list[int], ends: list[int], token: int) -> int:
