@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.plans import dealt, derived, ledger, scalars
+from tallyfold.plans import cards, dealt, derived, ledger, memory, scalars
 
-MODULES = (dealt, scalars, ledger, derived)
+MODULES = (dealt, scalars, ledger, derived, memory, cards)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
