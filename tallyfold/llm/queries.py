@@ -65,6 +65,16 @@ WITH ranked AS (
   FROM ({_ONCE}) WHERE latency_ms IS NOT NULL
 ), ps AS (SELECT unnest([500, 900, 950, 990]) AS pm)
 SELECT task_type, pm / 1000.0::DOUBLE AS percentile, n AS "rows", v AS latency_ms FROM ranked JOIN ps ON rn = greatest((n * pm + 999) // 1000, 1)
+""",
+    "p4_found": r"""
+WITH once AS (
+  SELECT block_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM blocks QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY ingested_at DESC) = 1
+), grams AS (
+  SELECT DISTINCT block_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT block_id, w, unnest(range(1, len(w) - 1)) AS i FROM once WHERE len(w) >= 20)
+), sizes AS (SELECT block_id, count(*) AS n FROM grams GROUP BY 1), shared AS (
+  SELECT a.block_id AS x, b.block_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.block_id < b.block_id GROUP BY 1, 2
+)
+SELECT x AS block_id_a, y AS block_id_b FROM shared JOIN sizes p ON p.block_id = x JOIN sizes q ON q.block_id = y WHERE 10 * c >= 6 * (p.n + q.n - c)
 """,
     "p3_found": "SELECT DISTINCT accession, paragraph_id FROM blocks WHERE length(text) > 2400",
 }
