@@ -247,7 +247,9 @@ def harmonised(df: DataFrame) -> DataFrame:
 
     c = F.col
     matched = F.coalesce(c("off") < 0.06, F.lit(False))
-    kind = F.coalesce(c("g_kind"), c("u_kind"), F.when(matched | c("w_kind").isNotNull(), c("w_kind")), c("h_kind"))
+    # a spelling that names a scale only leaves the kind to the row's own text
+    told = F.when(c("u_kind").isNull() & matched, c("w_kind"))
+    kind = F.coalesce(told, c("g_kind"), c("u_kind"), c("w_kind"), c("h_kind"))
     # how the recorded value stands to the written figure: the same number, or already multiplied out
     same = matched & (F.abs(F.log10(F.abs(c("value")) / c("x"))) < 0.06)
     open_kind = kind.isin(*OPEN)
@@ -264,7 +266,8 @@ def harmonised(df: DataFrame) -> DataFrame:
     # what the graph sized counts; where the grammar reads the same size, it is written as an exact fraction
     read = num.cast("double") / den.cast("double") * F.coalesce(c("u_scale"), one).cast("double")
     agrees = F.coalesce((c("g_kind") == c("u_kind")) & (F.abs(read / c("g_size") - 1) < 1e-9), F.lit(False))
-    by_graph = c("g_kind").isNotNull() & ~agrees & ~(open_kind & (c("g_size") == 1.0))
+    by_graph = (c("g_kind") == kind) & ~agrees & ~(open_kind & (c("g_size") == 1.0)) & ~(c("u_kind").isNull() & c("u_scale").isNotNull())
+    by_graph = F.coalesce(by_graph, F.lit(False))
     barred = c("u_excluded") | F.when(c("u_kind").isNull(), c("w_excluded") | c("rated") | c("h_excluded")).otherwise(F.lit(False))
     v = c("value").try_cast("decimal(24,8)")
     whole = F.try_multiply(F.try_multiply(v, _decimal(num)).cast("decimal(28,8)"), scale.cast("decimal(10,0)"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.plans import cards, dealt, derived, ledger, memory, parsing, scalars, streams
+from tallyfold.plans import cards, dealt, derived, ledger, memory, more, parsing, scalars, streams
 
-MODULES = (dealt, scalars, ledger, derived, memory, cards, parsing, streams)
+MODULES = (dealt, scalars, ledger, derived, memory, cards, parsing, streams, more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
