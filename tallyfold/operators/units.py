@@ -259,6 +259,7 @@ def harmonised(df: DataFrame) -> DataFrame:
         .when(~open_kind, F.when(c("u_kind").isNull(), F.coalesce(c("w_scale"), one)).otherwise(one))
         .when(c("w_scale").isNotNull() & (same | ~matched), c("w_scale"))
         .when(c("w_scale").isNotNull(), one)
+        .when(matched & ~same, one)
         .otherwise(F.coalesce(c("h_scale"), one))
     )
     num = F.coalesce(c("u_num"), F.when(c("w_kind").isNotNull(), c("w_num")), c("h_num"))
