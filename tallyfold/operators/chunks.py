@@ -64,6 +64,34 @@ def chunks(paragraphs: DataFrame) -> DataFrame:
     return rows.select("document_id", F.nullif("section", F.lit(-1)).alias("section_ordinal"), "chunk", F.transform("p", lambda x: x["paragraph_id"]).alias("paragraph_ids"), text.alias("text"), F.greatest(F.lit(1), F.floor(F.length(text) / CHARS)).cast("int").alias("tokens"), "first_page", "last_page")
 
 
+def oversized_parts(paragraphs: DataFrame, ceiling: int = CEILING * CHARS) -> DataFrame:
+    """Paragraphs above the ceiling in parts of whole sentences, each with the paragraph's id and its number (`4_2#1`).
+
+    Sentences are packed while they fit with a space between them; one that is itself too long is cut at the ceiling.
+    """
+    from pyspark.sql.types import ArrayType, StringType
+
+    from tallyfold.functions.sentences import spans
+
+    def parts(text: str) -> list[str]:
+        pieces = [text[a:b][i : i + ceiling] for a, b in spans(text) for i in range(0, b - a, ceiling)]
+        out: list[str] = []
+        for p in pieces:
+            if out and len(out[-1]) + 1 + len(p) <= ceiling:
+                out[-1] += " " + p
+            else:
+                out.append(p)
+        return out
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(parts, na_action="ignore")
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    big = paragraphs.where(F.length("text") > ceiling)
+    rows = big.select("block_id", "paragraph_id", F.posexplode(F.pandas_udf(run, ArrayType(StringType()))("text")).alias("n", "text"))
+    return rows.select("block_id", F.concat_ws("#", "paragraph_id", (F.col("n") + 1).cast("string")).alias("part_id"), "text")
+
+
 def paragraphs_of(chunk_rows: DataFrame) -> DataFrame:
     """Chunks taken apart again: each paragraph of a document once, by the first chunk that holds it."""
     parts = F.split("text", JOIN)

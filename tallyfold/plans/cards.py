@@ -11,7 +11,8 @@ from tallyfold.operators import carried as CO
 from tallyfold.operators import snapshots
 from tallyfold.operators import timeline as TL
 from tallyfold.operators.evidence import full_texts
-from tallyfold.plans.derived import _CHANGES, _COMP
+from tallyfold.plans.dealt import SQL as DEALT
+from tallyfold.plans.derived import _CHANGES, _COMP, _EDGES
 from tallyfold.plans.model import filings, mentions, paragraphs, sql, table
 
 
@@ -50,6 +51,29 @@ def _current(s, d):
     return rows.select("card_id", "document_id", "fact_key", "value", "status")
 
 
+def _moved(s, d):
+    """Facts of consecutive snapshots whose value differs: before, after, and which way a number went."""
+    f = snapshots.card_snapshots(table(s, d, "card_revisions")).where("fact_key is not null").withColumn("value", F.expr("substr(value, 2)"))
+    before = f.where("next_document_id is not null").select("card_id", F.col("next_document_id").alias("document_id"), "fact_key", F.col("value").alias("before"))
+    both = f.select("card_id", "document_id", "fact_key", F.col("value").alias("after")).join(before, ["card_id", "document_id", "fact_key"])
+    return both.where(~F.col("before").eqNullSafe(F.col("after"))).select("card_id", "document_id", "fact_key", "before", "after", T.direction(F.col("before"), F.col("after")).alias("direction"))
+
+
+def _summaries(s, d):
+    """What a person would write about each revision of a card."""
+    n = lambda c, word: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(" " + word)))
+    text = F.concat(F.concat_ws("; ", n("changed", "changed"), n("added", "new"), n("removed", "no longer disclosed")), F.lit("."))
+    return _sizes(s, d).select("card_id", "document_id", text.alias("summary"))
+
+
+def _strongest(s, d):
+    from tallyfold.operators import graph as G
+    from tallyfold.plans.derived import _edges
+
+    w = Window.partitionBy("cik").orderBy(F.desc("strength"), "source", "target", "relationship")
+    return G.with_strength(_edges(s, d)).withColumn("place", F.row_number().over(w)).where("place <= 10").select("cik", "source", "target", "relationship", "strength", "place")
+
+
 def _sizes(s, d):
     ch = snapshots.found(table(s, d, "card_revisions"))
     return ch.groupBy("card_id", "document_id").agg(F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "removed").alias("removed"), F.count_if(F.col("change") == "changed").alias("changed"))
@@ -114,6 +138,11 @@ _OVER = _COMP + f""", q AS (SELECT mention_id, before_id, {_SAIDQ.format(c='quot
   runlen AS (SELECT mention_id, max(c) AS longest FROM (SELECT mention_id, g, count(*) AS c FROM isl WHERE new GROUP BY 1, 2) GROUP BY 1),
   nw AS (SELECT mk.mention_id, CAST(any_value(n) AS INT) AS words, CAST(count(*) FILTER (new) AS INT) AS new, CAST(coalesce(any_value(longest), 0) AS INT) AS longest FROM mk LEFT JOIN runlen USING (mention_id) GROUP BY 1)"""
 
+_P5 = DEALT["p5_found"].strip()
+_HEAD = _P5[: _P5.index(", pairs AS")]
+_SIZED = f"SELECT card_id, document_id, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'changed') AS changed FROM ({_P5}) GROUP BY 1, 2"
+_NUM = "TRY_CAST(regexp_replace(replace({c}, ',', ''), '^\\$+', '') AS DOUBLE)".replace("\\\\", "\\")
+
 QUERIES = {
     "prd2_routed_sections": _fragments,
     "crd1_projected_facts": _facts,
@@ -121,6 +150,9 @@ QUERIES = {
     "set6_card_changes": lambda s, d: CD.card_changes(_facts(s, d)),
     "win9_current_facts": _current,
     "crd8_revision_sizes": _sizes,
+    "sca61_revision_summaries": _summaries,
+    "sca63_directions": _moved,
+    "srt4_strongest_edges": _strongest,
     "set4_carried_over": lambda s, d: CO.overlaps(_quotes(s, d), _texts(s, d), "mention_id", "before_id"),
     "sca40_new_words": lambda s, d: CO.new_words(_quotes(s, d), _texts(s, d), "mention_id", "before_id"),
     "tml3_withheld": _withheld,
@@ -139,6 +171,12 @@ SQL = {
     "crd9_revisions": sql(_FACTS + " SELECT cik, card, document_id, filed_at, facts, revision, following FROM rev", "men", "par"),
     "set6_card_changes": sql(_FACTS + """ SELECT rev.cik, rev.card, rev.document_id, f.slug, 'added' AS change FROM rev JOIN facts f USING (cik, card, document_id) WHERE NOT EXISTS (SELECT 1 FROM facts p WHERE p.cik = rev.cik AND p.card = rev.card AND p.document_id = rev.before_id AND p.slug = f.slug)
         UNION ALL SELECT rev.cik, rev.card, rev.document_id, p.slug, 'removed' FROM rev JOIN facts p ON p.cik = rev.cik AND p.card = rev.card AND p.document_id = rev.before_id WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.cik = rev.cik AND f.card = rev.card AND f.document_id = rev.document_id AND f.slug = p.slug)""", "men", "par"),
+    "win9_current_facts": _HEAD + " SELECT card_id, document_id, fact_key, value, status FROM facts JOIN (SELECT card_id, document_id FROM seq QUALIFY row_number() OVER (PARTITION BY card_id ORDER BY as_of DESC, document_id DESC) = 1) USING (card_id, document_id)",
+    "crd8_revision_sizes": _SIZED,
+    "sca61_revision_summaries": f"SELECT card_id, document_id, concat_ws('; ', CASE WHEN changed > 0 THEN changed || ' changed' END, CASE WHEN added > 0 THEN added || ' new' END, CASE WHEN removed > 0 THEN removed || ' no longer disclosed' END) || '.' AS summary FROM ({_SIZED})",
+    "sca63_directions": _HEAD + f""", m AS (SELECT s.card_id, s.document_id, a.fact_key, substr(b.value, 2) AS before, substr(a.value, 2) AS after FROM seq s JOIN facts a USING (card_id, document_id) JOIN facts b ON b.card_id = s.card_id AND b.document_id = s.before AND b.fact_key = a.fact_key)
+        SELECT *, CASE WHEN {_NUM.format(c='before')} IS NULL OR {_NUM.format(c='after')} IS NULL THEN 'changed' WHEN {_NUM.format(c='after')} > {_NUM.format(c='before')} THEN 'rose' WHEN {_NUM.format(c='after')} < {_NUM.format(c='before')} THEN 'fell' ELSE 'held' END AS direction FROM m WHERE before IS DISTINCT FROM after""",
+    "srt4_strongest_edges": sql(_EDGES + " SELECT cik, source, target, relationship, strength, CAST(row_number() OVER (PARTITION BY cik ORDER BY strength DESC, source, target, relationship) AS INT) AS place FROM strong QUALIFY place <= 10", "men", "ent"),
     "set4_carried_over": sql(_OVER + " SELECT * FROM ov", "men", "par"),
     "sca40_new_words": sql(_OVER + " SELECT * FROM nw", "men", "par"),
     "tml3_withheld": sql(_CHANGES + _OVER.removeprefix(_COMP) + ", ag AS (SELECT DISTINCT document_id, slug FROM men JOIN ov USING (mention_id) JOIN nw USING (mention_id) WHERE share >= 0.5 AND longest < 4) SELECT accession || ':' || kind || ':' || chg.slug AS key FROM chg JOIN ag USING (document_id, slug) WHERE kind IN ('newly_disclosed', 'disclosed_again')", "men", "par"),

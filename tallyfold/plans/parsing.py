@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions.sentences import sentence_spans
 from tallyfold.operators import chunks as CH
 from tallyfold.operators import extraction as X
-from tallyfold.plans.model import extractions, paragraphs, sql, table
+from tallyfold.plans.model import extractions, filings, paragraphs, sql, table
 from tallyfold.sources import markup
 
 #: The tagger's rules for the test tables: (pattern, name, kind).
@@ -36,6 +36,13 @@ def _sections(s, d):
     return markup.parsed(docs, "doc_id").where("kind = 'section'").select("document_id", "ordinal", "level", "title")
 
 
+def _tables(s, d):
+    """A table of each company's filings, header first."""
+    rows = filings(s, d).groupBy("cik").agg(F.min("document_id").alias("document_id"), F.array_sort(F.collect_list(F.struct(F.col("accession"), F.col("form_type"), F.col("filed_at").cast("string").alias("filed")))).alias("r"))
+    body = F.transform("r", lambda x: F.array(x["accession"], x["form_type"], x["filed"]))
+    return rows.select("document_id", F.lit(0).alias("ordinal"), F.concat(F.array(F.array(F.lit("accession"), F.lit("form"), F.lit("filed"))), body).alias("cells"))
+
+
 def _chunks(s, d):
     return CH.chunks(paragraphs(s, d))
 
@@ -46,6 +53,8 @@ QUERIES = {
     "prj1_parsed_blocks": _blocks,
     "prj3_parsed_sections": _sections,
     "prj15_chunks": _chunks,
+    "prj14_oversized_parts": lambda s, d: CH.oversized_parts(paragraphs(s, d)),
+    "prj16_table_parts": lambda s, d: CH.table_parts(_tables(s, d), 400),
     "prj18_paragraphs_of_chunks": lambda s, d: CH.paragraphs_of(_chunks(s, d)),
     "prj22_chunk_pages": lambda s, d: _chunks(s, d).select("document_id", F.explode("paragraph_ids").alias("id")).select("document_id", F.split_part("id", F.lit("_"), F.lit(1)).try_cast("int").alias("page")).distinct(),
     "sca17_sentences": lambda s, d: paragraphs(s, d).select("block_id", F.explode(sentence_spans()("text")).alias("s")).select("block_id", "s.start", "s.end"),
