@@ -21,6 +21,11 @@ def _edges(s, d):
     return G.co_occurrence(mentions(s, d)).unionByName(G.asserted(_links(s, d), entities(s, d)))
 
 
+def _listed(edges):
+    """An edge's filings as one text."""
+    return edges.withColumn("documents", F.array_join(F.transform("documents", lambda x: x.cast("string")), ","))
+
+
 def _scores(s, d):
     return G.scored(entities(s, d), mentions(s, d), _edges(s, d))
 
@@ -113,8 +118,8 @@ _PL = "{x}::VARCHAR || CASE WHEN {x} = 1 THEN ' paragraph' ELSE ' paragraphs' EN
 _P, _B = _PL.format(x="paragraphs"), _PL.format(x="previous_paragraphs")
 
 QUERIES = {
-    "gra1_co_occurrence": lambda s, d: G.co_occurrence(mentions(s, d)),
-    "gra3_asserted_edges": lambda s, d: G.asserted(_links(s, d), entities(s, d)),
+    "gra1_co_occurrence": lambda s, d: _listed(G.co_occurrence(mentions(s, d))),
+    "gra3_asserted_edges": lambda s, d: _listed(G.asserted(_links(s, d), entities(s, d))),
     "gra4_strength": lambda s, d: G.with_strength(_edges(s, d)).select("cik", "source", "target", "relationship", "strength"),
     "gra5_degrees": lambda s, d: G.degrees(_edges(s, d)),
     "gra10_importance": lambda s, d: _scores(s, d).select("cik", "slug", "frequency", "spread", "recency", "centrality", "importance"),
@@ -138,8 +143,8 @@ QUERIES = {
 }
 
 SQL = {
-    "gra1_co_occurrence": sql(_CO + " SELECT * FROM cospan", "men", "ent"),
-    "gra3_asserted_edges": sql(_TYPED + " SELECT * FROM typed", "men", "ent"),
+    "gra1_co_occurrence": sql(_CO + " SELECT * REPLACE (array_to_string(documents, ',') AS documents) FROM cospan", "men", "ent"),
+    "gra3_asserted_edges": sql(_TYPED + " SELECT * REPLACE (array_to_string(documents, ',') AS documents) FROM typed", "men", "ent"),
     "gra4_strength": sql(_EDGES + " SELECT cik, source, target, relationship, strength FROM strong", "men", "ent"),
     "gra5_degrees": sql(_EDGES + " SELECT * FROM deg", "men", "ent"),
     "gra10_importance": sql(_EDGES + " SELECT cik, slug, frequency, spread, recency, centrality, importance FROM scored", "men", "ent"),

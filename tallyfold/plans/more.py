@@ -9,7 +9,7 @@ from tallyfold.functions import text as T
 from tallyfold.operators import graph as G
 from tallyfold.operators import merge as M
 from tallyfold.operators import timeline as TL
-from tallyfold.plans.derived import _CHANGES, _CO, _EDGES, _TYPED, _edges, _links
+from tallyfold.plans.derived import _CHANGES, _CO, _EDGES, _TYPED, _edges, _links, _listed
 from tallyfold.plans.memory import _MET, _metrics, _observed
 from tallyfold.plans.model import entities, extractions, filings, mentions, paragraphs, sql, table, usage
 
@@ -48,7 +48,7 @@ def _relationships(s, d):
     """Stated edges as a merge of writes, one per filing and edge."""
     w = _links(s, d).select("cik", "source", "target", "relationship", "document_id", "filed_at").distinct().where("source <> target")
     w = w.withColumns({"documents": F.col("document_id"), "first_seen": F.col("filed_at"), "last_seen": F.col("filed_at")})
-    return M.upserted(w, ["cik", "source", "target", "relationship"], ["filed_at", "document_id"], {"documents": "set", "first_seen": "least", "last_seen": "greatest"}, "writes")
+    return _listed(M.upserted(w, ["cik", "source", "target", "relationship"], ["filed_at", "document_id"], {"documents": "set", "first_seen": "least", "last_seen": "greatest"}, "writes"))
 
 
 def _neighbours(s, d):
@@ -160,7 +160,7 @@ SQL = {
     "srt12_pages_null_last": sql("SELECT DISTINCT document_id, page_number FROM par ORDER BY document_id, page_number NULLS LAST", "par"),
     "srt14_pending_paragraphs": sql("SELECT block_id, document_id FROM par WHERE page_number IS NULL ORDER BY block_id LIMIT 500", "par"),
     "srt18_events_with_total": sql(_CHANGES + " SELECT cik, count(*) AS total, max(filed_at) AS newest FROM chg GROUP BY 1", "men"),
-    "snk9_relationship_upsert": sql(_TYPED + " SELECT cik, source, target, relationship, list_sort(list(DISTINCT document_id)) AS documents, min(filed_at) AS first_seen, max(filed_at) AS last_seen, count(*) AS writes FROM links WHERE source <> target GROUP BY 1, 2, 3, 4", "men"),
+    "snk9_relationship_upsert": sql(_TYPED + " SELECT cik, source, target, relationship, array_to_string(list_sort(list(DISTINCT document_id)), ',') AS documents, min(filed_at) AS first_seen, max(filed_at) AS last_seen, count(*) AS writes FROM links WHERE source <> target GROUP BY 1, 2, 3, 4", "men"),
     "snk10_events_once": sql(_CHANGES + " SELECT DISTINCT cik, kind, concat_ws(':', accession, slug) AS ref, filed_at AS at, key FROM ev", "men"),
     "joi2_citation_rows": sql("SELECT mention_id, c.name AS company, accession, paragraph_id FROM men JOIN companies c USING (cik)", "men"),
     "joi5_entities_with_mentions": sql("SELECT c.cik, count(slug) AS entities, coalesce(sum(mention_count), 0)::BIGINT AS mentions FROM companies c LEFT JOIN ent ON ent.cik = c.cik GROUP BY 1", "ent"),
