@@ -12,34 +12,34 @@ from tallyfold.operators import snapshots
 from tallyfold.operators import timeline as TL
 from tallyfold.operators.evidence import full_texts
 from tallyfold.plans.dealt import SQL as DEALT
-from tallyfold.plans.derived import _CHANGES, _COMP, _EDGES
+from tallyfold.plans.derived import _CHANGES, _COMP, _EDGES, FILED
 from tallyfold.plans.model import filings, mentions, paragraphs, sql, table
 
 
 def _facts(s, d):
-    return CD.projected(mentions(s, d), paragraphs(s, d), table(s, d, "sections"))
+    return CD.projected(mentions(s, d), paragraphs(s, d, "document_id", "paragraph_id", "section_ordinal"), table(s, d, "sections"))
 
 
 def _fragments(s, d):
     sec = table(s, d, "sections").groupBy("document_id", "ordinal").agg(F.min("title").alias("title"))
-    rows = sec.join(filings(s, d).select("document_id", "form_type"), "document_id")
+    rows = sec.join(filings(s, d, *FILED).select("document_id", "form_type"), "document_id")
     rows = rows.withColumns({"doc_kind": F.lit(None).cast("string"), "role": F.lit(None).cast("string")})
     return CD.routed(rows, "form_type", "doc_kind", "title", "role").select("document_id", "ordinal", "title", F.array_join("cards", ",").alias("cards"))
 
 
 def _quotes(s, d):
     """Quotes of filings that are compared, each with the filing before."""
-    c = TL.comparable(filings(s, d)).where("next_document_id is not null").select(F.col("document_id").alias("before_id"), F.col("next_document_id").alias("document_id"))
-    return mentions(s, d).where("quote is not null").join(c, "document_id").select("mention_id", "before_id", "quote")
+    c = TL.comparable(filings(s, d, *FILED)).where("next_document_id is not null").select(F.col("document_id").alias("before_id"), F.col("next_document_id").alias("document_id"))
+    return mentions(s, d, "quote").where("quote is not null").join(c, "document_id").select("mention_id", "before_id", "quote")
 
 
 def _texts(s, d):
-    return full_texts(paragraphs(s, d)).withColumnRenamed("document_id", "before_id")
+    return full_texts(paragraphs(s, d, "document_id", "ordinal", "text")).withColumnRenamed("document_id", "before_id")
 
 
 def _withheld(s, d):
     """Topics that the mentions make new in a filing, though a sentence quoted for them stands in the one before."""
-    c = TL.changes(filings(s, d), mentions(s, d)).where(F.col("kind").isin("newly_disclosed", "disclosed_again"))
+    c = TL.changes(filings(s, d, *FILED), mentions(s, d)).where(F.col("kind").isin("newly_disclosed", "disclosed_again"))
     said = CO.already_said(_quotes(s, d), _texts(s, d), "mention_id", "before_id")
     again = mentions(s, d).join(said, "mention_id", "left_semi").select("document_id", "slug").distinct()
     return c.join(again, ["document_id", "slug"], "left_semi").select(F.concat_ws(":", "accession", "kind", "slug").alias("key"))
@@ -82,14 +82,14 @@ def _sizes(s, d):
 def _islands(s, d):
     """Filings of a company in order, grouped while the form stays the same."""
     w = Window.partitionBy("cik").orderBy("filed_at", "accession")
-    rows = filings(s, d).withColumn("turn", F.when(F.lag("form_type").over(w).eqNullSafe(F.col("form_type")), 0).otherwise(1))
+    rows = filings(s, d, *FILED).withColumn("turn", F.when(F.lag("form_type").over(w).eqNullSafe(F.col("form_type")), 0).otherwise(1))
     rows = rows.withColumn("island", F.sum("turn").over(w))
     return rows.groupBy("cik", "island", "form_type").agg(F.count("*").alias("filings"), F.min("filed_at").alias("first"), F.max("filed_at").alias("last"))
 
 
 def _spine(s, d):
     """One flat log of a company: filings, first citations of topics, and card revisions' dates."""
-    f = filings(s, d)
+    f = filings(s, d, *FILED)
     a = f.select("cik", F.col("filed_at").alias("at"), F.lit("filing").alias("kind"), F.col("accession").alias("ref"))
     b = mentions(s, d).groupBy("cik", "slug").agg(F.min("filed_at").alias("at")).select("cik", "at", F.lit("topic").alias("kind"), F.col("slug").alias("ref"))
     c = mentions(s, d).where("entity_type = 'metric'").select("cik", F.col("filed_at").alias("at"), F.lit("metric").alias("kind"), F.col("mention_id").cast("string").alias("ref"))
@@ -97,7 +97,7 @@ def _spine(s, d):
 
 
 def _chunk_rows(s, d):
-    p = paragraphs(s, d).withColumn("hash", T.content_id("c", F.col("accession"), F.col("text")))
+    p = paragraphs(s, d, "accession", "text").withColumn("hash", T.content_id("c", F.col("accession"), F.col("text")))
     w = Window.partitionBy("hash").orderBy("block_id")
     rows = p.withColumn("place", F.row_number().over(w))
     return rows.where("place = 1").select("hash", "block_id", "accession")
@@ -110,7 +110,7 @@ def _shared_topics(s, d):
 
 
 def _prev_next_topics(s, d):
-    c = TL.comparable(filings(s, d)).where("next_document_id is not null").select("document_id", "next_document_id")
+    c = TL.comparable(filings(s, d, *FILED)).where("next_document_id is not null").select("document_id", "next_document_id")
     t = mentions(s, d).select("document_id", "slug").distinct()
     here = c.join(t, "document_id").select("document_id", "slug")
     there = c.join(t.withColumnRenamed("document_id", "next_document_id"), "next_document_id").select("document_id", "slug")
@@ -161,8 +161,8 @@ QUERIES = {
     "set8_first_chunks": _chunk_rows,
     "set3_shared_topics": _shared_topics,
     "set2_topics_of_pairs": _prev_next_topics,
-    "srt11_newest_filings": lambda s, d: filings(s, d).orderBy(F.desc("filed_at"), F.desc("document_id")).limit(50).select("document_id", "accession", "filed_at"),
-    "win15_oldest_by_form": lambda s, d: filings(s, d).groupBy("cik", "form_type").agg(F.min_by("accession", F.struct("filed_at", "accession")).alias("oldest"), F.count("*").alias("filings")),
+    "srt11_newest_filings": lambda s, d: filings(s, d, *FILED).orderBy(F.desc("filed_at"), F.desc("document_id")).limit(50).select("document_id", "accession", "filed_at"),
+    "win15_oldest_by_form": lambda s, d: filings(s, d, *FILED).groupBy("cik", "form_type").agg(F.min_by("accession", F.struct("filed_at", "accession")).alias("oldest"), F.count("*").alias("filings")),
 }
 
 SQL = {

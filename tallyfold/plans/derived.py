@@ -9,6 +9,9 @@ from tallyfold.operators import timeline as TL
 from tallyfold.plans.model import entities, filings, mentions, sql
 
 
+FILED = ("cik", "accession", "form_type", "filed_at")
+
+
 def _links(s, d):
     """Edges stated by a paragraph: from a company named in it to every other thing cited there."""
     m = mentions(s, d)
@@ -86,18 +89,18 @@ def _as_of(s, d):
 
 def _categories(s, d):
     types = entities(s, d).select("cik", "slug", "entity_type")
-    rows = TL.changes(filings(s, d), mentions(s, d)).join(types, ["cik", "slug"], "left")
+    rows = TL.changes(filings(s, d, *FILED), mentions(s, d)).join(types, ["cik", "slug"], "left")
     return rows.groupBy(F.initcap(F.coalesce("entity_type", F.lit("Filing"))).alias("category"), "kind").agg(F.count("*").alias("events"))
 
 
 def _newest_events(s, d):
-    rows = TL.events(filings(s, d), mentions(s, d))
+    rows = TL.events(filings(s, d, *FILED), mentions(s, d))
     n = F.abs(F.coalesce("paragraphs", F.lit(0)) - F.coalesce("previous_paragraphs", F.lit(0)))
     return rows.withColumn("moved", n).orderBy(F.desc("filed_at"), "accession", "rank", F.desc("moved"), "slug").limit(100).select("key", "filed_at", "moved")
 
 
 def _evidence(s, d):
-    return TL.evidence(TL.changes(filings(s, d), mentions(s, d)), mentions(s, d))
+    return TL.evidence(TL.changes(filings(s, d, *FILED), mentions(s, d)), mentions(s, d, "quote"))
 
 
 def _titles(s, d):
@@ -111,7 +114,7 @@ def _titles(s, d):
         .otherwise(F.concat(F.lit("Cited in "), plural(c("previous_paragraphs")), F.lit(" before; in none of this filing.")))
     )
     del n
-    return TL.events(filings(s, d), mentions(s, d)).where("kind <> 'filed'").select("key", text.alias("summary"))
+    return TL.events(filings(s, d, *FILED), mentions(s, d)).where("kind <> 'filed'").select("key", text.alias("summary"))
 
 
 _PL = "{x}::VARCHAR || CASE WHEN {x} = 1 THEN ' paragraph' ELSE ' paragraphs' END"
@@ -129,17 +132,17 @@ QUERIES = {
     "gra13_explained": lambda s, d: _scores(s, d).select("cik", "slug", "importance", "mention_count", "documents", "latest_seen", "degree", "frequency", "spread", "recency", "centrality"),
     "gra14_graph_as_of": _as_of,
     "srt3_top_nodes": lambda s, d: G.nodes(_scores(s, d), limit=5),
-    "tml1_events": lambda s, d: TL.events(filings(s, d), mentions(s, d)),
-    "tml2_changes": lambda s, d: TL.changes(filings(s, d), mentions(s, d)),
+    "tml1_events": lambda s, d: TL.events(filings(s, d, *FILED), mentions(s, d)),
+    "tml2_changes": lambda s, d: TL.changes(filings(s, d, *FILED), mentions(s, d)),
     "tml4_evidence": _evidence,
     "tml6_categories": _categories,
     "srt5_newest_events": _newest_events,
     "sca48_event_summaries": _titles,
-    "win2_previous_filing": lambda s, d: TL.comparable(filings(s, d)).select("document_id", "cik", "form_type", "next_document_id"),
-    "win3_coverage": lambda s, d: TL.coverage(filings(s, d)),
-    "win4_first_citations": lambda s, d: TL.first_citations(filings(s, d), mentions(s, d)).select("cik", "slug", "form_type", "at.filed_at", "at.accession"),
+    "win2_previous_filing": lambda s, d: TL.comparable(filings(s, d, *FILED)).select("document_id", "cik", "form_type", "next_document_id"),
+    "win3_coverage": lambda s, d: TL.coverage(filings(s, d, *FILED)),
+    "win4_first_citations": lambda s, d: TL.first_citations(filings(s, d, *FILED), mentions(s, d)).select("cik", "slug", "form_type", "at.filed_at", "at.accession"),
     "agg16_topic_paragraphs": lambda s, d: TL.topic_counts(mentions(s, d)),
-    "joi28_compared_topics": lambda s, d: TL.compared(filings(s, d), mentions(s, d)),
+    "joi28_compared_topics": lambda s, d: TL.compared(filings(s, d, *FILED), mentions(s, d)),
 }
 
 SQL = {

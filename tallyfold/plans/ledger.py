@@ -21,14 +21,18 @@ def _failed(keys: str = "", where: str = "") -> str:
     return f"SELECT {k}count(*) AS failed_requests FROM (SELECT {k}request_id FROM usage1 {where} GROUP BY {k}request_id HAVING bool_or(status = 'failed') AND NOT bool_or(status IN ('success', 'fallback', 'cached', 'blocked'))) {f'GROUP BY {keys}' if keys else ''}"
 
 
+#: What totals are made of.
+BASE = ("request_id", "status", "estimated_cost_usd", "input_tokens", "output_tokens", "cached_tokens")
+
+
 def _last30(spark, d):
-    rows = usage(spark, d)
+    rows = usage(spark, d, *BASE, "task_type", "created_at")
     newest = table(spark, d, "ai_usage_logs").select(F.date_sub(F.max(F.to_date("created_at")), 29)).scalar()
     return rows.where(F.to_date("created_at") >= newest)
 
 
 def _breakdown(spark, d):
-    rows = usage(spark, d)
+    rows = usage(spark, d, *BASE, "provider", "model", "task_type", "organization_id")
     parts = [L.totals(rows.withColumn("key", key), ["key"]).select(F.lit(name).alias("dimension"), "key", "cost", "requests", "input_tokens", "output_tokens", "failed_attempts") for name, key in (
         ("provider", F.col("provider")), ("model", F.concat_ws(":", "provider", "model")), ("task", F.col("task_type")), ("organization", F.col("organization_id")))]
     out = parts[0]
@@ -39,38 +43,38 @@ def _breakdown(spark, d):
 
 def _by_org(spark, d):
     orgs = table(spark, d, "organizations").select("organization_id", F.col("name").alias("label"))
-    return L.totals(usage(spark, d), ["organization_id"]).join(orgs, "organization_id").select("organization_id", "label", "cost", "requests")
+    return L.totals(usage(spark, d, *BASE, "organization_id"), ["organization_id"]).join(orgs, "organization_id").select("organization_id", "label", "cost", "requests")
 
 
 def _recent_failures(spark, d):
     orgs = table(spark, d, "organizations").select("organization_id", F.col("slug").alias("organization"))
-    rows = usage(spark, d).where(F.col("status").isin("failed", "blocked"))
+    rows = usage(spark, d, "organization_id", "provider", "model", "status", "error_message", "created_at").where(F.col("status").isin("failed", "blocked"))
     return rows.join(orgs, "organization_id").orderBy(F.desc("created_at"), F.desc("usage_id")).limit(25).select("usage_id", "organization", "provider", "model", "status", "error_message", "created_at")
 
 
 def _facets(spark, d):
-    rows = usage(spark, d)
+    rows = usage(spark, d, "provider", "model")
     return rows.select(F.lit("provider").alias("facet"), F.col("provider").alias("value")).unionByName(rows.select(F.lit("model").alias("facet"), F.concat_ws(":", "provider", "model").alias("value"))).distinct()
 
 
 def _counters(spark, d):
-    rows = usage(spark, d).withColumn("month", F.date_trunc("month", F.col("created_at").cast("timestamp")).cast("date"))
+    rows = usage(spark, d, "organization_id", "created_at", "input_tokens", "output_tokens", "estimated_cost_usd").withColumn("month", F.date_trunc("month", F.col("created_at").cast("timestamp")).cast("date"))
     return rows.groupBy("organization_id", "month").agg(F.sum(F.col("input_tokens").cast("bigint") + F.col("output_tokens")).alias("tokens"), F.sum("estimated_cost_usd").cast("decimal(38,6)").alias("cost"))
 
 
 def _user_day(spark, d):
-    rows = usage(spark, d).where(F.col("status").isin(*L.CALLED) & F.col("user_id").isNotNull()).withColumn("day", F.to_date("created_at"))
+    rows = usage(spark, d, "status", "user_id", "created_at", "request_id").where(F.col("status").isin(*L.CALLED) & F.col("user_id").isNotNull()).withColumn("day", F.to_date("created_at"))
     return rows.select("user_id", "day", "request_id").distinct().groupBy("user_id", "day").agg(F.count("request_id").alias("requests"))
 
 
 def _spread(spark, d):
-    rows = usage(spark, d).where("latency_ms is not null")
+    rows = usage(spark, d, "provider", "model", "latency_ms", "status").where("latency_ms is not null")
     return rows.groupBy("provider", "model").agg(F.count("*").alias("calls"), F.min("latency_ms").alias("least"), F.max("latency_ms").alias("most"), F.bround(F.sum("latency_ms") / F.count("*"), 4).alias("mean"), F.count_if(F.col("status") == "failed").alias("failed"))
 
 
 def _cube(spark, d):
     """All breakdowns in one pass: grouping sets over the folded requests."""
-    rows = L.folded_requests(usage(spark, d), ["provider", "model", "task_type"])
+    rows = L.folded_requests(usage(spark, d, *BASE, "provider", "model", "task_type"), ["provider", "model", "task_type"])
     rows = rows.groupBy("provider", "model", "task_type").agg(F.sum("cost").cast("decimal(38,6)").alias("cost"), F.count("*").alias("n"))
     return rows.rollup("provider", "model", "task_type").agg(F.sum("cost").cast("decimal(38,6)").alias("cost"), F.grouping_id().cast("bigint").alias("level"), F.sum("n").alias("request_groups"))
 
@@ -80,27 +84,27 @@ def _attempt_order(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("request_id").orderBy("created_at", "usage_id")
-    return usage(spark, d).select("usage_id", "request_id", F.row_number().over(w).alias("attempt"), F.lead("status").over(w).alias("next_status"))
+    return usage(spark, d, "request_id", "created_at", "status").select("usage_id", "request_id", F.row_number().over(w).alias("attempt"), F.lead("status").over(w).alias("next_status"))
 
 
 QUERIES = {
-    "agg1_usage_totals": lambda s, d: L.totals(usage(s, d), []).drop("failed_requests"),
-    "agg2_failed_requests": lambda s, d: L.totals(usage(s, d), []).select("failed_requests"),
-    "agg3_usage_ratios": lambda s, d: L.ratios(L.totals(usage(s, d), ["provider"])).select("provider", "cost_per_answer", "fallback_rate", "cache_rate"),
+    "agg1_usage_totals": lambda s, d: L.totals(usage(s, d, *BASE), []).drop("failed_requests"),
+    "agg2_failed_requests": lambda s, d: L.totals(usage(s, d, *BASE), []).select("failed_requests"),
+    "agg3_usage_ratios": lambda s, d: L.ratios(L.totals(usage(s, d, *BASE, "provider"), ["provider"])).select("provider", "cost_per_answer", "fallback_rate", "cache_rate"),
     "agg4_usage_breakdown": _breakdown,
-    "agg5_usage_by_day": lambda s, d: L.by_period(usage(s, d), "day"),
-    "agg5_usage_by_month": lambda s, d: L.by_period(usage(s, d), "month"),
+    "agg5_usage_by_day": lambda s, d: L.by_period(usage(s, d, *BASE, "created_at"), "day"),
+    "agg5_usage_by_month": lambda s, d: L.by_period(usage(s, d, *BASE, "created_at"), "month"),
     "agg6_usage_facets": _facets,
     "agg7_month_counters": _counters,
     "agg7_user_day_requests": _user_day,
-    "agg32_usage_by_status": lambda s, d: usage(s, d).groupBy("provider", "model", "status").agg(F.count("*").alias("calls"), F.sum("estimated_cost_usd").cast("decimal(38,6)").alias("cost")),
+    "agg32_usage_by_status": lambda s, d: usage(s, d, "provider", "model", "status", "estimated_cost_usd").groupBy("provider", "model", "status").agg(F.count("*").alias("calls"), F.sum("estimated_cost_usd").cast("decimal(38,6)").alias("cost")),
     "agg33_latency_spread": _spread,
     "prd17_usage_last_30_days": lambda s, d: L.totals(_last30(s, d), ["task_type"]),
     "joi15_usage_by_organization": _by_org,
     "joi16_recent_failures": _recent_failures,
-    "sca91_filled_days": lambda s, d: L.filled_days(L.by_period(usage(s, d), "day"), "period", {"cost": F.lit(0).cast("decimal(38,6)"), "requests": F.lit(0).cast("bigint")}),
-    "ret7_running_spend": lambda s, d: L.running_spend(usage(s, d)),
-    "ret14_failure_runs": lambda s, d: L.failure_runs(usage(s, d)),
+    "sca91_filled_days": lambda s, d: L.filled_days(L.by_period(usage(s, d, *BASE, "created_at"), "day"), "period", {"cost": F.lit(0).cast("decimal(38,6)"), "requests": F.lit(0).cast("bigint")}),
+    "ret7_running_spend": lambda s, d: L.running_spend(usage(s, d, "organization_id", "created_at", "estimated_cost_usd")),
+    "ret14_failure_runs": lambda s, d: L.failure_runs(usage(s, d, "provider", "model", "created_at", "status")),
     "ret8_attempt_order": _attempt_order,
     "ext_usage_rollup": _cube,
 }

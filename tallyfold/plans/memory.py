@@ -22,7 +22,7 @@ def _company_writes(s, d):
 
 def _metrics(s, d):
     m = mentions(s, d).where("entity_type = 'metric'")
-    v = extractions(s, d).select(F.col("extracted_id").alias("mention_id"), "period", "value", "unit")
+    v = extractions(s, d, "period", "value", "unit").select(F.col("extracted_id").alias("mention_id"), "period", "value", "unit")
     return m.join(v, "mention_id").select("mention_id", "cik", "document_id", "filed_at", T.metric(F.col("name")).alias("metric"), "period", "value", "unit")
 
 
@@ -36,13 +36,13 @@ def _series(s, d):
 
 
 def _merged(s, d, kind):
-    m = mentions(s, d).where(F.col("entity_type") == kind)
+    m = mentions(s, d, "description").where(F.col("entity_type") == kind)
     return M.upserted(m, ["cik", "slug"], ["filed_at", "mention_id"], {"name": "first", "description": "first_known"}, "mentions").join(
         m.groupBy("cik", "slug").agg(F.min("filed_at").alias("first_seen"), F.max("filed_at").alias("last_seen")), ["cik", "slug"])
 
 
 def _risks(s, d):
-    newest = filings(s, d).groupBy("cik").agg(F.max("filed_at").alias("newest"))
+    newest = filings(s, d, "cik", "filed_at").groupBy("cik").agg(F.max("filed_at").alias("newest"))
     return M.dropped_marked(entities(s, d), newest, "cik", "risk").select("cik", "slug", "entity_type", "latest_seen", "status")
 
 
@@ -57,7 +57,7 @@ def _overview(s, d):
 
 
 def _company_list(s, d):
-    f = filings(s, d).groupBy("cik").agg(F.count("*").alias("documents"), F.max("filed_at").alias("latest"))
+    f = filings(s, d, "cik", "filed_at").groupBy("cik").agg(F.count("*").alias("documents"), F.max("filed_at").alias("latest"))
     return table(s, d, "companies").select("cik", "ticker", "name").join(f, "cik", "left").select("cik", "ticker", "name", F.coalesce("documents", F.lit(0)).alias("documents"), "latest")
 
 
@@ -68,7 +68,7 @@ def _top_entities(s, d):
 
 def _sectioned(s, d):
     sec = table(s, d, "sections").groupBy("document_id", F.col("ordinal").alias("section_ordinal")).agg(F.min("title").alias("title"))
-    return paragraphs(s, d).join(sec, ["document_id", "section_ordinal"], "left").select("block_id", "document_id", "section_ordinal", "title")
+    return paragraphs(s, d, "document_id", "section_ordinal").join(sec, ["document_id", "section_ordinal"], "left").select("block_id", "document_id", "section_ordinal", "title")
 
 
 def _search(s, d):
@@ -85,7 +85,7 @@ def _rerank(s, d):
 def _replaced(s, d):
     """The paragraphs of filings that were ingested again take the place of those stored."""
     again = table(s, d, "filings").groupBy("document_id").agg(F.count("*").alias("n")).where("n > 1").select("document_id")
-    stored = paragraphs(s, d).select("document_id", "block_id", "text")
+    stored = paragraphs(s, d, "document_id", "text").select("document_id", "block_id", "text")
     return M.replaced(stored, stored.join(again, "document_id", "left_semi").withColumn("text", F.concat(F.lit("again: "), F.col("text"))), "document_id")
 
 
@@ -112,34 +112,34 @@ QUERIES = {
     "snk2_changed_deliveries": lambda s, d: M.changed_deliveries(table(s, d, "filings").select("document_id", "accession", "content_sha256", "ingested_at"), "accession", "content_sha256", ["ingested_at"]),
     "snk3_replaced_paragraphs": _replaced,
     "snk5_metric_observations": lambda s, d: _observed(s, d).select("mention_id", "cik", "metric", "period", "document_id", "value", "restated"),
-    "snk6_entity_upsert": lambda s, d: M.upserted(mentions(s, d).withColumns({"first_seen": F.col("filed_at"), "latest_seen": F.col("filed_at")}), ["cik", "slug"], ["filed_at", "mention_id"], {"name": "last", "description": "last_known", "entity_type": "first", "first_seen": "least", "latest_seen": "greatest"}, "mention_count"),
-    "snk7_mentions_once": lambda s, d: M.inserted_if_absent(mentions(s, d).select("document_id", "slug", "paragraph_id", "mention_id", "quote"), ["document_id", "slug", "paragraph_id"], ["mention_id"]),
+    "snk6_entity_upsert": lambda s, d: M.upserted(mentions(s, d, "description").withColumns({"first_seen": F.col("filed_at"), "latest_seen": F.col("filed_at")}), ["cik", "slug"], ["filed_at", "mention_id"], {"name": "last", "description": "last_known", "entity_type": "first", "first_seen": "least", "latest_seen": "greatest"}, "mention_count"),
+    "snk7_mentions_once": lambda s, d: M.inserted_if_absent(mentions(s, d, "quote").select("document_id", "slug", "paragraph_id", "mention_id", "quote"), ["document_id", "slug", "paragraph_id"], ["mention_id"]),
     "snk8_dropped_risks": _risks,
     "agg12_company_list": _company_list,
     "agg13_entities_by_type": _overview,
-    "agg11_corpus_totals": lambda s, d: filings(s, d).agg(F.count("*").alias("documents"), F.max("filed_at").alias("newest"), F.min("filed_at").alias("oldest")),
+    "agg11_corpus_totals": lambda s, d: filings(s, d, "filed_at").agg(F.count("*").alias("documents"), F.max("filed_at").alias("newest"), F.min("filed_at").alias("oldest")),
     "agg9_entity_counts": lambda s, d: entities(s, d).select("cik", "slug", "mention_count", "documents"),
-    "agg15_document_stats": lambda s, d: E.document_stats(paragraphs(s, d)),
+    "agg15_document_stats": lambda s, d: E.document_stats(paragraphs(s, d, "document_id", "paragraph_id", "page_number", "text")),
     "agg23_topics": lambda s, d: _merged(s, d, "strategy"),
     "agg25_products": lambda s, d: _merged(s, d, "product"),
     "agg24_people": _people,
     "agg26_metric_series": _series,
-    "agg30_page_paragraphs": lambda s, d: paragraphs(s, d).groupBy("document_id", "page_number").agg(F.count("*").alias("paragraphs")),
-    "agg45_paragraph_confidence": lambda s, d: mentions(s, d).groupBy("document_id", "paragraph_id").agg(F.max("confidence").alias("confidence")),
-    "agg46_paragraph_entities": lambda s, d: E.paragraph_entities(mentions(s, d)),
+    "agg30_page_paragraphs": lambda s, d: paragraphs(s, d, "document_id", "page_number").groupBy("document_id", "page_number").agg(F.count("*").alias("paragraphs")),
+    "agg45_paragraph_confidence": lambda s, d: mentions(s, d, "confidence").groupBy("document_id", "paragraph_id").agg(F.max("confidence").alias("confidence")),
+    "agg46_paragraph_entities": lambda s, d: E.paragraph_entities(mentions(s, d, "confidence")),
     "agg47_folded_labels": lambda s, d: mentions(s, d).groupBy("slug").agg(F.array_join(F.sort_array(F.collect_set("name")), "|").alias("labels"), F.count("*").alias("n")),
-    "evi_citations": lambda s, d: E.resolved(mentions(s, d), paragraphs(s, d)),
-    "joi13_full_texts": lambda s, d: E.full_texts(paragraphs(s, d)),
+    "evi_citations": lambda s, d: E.resolved(mentions(s, d, "quote"), paragraphs(s, d, "document_id", "paragraph_id", "text", "page_number", "section_ordinal")),
+    "joi13_full_texts": lambda s, d: E.full_texts(paragraphs(s, d, "document_id", "ordinal", "text")),
     "joi21_sections_of_paragraphs": _sectioned,
-    "joi11_cited_paragraphs": lambda s, d: paragraphs(s, d).join(mentions(s, d).select("document_id", "paragraph_id").distinct(), ["document_id", "paragraph_id"], "left_semi").select("block_id", "document_id", "paragraph_id"),
-    "prd20_uncited_mentions": lambda s, d: mentions(s, d).join(paragraphs(s, d).select("document_id", "paragraph_id").distinct(), ["document_id", "paragraph_id"], "left_anti").select("mention_id", "document_id", "paragraph_id"),
-    "win11_page_neighbours": lambda s, d: E.page_neighbours(paragraphs(s, d)),
-    "msc41_all_pages": lambda s, d: E.all_pages(filings(s, d), paragraphs(s, d)),
+    "joi11_cited_paragraphs": lambda s, d: paragraphs(s, d, "document_id", "paragraph_id").join(mentions(s, d).select("document_id", "paragraph_id").distinct(), ["document_id", "paragraph_id"], "left_semi").select("block_id", "document_id", "paragraph_id"),
+    "prd20_uncited_mentions": lambda s, d: mentions(s, d).join(paragraphs(s, d, "document_id", "paragraph_id").select("document_id", "paragraph_id").distinct(), ["document_id", "paragraph_id"], "left_anti").select("mention_id", "document_id", "paragraph_id"),
+    "win11_page_neighbours": lambda s, d: E.page_neighbours(paragraphs(s, d, "document_id", "page_number")),
+    "msc41_all_pages": lambda s, d: E.all_pages(filings(s, d, "page_count"), paragraphs(s, d, "document_id", "page_number")),
     "srt9_top_entities": _top_entities,
     "srt13_known_topics": _known_topics,
     "ret1_search": _search,
     "srt2_reranked": _rerank,
-    "src21_hashed_embeddings": lambda s, d: paragraphs(s, d).select("block_id", R.hashed_embedding(64)("text").alias("embedding")),
+    "src21_hashed_embeddings": lambda s, d: paragraphs(s, d, "text").select("block_id", R.hashed_embedding(64)("text").alias("embedding")),
 }
 
 _COS = """, q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 9) AS sc FROM q JOIN embeddings ON vec_id <> query_id),

@@ -12,28 +12,32 @@ from tallyfold.functions import text as T
 from tallyfold.sources.tables import table
 
 
-def latest(df: DataFrame, key: str, *by: str) -> DataFrame:
-    """The last row of each key: a partial aggregation, whatever the number of deliveries."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("r")).select(key, "r.*").select(*df.columns)
+def latest(df: DataFrame, key: str, *by: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """The last row of each key: a partial aggregation, whatever the number of deliveries.
 
+    Only `columns` (all if none are named) are read and sent; name what a query needs.
+    """
+    keep = [c for c in columns or df.columns if c != key]
+    rows = df.select(key, *dict.fromkeys([*keep, *by]))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*keep), F.struct(*by)).alias("r")).select(key, "r.*")
 
-def filings(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "filings"), "document_id", "ingested_at")
 
+def filings(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return latest(table(spark, d, "filings"), "document_id", "ingested_at", columns=columns)
 
-def paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "blocks"), "block_id", "ingested_at")
 
+def paragraphs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return latest(table(spark, d, "blocks"), "block_id", "ingested_at", columns=columns)
 
-def extractions(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "extracted"), "extracted_id", "created_at")
 
+def extractions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return latest(table(spark, d, "extracted"), "extracted_id", "created_at", columns=columns)
 
-def mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Every extraction of a known filing, with its filing's dates and its entity's key."""
-    f = filings(spark, d).select("document_id", "cik", "accession", "form_type", "filed_at")
-    e = extractions(spark, d).select(F.col("extracted_id").alias("mention_id"), "document_id", "paragraph_id", "name", "entity_type", "confidence", "quote", "description")
+
+def mentions(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Every extraction of a known filing, with its filing's dates and its entity's key; `more`: confidence, quote, description."""
+    f = filings(spark, d, "cik", "accession", "form_type", "filed_at")
+    e = extractions(spark, d, "document_id", "paragraph_id", "name", "entity_type", *more).withColumnRenamed("extracted_id", "mention_id")
     return e.join(f, "document_id").withColumn("slug", T.slug(F.col("name")))
 
 
@@ -75,5 +79,5 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def usage(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "ai_usage_logs"), "usage_id", "received_at")
+def usage(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return latest(table(spark, d, "ai_usage_logs"), "usage_id", "received_at", columns=columns)

@@ -9,7 +9,7 @@ from tallyfold.functions import text as T
 from tallyfold.operators import graph as G
 from tallyfold.operators import merge as M
 from tallyfold.operators import timeline as TL
-from tallyfold.plans.derived import _CHANGES, _CO, _EDGES, _TYPED, _edges, _links, _listed
+from tallyfold.plans.derived import _CHANGES, _CO, _EDGES, _TYPED, FILED, _edges, _links, _listed
 from tallyfold.plans.memory import _MET, _metrics, _observed
 from tallyfold.plans.model import entities, extractions, filings, mentions, paragraphs, sql, table, usage
 
@@ -36,11 +36,11 @@ def _reading(s, d):
 
 
 def _pages_null_last(s, d):
-    return paragraphs(s, d).select("document_id", "page_number").distinct().orderBy("document_id", F.col("page_number").asc_nulls_last())
+    return paragraphs(s, d, "document_id", "page_number").select("document_id", "page_number").distinct().orderBy("document_id", F.col("page_number").asc_nulls_last())
 
 
 def _events_once(s, d):
-    rows = TL.events(filings(s, d), mentions(s, d)).select("cik", "kind", F.concat_ws(":", "accession", "slug").alias("ref"), F.col("filed_at").alias("at"), "key")
+    rows = TL.events(filings(s, d, *FILED), mentions(s, d)).select("cik", "kind", F.concat_ws(":", "accession", "slug").alias("ref"), F.col("filed_at").alias("at"), "key")
     return M.inserted_if_absent(rows.unionByName(rows), ["cik", "kind", "ref", "at"], ["key"])
 
 
@@ -58,14 +58,14 @@ def _neighbours(s, d):
 
 
 def _company_summary(s, d):
-    f = filings(s, d).groupBy("cik").agg(F.count("*").alias("documents"), F.min("filed_at").alias("first_filed"), F.max("filed_at").alias("last_filed"))
+    f = filings(s, d, *FILED).groupBy("cik").agg(F.count("*").alias("documents"), F.min("filed_at").alias("first_filed"), F.max("filed_at").alias("last_filed"))
     e = entities(s, d).groupBy("cik").agg(F.count("*").alias("entities"), F.sum("mention_count").alias("mentions"))
     return f.join(e, "cik", "full_outer").select("cik", "documents", "first_filed", "last_filed", "entities", "mentions")
 
 
 def _quality(s, d):
     """Constraints of the tables as counts of rows that break them."""
-    x, f, u = extractions(s, d), filings(s, d), usage(s, d)
+    x, f, u = extractions(s, d, "confidence", "entity_type"), filings(s, d, "page_count"), usage(s, d, "input_tokens", "output_tokens", "cached_tokens", "estimated_cost_usd")
     checks = [
         ("confidence", x.where("confidence is null or confidence < 0 or confidence > 1")), ("entity_type", x.where(~F.coalesce(F.col("entity_type").isin(*COLOURS), F.lit(False)))),
         ("page_count", f.where("page_count < 1")), ("tokens", u.where("input_tokens < 0 or output_tokens < 0 or cached_tokens > input_tokens")), ("cost", u.where("estimated_cost_usd < 0")),
@@ -80,7 +80,7 @@ def _quality(s, d):
 def _search_text(s, d):
     """Paragraphs of periodic filings that speak of a topic of their own company by name."""
     top = entities(s, d).where("mention_count >= 3").select("cik", "slug", "name")
-    p = paragraphs(s, d).join(filings(s, d).where(F.col("form_type").isin(*TL.PERIODIC)).select("document_id", "cik"), "document_id")
+    p = paragraphs(s, d, "document_id", "text").join(filings(s, d, *FILED).where(F.col("form_type").isin(*TL.PERIODIC)).select("document_id", "cik"), "document_id")
     return p.join(top, "cik").where(T.has_name(F.col("text"), F.col("name"))).select("block_id", "slug")
 
 
@@ -88,19 +88,19 @@ def _redacted(s, d):
     """Error messages without what looks like a key or an address."""
     m = F.regexp_replace("error_message", r"[A-Za-z0-9_-]{24,}", "[redacted]")
     m = F.regexp_replace(m, r"[\w.+-]+@[\w-]+\.[\w.]+", "[address]")
-    return usage(s, d).where("error_message is not null").select("usage_id", F.substring(m, 1, 500).alias("message"))
+    return usage(s, d, "error_message").where("error_message is not null").select("usage_id", F.substring(m, 1, 500).alias("message"))
 
 
 def _mention_spans(s, d):
-    e = extractions(s, d).where("quote is not null").select("extracted_id", "document_id", "paragraph_id", "quote")
-    p = paragraphs(s, d).groupBy("document_id", "paragraph_id").agg(F.min_by("text", "block_id").alias("text"))
+    e = extractions(s, d, "document_id", "paragraph_id", "quote").where("quote is not null").select("extracted_id", "document_id", "paragraph_id", "quote")
+    p = paragraphs(s, d, "document_id", "paragraph_id", "text").groupBy("document_id", "paragraph_id").agg(F.min_by("text", "block_id").alias("text"))
     return e.join(p, ["document_id", "paragraph_id"]).select("extracted_id", F.instr("text", F.col("quote")).alias("at"), F.length("quote").alias("length"))
 
 
 def _role_on(s, d):
     """The organization's plan row in force when a request was made: an interval join on open-ended spans, first span that fits."""
     o = table(s, d, "organizations").select("organization_id", F.to_date("created_at").alias("since"), F.lit(None).cast("date").alias("until"), "monthly_tokens")
-    u = usage(s, d).select("usage_id", "organization_id", F.to_date("created_at").alias("day"))
+    u = usage(s, d, "organization_id", "created_at").select("usage_id", "organization_id", F.to_date("created_at").alias("day"))
     return u.join(o, "organization_id").where((F.col("since") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") <= F.col("until")))).select("usage_id", "organization_id", "monthly_tokens")
 
 
@@ -118,33 +118,33 @@ QUERIES = {
     "win13_restated": lambda s, d: _observed(s, d).where("restated").select("mention_id", "cik", "metric", "period"),
     "agg44_series": lambda s, d: _observed(s, d).groupBy("cik", "metric").agg(F.count("*").alias("points"), F.count_distinct("period").alias("periods"), F.min("filed_at").alias("first"), F.max("filed_at").alias("last")),
     "prj27_metric_rows": lambda s, d: _metrics(s, d).select("mention_id", "cik", "document_id", "metric", "period", "value", "unit"),
-    "srt10_event_log": lambda s, d: TL.events(filings(s, d), mentions(s, d)).orderBy(F.desc("filed_at"), "key").limit(50).select("key", "filed_at"),
+    "srt10_event_log": lambda s, d: TL.events(filings(s, d, *FILED), mentions(s, d)).orderBy(F.desc("filed_at"), "key").limit(50).select("key", "filed_at"),
     "srt12_pages_null_last": _pages_null_last,
-    "srt14_pending_paragraphs": lambda s, d: paragraphs(s, d).where("page_number is null").orderBy("block_id").limit(500).select("block_id", "document_id"),
-    "srt18_events_with_total": lambda s, d: TL.changes(filings(s, d), mentions(s, d)).groupBy("cik").agg(F.count("*").alias("total"), F.max("filed_at").alias("newest")),
+    "srt14_pending_paragraphs": lambda s, d: paragraphs(s, d, "document_id", "page_number").where("page_number is null").orderBy("block_id").limit(500).select("block_id", "document_id"),
+    "srt18_events_with_total": lambda s, d: TL.changes(filings(s, d, *FILED), mentions(s, d)).groupBy("cik").agg(F.count("*").alias("total"), F.max("filed_at").alias("newest")),
     "snk9_relationship_upsert": _relationships,
     "snk10_events_once": _events_once,
     "joi2_citation_rows": lambda s, d: mentions(s, d).join(table(s, d, "companies").select("cik", F.col("name").alias("company")), "cik").select("mention_id", "company", "accession", "paragraph_id"),
     "joi5_entities_with_mentions": lambda s, d: table(s, d, "companies").select("cik").join(entities(s, d), "cik", "left").groupBy("cik").agg(F.count("slug").alias("entities"), F.coalesce(F.sum("mention_count"), F.lit(0)).alias("mentions")),
     "joi10_topic_mentions": lambda s, d: mentions(s, d).join(entities(s, d).select("cik", "slug", F.col("entity_type").alias("kind")), ["cik", "slug"]).select("mention_id", "slug", "kind"),
     "joi26_interval_join": _role_on,
-    "joi33_first_duplicates": lambda s, d: paragraphs(s, d).groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("block_id").alias("kept"), F.count("*").alias("copies")).where("copies > 1"),
+    "joi33_first_duplicates": lambda s, d: paragraphs(s, d, "text").groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("block_id").alias("kept"), F.count("*").alias("copies")).where("copies > 1"),
     "agg10_documents_of_entities": lambda s, d: mentions(s, d).groupBy("cik", "slug").agg(F.array_join(F.transform(F.sort_array(F.collect_set("document_id")), lambda x: x.cast("string")), ",").alias("documents")),
     "agg13_company_summary": _company_summary,
-    "agg17_event_kinds": lambda s, d: TL.changes(filings(s, d), mentions(s, d)).groupBy("kind").agg(F.count("*").alias("n")),
+    "agg17_event_kinds": lambda s, d: TL.changes(filings(s, d, *FILED), mentions(s, d)).groupBy("kind").agg(F.count("*").alias("n")),
     "agg18_neighbours": _neighbours,
-    "agg29_parse_stats": lambda s, d: paragraphs(s, d).groupBy("accession").agg(F.count("*").alias("paragraphs"), F.max("page_number").alias("pages"), F.sum(F.length("text")).alias("characters")),
+    "agg29_parse_stats": lambda s, d: paragraphs(s, d, "accession", "page_number", "text").groupBy("accession").agg(F.count("*").alias("paragraphs"), F.max("page_number").alias("pages"), F.sum(F.length("text")).alias("characters")),
     "agg42_memory_counts": lambda s, d: entities(s, d).groupBy("entity_type").agg(F.count("*").alias("n"), F.sum("mention_count").alias("mentions")),
     "gra14_edges_as_of": _prefix_edges,
-    "prd11_on_page": lambda s, d: paragraphs(s, d).where(T.paragraph_page(F.col("paragraph_id"), F.col("page_number")) == 3).select("block_id"),
-    "prd12_recent_changes": lambda s, d: TL.changes(filings(s, d), mentions(s, d)).where("filed_at >= date '2022-01-01' and kind in ('newly_disclosed', 'expanded')").select("accession", "slug", "kind"),
+    "prd11_on_page": lambda s, d: paragraphs(s, d, "paragraph_id", "page_number").where(T.paragraph_page(F.col("paragraph_id"), F.col("page_number")) == 3).select("block_id"),
+    "prd12_recent_changes": lambda s, d: TL.changes(filings(s, d, *FILED), mentions(s, d)).where("filed_at >= date '2022-01-01' and kind in ('newly_disclosed', 'expanded')").select("accession", "slug", "kind"),
     "prd13_active_risks": lambda s, d: entities(s, d).where("entity_type = 'risk'").select("cik", "slug", "mention_count"),
     "prd29_constraints": _quality,
     "sca16_paragraph_keys": lambda s, d: mentions(s, d).select("mention_id", F.coalesce(T.base_paragraph(F.col("paragraph_id")), F.concat(F.lit("mention:"), F.col("mention_id").cast("string"))).alias("key")),
     "sca23_quote_places": _mention_spans,
     "sca34_colours": lambda s, d: mentions(s, d).select("mention_id", T.looked_up(COLOURS, F.col("entity_type"), F.lit(OTHER_COLOUR)).alias("colour")),
     "sca38_names_in_text": _search_text,
-    "sca49_event_keys": lambda s, d: TL.events(filings(s, d), mentions(s, d)).select("key"),
+    "sca49_event_keys": lambda s, d: TL.events(filings(s, d, *FILED), mentions(s, d)).select("key"),
     "sca66_redacted": _redacted,
     "gra2_undirected": lambda s, d: G.co_occurrence(mentions(s, d), min_shared=2).select("cik", "source", "target", "weight"),
 }

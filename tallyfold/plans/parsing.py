@@ -19,7 +19,7 @@ RULES = [
 
 def as_markup(s, d):
     """Each filing as markup: its paragraphs in order, a page break wherever the page changes."""
-    p = paragraphs(s, d).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("page_number", F.lit(0)).alias("page"), "ordinal", "block_id", "text"))).alias("p"))
+    p = paragraphs(s, d, "document_id", "page_number", "ordinal", "text").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("page_number", F.lit(0)).alias("page"), "ordinal", "block_id", "text"))).alias("p"))
     escape = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     piece = F.transform("p", lambda x, i: F.concat(F.when((i > 0) & (F.get("p", i - 1)["page"] != x["page"]), '<hr style="page-break-after: always"/>').otherwise(""), F.lit("<p>"), escape(x["text"]), F.lit("</p>")))
     return p.select("document_id", F.concat(F.lit("<html><head><title>x</title></head><body>"), F.array_join(piece, "\n"), F.lit("</body></html>")).alias("html"))
@@ -38,13 +38,13 @@ def _sections(s, d):
 
 def _tables(s, d):
     """A table of each company's filings, header first."""
-    rows = filings(s, d).groupBy("cik").agg(F.min("document_id").alias("document_id"), F.array_sort(F.collect_list(F.struct(F.col("accession"), F.col("form_type"), F.col("filed_at").cast("string").alias("filed")))).alias("r"))
+    rows = filings(s, d, "cik", "accession", "form_type", "filed_at").groupBy("cik").agg(F.min("document_id").alias("document_id"), F.array_sort(F.collect_list(F.struct(F.col("accession"), F.col("form_type"), F.col("filed_at").cast("string").alias("filed")))).alias("r"))
     body = F.transform("r", lambda x: F.array(x["accession"], x["form_type"], x["filed"]))
     return rows.select("document_id", F.lit(0).alias("ordinal"), F.concat(F.array(F.array(F.lit("accession"), F.lit("form"), F.lit("filed"))), body).alias("cells"))
 
 
 def _chunks(s, d):
-    return CH.chunks(paragraphs(s, d))
+    return CH.chunks(paragraphs(s, d, "document_id", "section_ordinal", "ordinal", "paragraph_id", "page_number", "text"))
 
 
 _TIDY = r"trim(regexp_replace(text, '[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))"
@@ -53,16 +53,16 @@ QUERIES = {
     "prj1_parsed_blocks": _blocks,
     "prj3_parsed_sections": _sections,
     "prj15_chunks": _chunks,
-    "prj14_oversized_parts": lambda s, d: CH.oversized_parts(paragraphs(s, d)),
+    "prj14_oversized_parts": lambda s, d: CH.oversized_parts(paragraphs(s, d, "paragraph_id", "text")),
     "prj16_table_parts": lambda s, d: CH.table_parts(_tables(s, d), 400),
     "prj18_paragraphs_of_chunks": lambda s, d: CH.paragraphs_of(_chunks(s, d)),
     "prj22_chunk_pages": lambda s, d: _chunks(s, d).select("document_id", F.explode("paragraph_ids").alias("id")).select("document_id", F.split_part("id", F.lit("_"), F.lit(1)).try_cast("int").alias("page")).distinct(),
-    "sca17_sentences": lambda s, d: paragraphs(s, d).select("block_id", F.explode(sentence_spans()("text")).alias("s")).select("block_id", "s.start", "s.end"),
-    "sca24_anchored_quotes": lambda s, d: X.with_sentences(extractions(s, d), paragraphs(s, d)),
-    "prd23_checked_extractions": lambda s, d: X.checked(extractions(s, d), paragraphs(s, d)),
-    "agg36_refusals": lambda s, d: X.checked(extractions(s, d), paragraphs(s, d)).groupBy("reason").agg(F.count("*").alias("n")),
-    "src17_tagged": lambda s, d: X.tagged(paragraphs(s, d), RULES),
-    "prj23_rendered": lambda s, d: paragraphs(s, d).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "block_id", F.concat(F.lit("["), F.col("paragraph_id"), F.lit("] "), F.col("text")).alias("line")))).alias("p")).select("document_id", F.array_join(F.transform("p", lambda x: x["line"]), "\n\n").alias("text")),
+    "sca17_sentences": lambda s, d: paragraphs(s, d, "text").select("block_id", F.explode(sentence_spans()("text")).alias("s")).select("block_id", "s.start", "s.end"),
+    "sca24_anchored_quotes": lambda s, d: X.with_sentences(extractions(s, d, "document_id", "paragraph_id", "quote"), paragraphs(s, d, "document_id", "paragraph_id", "text")),
+    "prd23_checked_extractions": lambda s, d: X.checked(extractions(s, d, "document_id", "paragraph_id", "name", "entity_type", "confidence", "quote"), paragraphs(s, d, "document_id", "paragraph_id", "text")),
+    "agg36_refusals": lambda s, d: X.checked(extractions(s, d, "document_id", "paragraph_id", "name", "entity_type", "confidence", "quote"), paragraphs(s, d, "document_id", "paragraph_id", "text")).groupBy("reason").agg(F.count("*").alias("n")),
+    "src17_tagged": lambda s, d: X.tagged(paragraphs(s, d, "text"), RULES),
+    "prj23_rendered": lambda s, d: paragraphs(s, d, "document_id", "ordinal", "paragraph_id", "text").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "block_id", F.concat(F.lit("["), F.col("paragraph_id"), F.lit("] "), F.col("text")).alias("line")))).alias("p")).select("document_id", F.array_join(F.transform("p", lambda x: x["line"]), "\n\n").alias("text")),
 }
 
 _CHECKED = r""", k AS (SELECT document_id, paragraph_id, arg_min(text, block_id) AS paragraph FROM par GROUP BY 1, 2), a AS (SELECT ext.*, k.paragraph, trim(regexp_replace(name, '[\s\x{a0}]+', ' ', 'g')) AS nm FROM ext LEFT JOIN k USING (document_id, paragraph_id)),

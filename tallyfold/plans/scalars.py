@@ -102,14 +102,14 @@ def model_forms() -> tuple[str, ...]:
 
 _fill()
 
-_READ = {
-    "par": model.paragraphs, "ext": model.extractions, "fil": model.filings, "use": model.usage,
-    "org": lambda spark, d: model.table(spark, d, "organizations"),
-}
+#: By view: the table, its key and the column that orders deliveries.
+_READ = {"par": ("blocks", "ingested_at"), "ext": ("extracted", "created_at"), "fil": ("filings", "ingested_at"), "use": ("ai_usage_logs", "received_at"), "org": ("organizations", "created_at")}
 
 
 def _query(view: str, keys: tuple[str, ...], column: Callable[[], Column]):
-    return lambda spark, d: _READ[view](spark, d).select(*keys, column().alias("result"))
+    """The function on every delivery, then the last one's result: only the columns that the function reads are scanned and sent."""
+    name, order = _READ[view]
+    return lambda spark, d: model.latest(model.table(spark, d, name).select(*keys, F.col(order).alias("delivered"), column().alias("result")), keys[0], "delivered", columns=("result",))
 
 
 QUERIES = {name: _query(view, keys, column) for name, (view, keys, column, _) in _SPEC.items()}
