@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions import text as T
 from tallyfold.operators.ordering import with_next
+from tallyfold.storage import written
 
 #: Forms compared filing to filing, those in which absence tells something, and the display order of kinds.
 PERIODIC = ("10-K", "10-Q", "20-F", "40-F")
@@ -40,27 +41,32 @@ def topic_counts(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("document_id", "slug").agg(F.count_distinct(key).alias("n"))
 
 
-def compared(filings: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(filing, topic) of every comparison: paragraphs now and in the filing before, each side counted without a full outer join."""
-    c = comparable(filings)
+def compared(c: DataFrame, counts: DataFrame) -> DataFrame:
+    """(filing, topic) of every comparison: paragraphs now and in the filing before, each side counted without a full outer join.
+
+    `c` is `comparable` and `counts` is `topic_counts`.
+    """
     pairs = c.where(F.col("next_document_id").isNotNull()).select(F.col("document_id").alias("before_id"), F.col("next_document_id").alias("document_id"))
-    counts = topic_counts(mentions)
     here = counts.join(pairs, "document_id").select("document_id", "before_id", "slug", F.col("n").alias("after"), F.lit(0).cast("bigint").alias("before"))
     there = counts.select(F.col("document_id").alias("before_id"), "slug", "n").join(pairs, "before_id").select("document_id", "before_id", "slug", F.lit(0).cast("bigint").alias("after"), F.col("n").alias("before"))
     return here.unionByName(there).groupBy("document_id", "before_id", "slug").agg(F.sum("after").alias("after"), F.sum("before").alias("before"))
 
 
-def first_citations(filings: DataFrame, mentions: DataFrame) -> DataFrame:
+def first_citations(c: DataFrame, counts: DataFrame) -> DataFrame:
     """By company, topic and form: where a compared filing first cites the topic."""
-    c = comparable(filings).select("document_id", "accession")
-    return mentions.select("document_id", "cik", "slug", "form_type", "filed_at").join(c, "document_id").groupBy("cik", "slug", "form_type").agg(F.min(F.struct("filed_at", "accession")).alias("at"))
+    return counts.join(c, "document_id").groupBy("cik", "slug", "form_type").agg(F.min(F.struct("filed_at", "accession")).alias("at"))
 
 
 def changes(filings: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Events of topics: kind, paragraphs now and before, and the other forms that named a new topic earlier."""
-    f = comparable(filings).select("document_id", "cik", "accession", "form_type", "filed_at")
-    rows = compared(filings, mentions).join(f, "document_id")
-    earlier = first_citations(filings, mentions).select("cik", "slug", F.col("form_type").alias("form"), "at")
+    """Events of topics: kind, paragraphs now and before, and the other forms that named a new topic earlier.
+
+    Filings and mentions are read once: what the comparison needs of them are two small tables.
+    """
+    c = written(comparable(filings), "timeline-filings")
+    counts = written(topic_counts(mentions), "timeline-counts")
+    f = c.select("document_id", "cik", "accession", "form_type", "filed_at")
+    rows = compared(c, counts).join(f, "document_id")
+    earlier = first_citations(c, counts).select("cik", "slug", F.col("form_type").alias("form"), "at")
     new = rows.where((F.col("after") > 0) & (F.col("before") == 0)).join(earlier, ["cik", "slug"]).where(F.col("at") < F.struct("filed_at", "accession"))
     seen = new.groupBy("document_id", "slug").agg(F.array_sort(F.collect_set("form")).alias("seen_in"))
     rows = rows.join(seen, ["document_id", "slug"], "left").withColumn("seen_in", F.coalesce("seen_in", F.array().cast("array<string>")))

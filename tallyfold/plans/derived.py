@@ -6,22 +6,34 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators import graph as G
 from tallyfold.operators import timeline as TL
-from tallyfold.plans.model import entities, filings, mentions, sql
+from tallyfold.plans.model import entities, entities_of, filings, mentions, sql
+from tallyfold.storage import written
 
 
 FILED = ("cik", "accession", "form_type", "filed_at")
 
 
-def _links(s, d):
+def links_of(m):
     """Edges stated by a paragraph: from a company named in it to every other thing cited there."""
-    m = mentions(s, d)
     a = m.where("entity_type = 'company'").select("cik", "document_id", "paragraph_id", "filed_at", F.col("slug").alias("source")).distinct()
     b = m.where("entity_type <> 'company'").select("cik", "document_id", "paragraph_id", F.col("slug").alias("target"), F.concat(F.lit("tells_of_"), F.col("entity_type")).alias("relationship")).distinct()
     return a.join(b, ["cik", "document_id", "paragraph_id"])
 
 
+def _links(s, d):
+    return links_of(mentions(s, d))
+
+
+def _world(s, d):
+    """Mentions, entities and edges, each computed once for a query that uses them several times."""
+    m = written(mentions(s, d), "graph-mentions")
+    e = written(entities_of(m), "graph-entities")
+    edges = G.co_occurrence(m).unionByName(G.asserted(links_of(m), e))
+    return m, e, written(edges, "graph-edges")
+
+
 def _edges(s, d):
-    return G.co_occurrence(mentions(s, d)).unionByName(G.asserted(_links(s, d), entities(s, d)))
+    return _world(s, d)[2]
 
 
 def _listed(edges):
@@ -29,8 +41,14 @@ def _listed(edges):
     return edges.withColumn("documents", F.array_join(F.transform("documents", lambda x: x.cast("string")), ","))
 
 
+def _graph(s, d):
+    """Scored entities, and the edges they were scored with."""
+    m, e, edges = _world(s, d)
+    return G.scored(e, m, edges), edges
+
+
 def _scores(s, d):
-    return G.scored(entities(s, d), mentions(s, d), _edges(s, d))
+    return _graph(s, d)[0]
 
 
 _CITED = """, cited AS (SELECT DISTINCT cik, document_id, slug FROM men)"""
@@ -81,10 +99,17 @@ def _nodes(s, d):
     return G.nodes(_scores(s, d), min_importance=30)
 
 
+def _pruned(s, d):
+    """Nodes from an importance of 30 up, and the edges between them."""
+    scores, edges = _graph(s, d)
+    kept = written(G.nodes(scores, min_importance=30), "graph-nodes")
+    return kept, G.kept_edges(edges, kept)
+
+
 def _as_of(s, d):
+    scores = _scores(s, d)
     until = F.lit("2022-12-31").cast("date")
-    early = entities(s, d).where(F.col("first_seen").isNull() | (F.col("first_seen") <= until)).select("cik", F.col("slug").alias("id"))
-    return G.nodes(_scores(s, d)).join(early, ["cik", "id"], "left_semi")
+    return G.nodes(scores.where(F.col("first_seen").isNull() | (F.col("first_seen") <= until)))
 
 
 def _categories(s, d):
@@ -127,8 +152,8 @@ QUERIES = {
     "gra5_degrees": lambda s, d: G.degrees(_edges(s, d)),
     "gra10_importance": lambda s, d: _scores(s, d).select("cik", "slug", "frequency", "spread", "recency", "centrality", "importance"),
     "gra12_graph_nodes": _nodes,
-    "gra12_graph_edges": lambda s, d: G.kept_edges(_edges(s, d), _nodes(s, d)),
-    "gra12_graph_contract": lambda s, d: G.contract(_nodes(s, d), G.kept_edges(_edges(s, d), _nodes(s, d))),
+    "gra12_graph_edges": lambda s, d: _pruned(s, d)[1],
+    "gra12_graph_contract": lambda s, d: G.contract(*_pruned(s, d)),
     "gra13_explained": lambda s, d: _scores(s, d).select("cik", "slug", "importance", "mention_count", "documents", "latest_seen", "degree", "frequency", "spread", "recency", "centrality"),
     "gra14_graph_as_of": _as_of,
     "srt3_top_nodes": lambda s, d: G.nodes(_scores(s, d), limit=5),
@@ -140,9 +165,9 @@ QUERIES = {
     "sca48_event_summaries": _titles,
     "win2_previous_filing": lambda s, d: TL.comparable(filings(s, d, *FILED)).select("document_id", "cik", "form_type", "next_document_id"),
     "win3_coverage": lambda s, d: TL.coverage(filings(s, d, *FILED)),
-    "win4_first_citations": lambda s, d: TL.first_citations(filings(s, d, *FILED), mentions(s, d)).select("cik", "slug", "form_type", "at.filed_at", "at.accession"),
+    "win4_first_citations": lambda s, d: TL.first_citations(TL.comparable(filings(s, d, *FILED)), TL.topic_counts(mentions(s, d))).select("cik", "slug", "form_type", "at.filed_at", "at.accession"),
     "agg16_topic_paragraphs": lambda s, d: TL.topic_counts(mentions(s, d)),
-    "joi28_compared_topics": lambda s, d: TL.compared(filings(s, d, *FILED), mentions(s, d)),
+    "joi28_compared_topics": lambda s, d: TL.compared(TL.comparable(filings(s, d, *FILED)), TL.topic_counts(mentions(s, d))),
 }
 
 SQL = {

@@ -70,14 +70,18 @@ def sql(body: str, *views: str) -> str:
     return f"WITH {head} {body}" if head else body
 
 
-def entities(spark: SparkSession, d: str) -> DataFrame:
+def entities_of(m: DataFrame) -> DataFrame:
     """One row per company and key: name and type of the first mention, counts, span."""
     first = F.struct("filed_at", "mention_id")
-    return mentions(spark, d).groupBy("cik", "slug").agg(
+    return m.groupBy("cik", "slug").agg(
         F.min_by("name", first).alias("name"), F.min_by("entity_type", first).alias("entity_type"), F.count("*").alias("mention_count"),
         F.count_distinct("document_id").alias("documents"), F.min("filed_at").alias("first_seen"), F.max("filed_at").alias("latest_seen"),
     )
 
 
+def entities(spark: SparkSession, d: str) -> DataFrame:
+    return entities_of(mentions(spark, d))
+
+
 def usage(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return latest(table(spark, d, "ai_usage_logs"), "usage_id", "received_at", columns=columns)
