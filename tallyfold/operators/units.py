@@ -16,6 +16,8 @@ distinct; an empty table gives an empty result; columns other than those named a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,7 +196,8 @@ def edges(links: DataFrame) -> DataFrame:
 def _snap(log_scale: Column, num: Column) -> Column:
     """The known conversion whose size in the common unit is nearest to the estimate, within one percent."""
     sizes = sorted({float(n) / float(d) * float(s) for _, _, n, d in UNITS for s in ("1", *[x[0] for x in SCALES])})
-    best = F.array_min(F.array(*[F.struct(F.abs(num - log_scale - F.log10(F.lit(z))).alias("off"), F.lit(z).alias("size")) for z in sizes]))
+    known = F.array(*[F.struct(F.lit(math.log10(z)).alias("log"), F.lit(z).alias("size")) for z in sizes])
+    best = F.array_min(F.transform(known, lambda z: F.struct(F.abs(num - log_scale - z["log"]).alias("off"), z["size"].alias("size"))))
     return F.when(best["off"] < 0.0043, best["size"])
 
 
@@ -216,7 +219,7 @@ def sources(links: DataFrame, rounds: int = 3, support: int = 3) -> DataFrame:
         sized = votes.withColumn("snapped", _snap(F.col("log_scale"), F.log10("size"))).where(F.col("snapped").isNotNull())
         tally = sized.groupBy(F.col("u").alias("node"), "kind", F.col("snapped").alias("size")).agg(F.sum("n").alias("n"))
         top = tally.groupBy("node").agg(F.max(F.struct("n", "kind", "size")).alias("top"), F.sum("n").alias("all"))
-        out = top.where((F.col("top.n") >= support) & (F.col("top.n") >= 0.9 * F.col("all"))).select("node", "top.kind", "top.size", "top.n")
+        out = written(top.where((F.col("top.n") >= support) & (F.col("top.n") >= 0.9 * F.col("all"))).select("node", "top.kind", "top.size", "top.n"), "unit-sources")
         # recorded -> written phrases that the grammar does not read
         back = e.join(out.select(F.col("node").alias("u"), F.col("kind").alias("kind"), F.col("size").alias("size")), "u").join(known.select(F.col("node").alias("w")), "w", "left_anti")
         back = back.where((F.col("spread") < 0.02) & (F.col("n") >= support)).withColumn("snapped", _snap(-F.col("log_scale"), F.log10("size"))).where(F.col("snapped").isNotNull())
@@ -225,7 +228,7 @@ def sources(links: DataFrame, rounds: int = 3, support: int = 3) -> DataFrame:
         if found.isEmpty():
             break
         known = known.unionByName(found)
-    return written(out, "unit-sources")
+    return out
 
 
 def harmonised(df: DataFrame) -> DataFrame:
