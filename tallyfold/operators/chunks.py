@@ -1,7 +1,7 @@
 """Paragraphs packed into chunks of bounded size inside their sections, with a paragraph of overlap.
 
-Packing is a fold over a section's paragraphs in order.  Only their sizes decide it, so the fold runs over small rows
-(id, place, size) and the texts meet the result in a join.
+Packing is a fold over a section's paragraphs in order.  Only their sizes decide it, so Python sees an array of sizes
+per section and gives back where to cut; the texts stay in the JVM.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+from tallyfold.functions.sentences import spans
 
 #: Tokens aimed at and allowed, characters a token stands for, what joins paragraphs.
 TARGET, CEILING, CHARS, JOIN = 350, 600, 4, "\n\n"
@@ -42,26 +45,28 @@ def packed(sizes: list[int], target: int = TARGET * CHARS, ceiling: int = CEILIN
         yield first, len(sizes)
 
 
+def _cuts():
+    """A column function: sizes of a section's paragraphs -> (first, last + 1) of its chunks; a batch holds many sections."""
+
+    def run(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda s: [{"first": a, "end": b} for a, b in packed(list(s))], na_action="ignore")
+
+    run.__annotations__ = {"sizes": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, ArrayType(StructType([StructField("first", IntegerType()), StructField("end", IntegerType())])))
+
+
 def chunks(paragraphs: DataFrame) -> DataFrame:
     """document_id, section_ordinal, chunk (from 0 in the section), paragraph_ids, text, tokens, first_page, last_page.
 
     Paragraphs without a section are packed together as one.  A group is one section of one filing.
     """
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ordinal", "block_id"])
-        ids = pdf["block_id"].to_numpy()
-        rows = [(n, int(b), k) for n, (a, z) in enumerate(packed(pdf["size"].tolist())) for k, b in enumerate(ids[a:z])]
-        out = pd.DataFrame(rows, columns=["chunk", "block_id", "place"])
-        return out.assign(document_id=key[0], section=key[1])[["document_id", "section", "chunk", "block_id", "place"]]
-
-    texts = paragraphs.where(F.length("text") > 0)
-    small = texts.select("document_id", F.coalesce("section_ordinal", F.lit(-1)).alias("section"), "block_id", "ordinal", F.length("text").alias("size"))
-    places = small.groupBy("document_id", "section").applyInPandas(run, "document_id bigint, section int, chunk int, block_id bigint, place int")
-    rows = places.join(texts.select("block_id", "paragraph_id", "text", "page_number"), "block_id")
-    rows = rows.groupBy("document_id", "section", "chunk").agg(F.array_sort(F.collect_list(F.struct("place", "paragraph_id", "text"))).alias("p"), F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"))
+    texts = paragraphs.where(F.length("text") > 0).withColumn("section", F.coalesce("section_ordinal", F.lit(-1)))
+    rows = texts.groupBy("document_id", "section").agg(F.array_sort(F.collect_list(F.struct("ordinal", "block_id", "paragraph_id", "page_number", "text"))).alias("p"))
+    rows = rows.select("document_id", "section", "p", F.posexplode(_cuts()(F.transform("p", lambda x: F.length(x["text"])))).alias("chunk", "c"))
+    rows = rows.withColumn("p", F.slice("p", F.col("c.first") + 1, F.col("c.end") - F.col("c.first")))
     text = F.array_join(F.transform("p", lambda x: x["text"]), JOIN)
-    return rows.select("document_id", F.nullif("section", F.lit(-1)).alias("section_ordinal"), "chunk", F.transform("p", lambda x: x["paragraph_id"]).alias("paragraph_ids"), text.alias("text"), F.greatest(F.lit(1), F.floor(F.length(text) / CHARS)).cast("int").alias("tokens"), "first_page", "last_page")
+    pages = F.array_compact(F.transform("p", lambda x: x["page_number"]))
+    return rows.select("document_id", F.nullif("section", F.lit(-1)).alias("section_ordinal"), "chunk", F.transform("p", lambda x: x["paragraph_id"]).alias("paragraph_ids"), text.alias("text"), F.greatest(F.lit(1), F.floor(F.length(text) / CHARS)).cast("int").alias("tokens"), F.array_min(pages).alias("first_page"), F.array_max(pages).alias("last_page"))
 
 
 def oversized_parts(paragraphs: DataFrame, ceiling: int = CEILING * CHARS) -> DataFrame:
@@ -69,10 +74,6 @@ def oversized_parts(paragraphs: DataFrame, ceiling: int = CEILING * CHARS) -> Da
 
     Sentences are packed while they fit with a space between them; one that is itself too long is cut at the ceiling.
     """
-    from pyspark.sql.types import ArrayType, StringType
-
-    from tallyfold.functions.sentences import spans
-
     def parts(text: str) -> list[str]:
         pieces = [text[a:b][i : i + ceiling] for a, b in spans(text) for i in range(0, b - a, ceiling)]
         out: list[str] = []
