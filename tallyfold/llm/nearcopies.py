@@ -7,9 +7,10 @@ whose values are common in the same texts together, so that what is common stays
 
 A text of the given similarity differs in at most `tau` of the filled bins (a binomial quantile, see `needs`).  If a text
 gives partition i the threshold t_i, with the sum of (t_i + 1) over partitions more than tau, then a similar text is
-within t_i in some partition: t = -1 asks nothing, t = 0 that both bins agree, t = 1 that one of them does.  Each text takes the thresholds with the fewest expected candidates, by dynamic
-programming over the partitions, on counts from a sketch of all texts.  Values that the sketch has seen once are
-certain to have no partner, cost nothing and are never sent; nor are values that no text asks for.
+within t_i in some partition: t = -1 asks nothing, t = 0 that both bins agree, t = 1 that one of them does.  Each text
+takes the thresholds with the fewest expected candidates, by dynamic programming over the partitions, on counts from a
+sketch of all texts.  Values that the sketch has seen once are certain to have no partner, cost nothing and are never
+sent; nor are values that no text asks for.
 
 A probe's partners are held against the text at once by size and by the Hamming distance of 120 bits drawn from both
 sets, four of each of 30 least hashes (see `BITS_APART`); what is left, by 256 parity bits of the sets, whose Hamming
