@@ -1,19 +1,14 @@
 """Near-duplicate texts: pairs whose sets of consecutive words have at least a given Jaccard similarity.
 
-A text is a binary vector over hashed word windows.  The generalised pigeonhole principle is applied to a sketch of it:
-the window hashes are thrown into `BINS` bins and each bin keeps its least hash, so two similar texts agree in most
-bins.  The bits of one bin come from one window and are never parted; bins are grouped into partitions of two, those
-whose values are common in the same texts together, so that what is common stays in few partitions.
-
-A text of the given similarity differs in at most `tau` of the filled bins (a binomial quantile, see `needs`).  If a text
-gives partition i the threshold t_i, with the sum of (t_i + 1) over partitions more than tau, then a similar text is
-within t_i in some partition: t = -1 asks nothing, t = 0 that both bins agree, t = 1 that one of them does.  Each text
-takes the thresholds with the fewest expected candidates, by dynamic programming over the partitions, on counts from a
-sketch of all texts.  Values that the sketch has seen once are certain to have no partner, cost nothing and are never
-sent; nor are values that no text asks for.
-
-A probe's partners are held against the text at once by size and by the Hamming distance of 120 bits drawn from both
-sets, four of each of 30 least hashes (see `BITS_APART`); what is left, by 256 parity bits of the sets, whose Hamming
+A text is the set of its hashed word windows.  All windows have one order, the rare ones first (by a sketch of the
+counts over all texts, then by hash).  The pigeonhole principle on that order loses no pair: two texts that share at
+least c windows share one of the first n - c + 1 of each.  A text of n windows is therefore sent under its first
+n - ceil(s n) + 1 of them, where s is the similarity; as the smaller text of a pair it need only be met in the first
+n - ceil(2 s n / (1 + s)) + 1.  Windows that the sketch has seen once are certain to stand in one text and are not sent.
+
+Texts that meet in a window are held against each other at once by size and by place: what follows the window they
+share first must leave room for the c windows.  What is left is filtered by the Hamming distance of 120 bits drawn from
+both sets, four of each of 30 least hashes (see `BITS_APART`), and by 256 parity bits of the sets, whose Hamming
 distance never exceeds the size of the symmetric difference, so that this filter loses no pair.  The rest is verified
 on the full sets.
 """
@@ -22,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb, log
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -35,14 +30,13 @@ from tallyfold.storage import discard, written
 BINS = 32
 PARTS = BINS // 2
 MOST_SLOTS = 1 << 27  # a count sketch has as many counters as keys need, and never more: 64 MiB
-PIECES = 64
+PIECE = 1 << 16  # slots in a piece of a count sketch, so that a slot in it takes two bytes
+BUCKET = 500_000  # windows that a task holds at once when texts meet, about
 #: What the four bits of a counter stand for; up to 4 a count is exact, above it is rounded down.
 LEVELS = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 32, 64, 128, 512, 2048, 8192, 32768], dtype=np.int64)
 #: Of 30 least hashes, texts of similarity 0.6 differ in 12 +- 2.7, in half of the four bits of each: 24 +- 6.4; texts
 #: without likeness in 60 +- 5.5.  A pair at the threshold is lost once in a thousand, one at 0.65 once in ten thousand.
 BITS_APART = 45
-#: Sizes are sent as logarithms to this base, in one byte; sizes that differ by less than two steps may read alike.
-SIZE_STEP = 1.04
 EMPTY = np.uint32(0xFFFFFFFF)
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -130,7 +124,7 @@ def _chunks(batches: Iterator[pd.DataFrame], least_words: int) -> Iterator[tuple
                 yield part[keep], hashes[np.repeat(keep, counts)], counts[keep]
 
 
-FEATURES = "id bigint, at bigint, h1 bigint, h2 bigint, sketch binary, bits1 bigint, bits2 bigint, size int, p1 bigint, p2 bigint, p3 bigint, p4 bigint"
+FEATURES = "id bigint, at bigint, h1 bigint, h2 bigint, bits1 bigint, bits2 bigint, size int, p1 bigint, p2 bigint, p3 bigint, p4 bigint"
 MEMBERS = "id bigint, h1 bigint, h2 bigint, members binary"
 
 
@@ -140,7 +134,7 @@ def _set_hashes(members: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nd
         return spread, np.add.reduceat(spread, off[:-1]).view(np.int64), np.add.reduceat(_mix(spread + M3), off[:-1]).view(np.int64)
 
 
-def featured(width: int, least_words: int, probe_width: int):
+def featured(width: int, least_words: int):
     """Arrow batches of (id, at, text) -> FEATURES, for texts of at least `least_words` words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,13 +146,11 @@ def featured(width: int, least_words: int, probe_width: int):
             bits = np.where(low == EMPTY, 0, low & np.uint32(15)).astype(np.uint8)
             bits = bits[:, 0::2] << 4 | bits[:, 1::2]
             sizes = np.diff(off)
-            bits[:, 15] = np.minimum(np.log(sizes) / np.log(SIZE_STEP), 255)
+            bits[:, 15] = 0
             bits = np.ascontiguousarray(bits).view(np.int64)
             place = np.repeat(np.arange(n), sizes) * 256 + (spread >> np.uint64(24) & np.uint64(255)).astype(np.int64)
             parity = np.packbits((np.bincount(place, minlength=n * 256).reshape(n, 256) & 1).astype(np.uint8), axis=1).view(np.int64)
-            # the sketch is drawn from wider windows: what texts have in common by form alone is rarer in them
-            sketch = _least(*windows(hashes, counts, probe_width), n)
-            yield pd.DataFrame({"id": part["id"].to_numpy(), "at": part["at"].to_numpy(), "h1": h1, "h2": h2, "sketch": [r.tobytes() for r in sketch], "bits1": bits[:, 0], "bits2": bits[:, 1], "size": sizes.astype(np.int32)} | {f"p{i + 1}": parity[:, i] for i in range(4)})
+            yield pd.DataFrame({"id": part["id"].to_numpy(), "at": part["at"].to_numpy(), "h1": h1, "h2": h2, "bits1": bits[:, 0], "bits2": bits[:, 1], "size": sizes.astype(np.int32)} | {f"p{i + 1}": parity[:, i] for i in range(4)})
 
     return run
 
@@ -177,23 +169,6 @@ def membered(width: int, least_words: int):
 
 
 
-
-def signatures(sketch: np.ndarray, pairing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of single bins (n x BINS) and of partitions (n x PARTS); empty bins have key 0, as has a partition with one."""
-    bins = np.arange(BINS, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        single = _mix(sketch.astype(np.uint64) * M1 + bins + np.uint64(1))
-        a, b = single[:, pairing[:, 0]], single[:, pairing[:, 1]]
-        both = _mix(a * M2 + b + np.uint64(5))
-    single = np.where(sketch == EMPTY, np.uint64(0), single)
-    both = np.where((sketch[:, pairing[:, 0]] == EMPTY) | (sketch[:, pairing[:, 1]] == EMPTY), np.uint64(0), both)
-    return single, both
-
-
-def _matrix(batch: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(batch["sketch"]), dtype=np.uint32).reshape(-1, BINS)
-
-
 def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
     return (keys & np.uint64(slots - 1)).astype(np.int64)
 
@@ -207,9 +182,9 @@ class Counts:
             level = (np.searchsorted(LEVELS, counts, side="right") - 1).astype(np.uint8)
             self.packed[at // 2 : (at + len(counts)) // 2] = level[0::2] | level[1::2] << 4
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
+    def level(self, keys: np.ndarray) -> np.ndarray:
         slot = _slot(keys, self.slots)
-        return LEVELS[self.packed[slot >> 1] >> ((slot & 1) << 2).astype(np.uint8) & 15]
+        return self.packed[slot >> 1] >> ((slot & 1) << 2).astype(np.uint8) & 15
 
 
 SPARSE = "piece int, slots binary, counts binary"
@@ -221,22 +196,19 @@ def _sparse(batches: Iterator[pd.DataFrame], keys_of, slots: int) -> Iterator[pd
     for batch in batches:
         at, n = np.unique(_slot(keys_of(batch), slots), return_counts=True)
         counts[at] = np.minimum(counts[at].astype(np.int64) + n, 65535)
-    used, piece = np.flatnonzero(counts), slots // PIECES
-    cut = np.searchsorted(used, np.arange(0, slots + 1, piece))
+    used = np.flatnonzero(counts)
+    cut = np.searchsorted(used, np.arange(0, slots + 1, PIECE))
     for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
         if b > a:
-            yield pd.DataFrame({"piece": [i], "slots": [(used[a:b] - i * piece).astype(np.uint32).tobytes()], "counts": [counts[used[a:b]].tobytes()]})
+            yield pd.DataFrame({"piece": [i], "slots": [(used[a:b] - i * PIECE).astype(np.uint16).tobytes()], "counts": [counts[used[a:b]].tobytes()]})
 
 
-def _summed(slots: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(slots // PIECES, dtype=np.int64)
-        for at, counts in zip(pdf["slots"], pdf["counts"], strict=True):
-            total[np.frombuffer(at, dtype=np.uint32)] += np.frombuffer(counts, dtype=np.uint16)
-        used = np.flatnonzero(total)
-        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "slots": [used.astype(np.uint32).tobytes()], "counts": [np.minimum(total[used], 65535).astype(np.uint16).tobytes()]})
-
-    return run
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(PIECE, dtype=np.int64)
+    for at, counts in zip(pdf["slots"], pdf["counts"], strict=True):
+        total[np.frombuffer(at, dtype=np.uint16)] += np.frombuffer(counts, dtype=np.uint16)
+    used = np.flatnonzero(total)
+    return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "slots": [used.astype(np.uint16).tobytes()], "counts": [np.minimum(total[used], 65535).astype(np.uint16).tobytes()]})
 
 
 def slots_for(keys: int) -> int:
@@ -250,58 +222,133 @@ def counters(df: DataFrame, keys_of, slots: int) -> Iterator[tuple[int, np.ndarr
     # a task sums a piece of at most 64 input partitions, so its group is bounded too
     salts = max(1, df._jdf.rdd().getNumPartitions() // 64)
     if salts > 1:
-        parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy("piece", "salt").applyInPandas(_summed(slots), SPARSE)
-    for r in parts.groupBy("piece").applyInPandas(_summed(slots), SPARSE).toLocalIterator():
-        out = np.zeros(slots // PIECES, dtype=np.uint16)
-        out[np.frombuffer(r.slots, dtype=np.uint32)] = np.frombuffer(r.counts, dtype=np.uint16)
+        parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy("piece", "salt").applyInPandas(_summed, SPARSE)
+    for r in parts.groupBy("piece").applyInPandas(_summed, SPARSE).toLocalIterator():
+        out = np.zeros(PIECE, dtype=np.uint16)
+        out[np.frombuffer(r.slots, dtype=np.uint16)] = np.frombuffer(r.counts, dtype=np.uint16)
         yield r.piece * len(out), out
 
 
-START = np.arange(BINS).reshape(PARTS, 2)
+def _members(width: int, least_words: int):
+    """The windows of a batch's texts, each once a text."""
 
+    def run(batch: pd.DataFrame) -> np.ndarray:
+        sets = [sets_of(*windows(hashes, counts, width), len(part))[0] for part, hashes, counts in _chunks(iter([batch]), max(least_words, width))]
+        return np.concatenate(sets) if sets else np.zeros(0, np.uint32)
+
+    return run
 
-def _single_keys(batch: pd.DataFrame) -> np.ndarray:
-    single, _ = signatures(_matrix(batch), START)
-    return single[single != 0]
 
+def asked(sizes: np.ndarray, share: float) -> np.ndarray:
+    """How many first windows hold a common one, if at least `share` of the windows are common."""
+    return sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + 1
 
-def _joint_keys(pairing: np.ndarray, seen):
-    """Keys of partitions that may be common: those of which neither bin's value stands in one text only."""
 
-    def run(batch: pd.DataFrame) -> np.ndarray:
-        single, both = signatures(_matrix(batch), pairing)
-        more = (single != 0) & (seen.value.of(single) > 1)
-        return both[(both != 0) & more[:, pairing[:, 0]] & more[:, pairing[:, 1]]]
+PREFIXES = "id bigint, h1 bigint, h2 bigint, size int, first int, windows binary"
+
+
+def prefixed(width: int, least_words: int, similarity: float, seen):
+    """Arrow batches of (id, text) -> PREFIXES: the windows to be sent, the rare ones first, and the place of the first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, hashes, counts in _chunks(batches, max(least_words, width)):
+            n = len(part)
+            members, off = sets_of(*windows(hashes, counts, width), n)
+            _, h1, h2 = _set_hashes(members, off)
+            sizes = np.diff(off)
+            owner = np.repeat(np.arange(n), sizes)
+            key = np.sort(owner.astype(np.uint64) << np.uint64(36) | seen.value.level(members).astype(np.uint64) << np.uint64(32) | members)
+            alone = (key >> np.uint64(32) & np.uint64(15)) <= 1  # counts are never too small there
+            keep = ~alone & (np.arange(len(key)) - off[owner] < asked(sizes, similarity)[owner])
+            raw = (key[keep] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+            cut = 4 * np.concatenate(([0], np.cumsum(np.bincount(owner[keep], minlength=n))))
+            out = pd.DataFrame({"id": part["id"].to_numpy(), "h1": h1, "h2": h2, "size": sizes.astype(np.int32), "first": np.bincount(owner[alone], minlength=n).astype(np.int32), "windows": [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+            yield out[np.diff(cut) > 0]
 
     return run
 
 
-def paired(sketches: DataFrame, seen, common: int = 8) -> np.ndarray:
-    """Bins in twos, those whose values are most often common in the same text first."""
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on: they compress better."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _numbers(planes: list[bytes], dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(p, dtype=np.uint8).reshape(size, -1).T).view(dtype).ravel() for p in planes])
+
+
+DEALT = "bucket int, windows binary, ids binary, sizes binary, places binary"
+
+
+def dealt(buckets: int):
+    """Arrow batches of PREFIXES -> DEALT: windows with their texts, by ranges of hashes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        together = np.zeros((BINS, BINS), dtype=np.int64)
         for batch in batches:
-            single, _ = signatures(_matrix(batch), START)
-            hot = ((seen.value.of(single) > common) & (single != 0)).astype(np.float32)
-            together += (hot.T @ hot).astype(np.int64)
-        yield pd.DataFrame({"cell": np.arange(BINS * BINS), "n": together.ravel()})
-
-    total = np.zeros(BINS * BINS, dtype=np.int64)
-    for r in sketches.mapInPandas(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # BINS x BINS numbers
-        total[r.cell] = r.n
-    total = total.reshape(BINS, BINS)
-    left, pairs = set(range(BINS)), []
-    for flat in np.argsort(-np.triu(total, 1), axis=None, kind="stable"):
-        a, b = divmod(int(flat), BINS)
-        if a < b and a in left and b in left:
-            pairs.append((a, b))
-            left -= {a, b}
-    return np.array(pairs)
+            if not len(batch):
+                continue
+            keys = np.frombuffer(b"".join(batch["windows"]), dtype=np.uint32)
+            n = batch["windows"].map(len).to_numpy() // 4
+            owner = np.repeat(np.arange(len(batch)), n)
+            place = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n) + batch["first"].to_numpy()[owner]
+            bucket = (keys.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for k in np.flatnonzero(np.diff(cut)):
+                at = order[cut[k] : cut[k + 1]]
+                own = owner[at]
+                yield pd.DataFrame({"bucket": [k], "windows": [keys[at].tobytes()], "ids": [_planes(batch["id"].to_numpy()[own])], "sizes": [_planes(batch["size"].to_numpy()[own].astype(np.int32))], "places": [_planes(place[at].astype(np.int32))]})
+
+    return run
+
+
+def _met(rows: list, similarity: float, block: int = 1 << 21) -> Iterator[pd.DataFrame]:
+    """The pairs of one bucket: a < b, perhaps several times."""
+    keys = np.concatenate([np.frombuffer(r.windows, dtype=np.uint32) for r in rows]).astype(np.int64) << 24
+    ids, sizes, places = (_numbers([getattr(r, c) for r in rows], t) for c, t in (("ids", np.int64), ("sizes", np.int32), ("places", np.int32)))
+    top = (1 << 24) - 1
+    key = keys | np.minimum(sizes, top)
+    order = np.argsort(key, kind="stable")
+    key, keys, ids, sizes, places = key[order], keys[order], ids[order], sizes[order].astype(np.int64), places[order]
+    # the smaller text of a pair stands before the larger, which is at most 1 / similarity times as large
+    end = np.searchsorted(key, keys | np.minimum(np.floor(sizes / similarity + 1e-9).astype(np.int64), top), side="right")
+    left = np.flatnonzero(places < asked(sizes, 2 * similarity / (1 + similarity)))
+    left = left[end[left] > left + 1]
+    n = end[left] - left - 1
+    total = np.cumsum(n)
+    low = 0
+    while low < len(left):
+        high = max(low + 1, int(np.searchsorted(total, total[low] - n[low] + block, side="right")))
+        m = n[low:high]
+        i = np.repeat(left[low:high], m)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+        room = np.minimum(sizes[i] - places[i], sizes[j] - places[j])
+        could = room >= similarity / (1 + similarity) * (sizes[i] + sizes[j]) - 1e-9
+        a, b = ids[i[could]], ids[j[could]]
+        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        low = high
+
+
+def met(similarity: float):
+    """Arrow batches of DEALT, sorted by bucket -> pairs a < b of texts that share a window that both are sent under."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list = []
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if rows and rows[0].bucket != r.bucket:
+                    yield from _met(rows, similarity)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield from _met(rows, similarity)
+
+    return run
 
 
 def needs(similarity: float, width: int, probe_width: int, miss: float = 0.003) -> np.ndarray:
-    """By a text's number of filled bins: the units its thresholds must have.
+    """By a text's number of filled bins: the units its thresholds must have.  `near_copies` doesn't use it.
 
     That is one more than the bins in which a text of the similarity differs, but for `miss` of such texts.  Edits far
     apart lower the similarity of wider windows most: each takes `probe_width` of them where it takes `width`.
@@ -320,13 +367,14 @@ def needs(similarity: float, width: int, probe_width: int, miss: float = 0.003)
     return np.array(out)
 
 
-ASKS = "id bigint, sketch binary, bits1 bigint, bits2 bigint, mask bigint"
-KEYS = "key bigint, id bigint, bits1 bigint, bits2 bigint"
 FAR = np.int64(1 << 40)
 
 
 def thresholds(single: np.ndarray, alone: np.ndarray, joint: np.ndarray, pairing: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cheapest thresholds of each text with `need` units: which bins are asked for alone, which partitions jointly."""
+    """The cheapest thresholds of each text with `need` units: which bins are asked for alone, which partitions jointly.
+
+    `near_copies` doesn't use it.
+    """
     n, units = len(single), int(need.max(initial=0))
     filled = single != 0
     best = np.full((n, units + 1), FAR, dtype=np.int64)
@@ -352,54 +400,6 @@ def thresholds(single: np.ndarray, alone: np.ndarray, joint: np.ndarray, pairing
     return asked & filled, asked_jointly
 
 
-def _bits(asked: np.ndarray, asked_jointly: np.ndarray) -> np.ndarray:
-    weights = np.left_shift(np.int64(1), np.arange(BINS + PARTS))
-    return np.concatenate([asked, asked_jointly], axis=1).astype(np.int64) @ weights
-
-
-def allocated(pairing: np.ndarray, seen, seen_jointly, need: np.ndarray):
-    """Arrow batches of sketches -> ASKS: the keys that each text's thresholds ask for, as bits of a mask."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for low in range(0, len(batch), 4000):
-                part = batch.iloc[low : low + 4000]
-                single, both = signatures(_matrix(part), pairing)
-                # a key's partners: counts up to 1 are never too small, so 0 is certain
-                alone = np.where(single == 0, 0, seen.value.of(single) - 1)
-                least = np.minimum(alone[:, pairing[:, 0]], alone[:, pairing[:, 1]])
-                joint = np.where(least <= 0, 0, np.minimum(np.maximum(seen_jointly.value.of(both) - 1, 0), least))
-                asked, asked_jointly = thresholds(single, alone, joint, pairing, need[(single != 0).sum(1)])
-                yield part[["id", "sketch", "bits1", "bits2"]].assign(mask=_bits(asked & (alone > 0), asked_jointly & (joint > 0)))
-
-    return run
-
-
-def _keys(batch: pd.DataFrame, pairing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of the texts, and which of them the text asks for."""
-    keys = np.concatenate(signatures(_matrix(batch), pairing), axis=1)
-    return keys, (batch["mask"].to_numpy()[:, None] >> np.arange(BINS + PARTS)) & 1 == 1
-
-
-def asking_keys(pairing: np.ndarray):
-    return lambda batch: (lambda keys, asked: keys[asked])(*_keys(batch, pairing))
-
-
-def sent(pairing: np.ndarray, asked_anywhere=None):
-    """Arrow batches of ASKS -> KEYS: the keys asked for, or with `asked_anywhere` those that any text asks for."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys, asked = _keys(batch, pairing)
-            if asked_anywhere is not None:
-                slot = _slot(keys, 8 * len(asked_anywhere.value))
-                asked = (keys != 0) & (asked_anywhere.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1)
-            r, c = np.nonzero(asked)
-            yield pd.DataFrame({"key": keys[r, c].view(np.int64)} | {x: batch[x].to_numpy()[r] for x in ("id", "bits1", "bits2")})
-
-    return run
-
-
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     out = np.empty(len(a))
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
@@ -409,7 +409,7 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def near_copies(df: DataFrame, key: str, text: str, latest: str, similarity: float = 0.6, width: int = 3, least_words: int = 20, probe_width: int = 5) -> tuple[DataFrame, DataFrame]:
+def near_copies(df: DataFrame, key: str, text: str, latest: str, similarity: float = 0.6, width: int = 3, least_words: int = 20) -> tuple[DataFrame, DataFrame]:
     """(pairs: a < b, similarity; classes: id, class).
 
     A class holds the texts with equal sets of windows and is named by its least id; pairs are between classes.  Texts
@@ -417,41 +417,29 @@ def near_copies(df: DataFrame, key: str, text: str, latest: str, similarity: flo
     row counts, of rows of one time the one with the greatest text hash.
     """
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.coalesce(F.unix_micros(F.col(latest).cast("timestamp")), F.lit(-(1 << 62))).alias("at"), F.col(text).alias("text"))
-    features = written(rows.mapInPandas(featured(width, least_words, probe_width), FEATURES), "near-features")
+    features = written(rows.mapInPandas(featured(width, least_words), FEATURES), "near-features")
     newest = features.groupBy("id").agg(F.max(F.struct("at", "h1", "h2")).alias("r")).select("id", "r.h1", "r.h2")
     leads = newest.groupBy("h1", "h2").agg(F.min("id").alias("class"))
     classes = written(newest.join(leads, ["h1", "h2"]).select("id", "class", "h1", "h2"), "near-classes")
     lead = classes.where(F.col("id") == F.col("class")).select("id", "h1", "h2")
-    kept = features.join(lead, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).drop("at", "h1", "h2")
-    kept = written(kept, "near-sketches")
+    parities = features.join(lead, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "size", "p1", "p2", "p3", "p4", "bits1", "bits2")
+    parities = written(parities, "near-parities")
     discard(features)
-    parities = written(kept.select("id", "size", "p1", "p2", "p3", "p4"), "near-parities")
-
-    send = df.sparkSession.sparkContext.broadcast  # of sketches of bounded size
-    sketches, texts = kept.select("sketch"), kept.count()
-    many, few = slots_for(texts * BINS), slots_for(texts * 4)
-    seen = send(Counts(counters(sketches, _single_keys, many), many))
-    pairing = paired(sketches, seen)
-    seen_jointly = send(Counts(counters(sketches, _joint_keys(pairing, seen), few), few))
-    asks = written(kept.mapInPandas(allocated(pairing, seen, seen_jointly, needs(similarity, width, probe_width)), ASKS), "near-asks")
-    discard(kept)
+
+    spark, texts = df.sparkSession, parities.count()
+    plain = rows.select("id", "text")
+    slots = slots_for(texts * BINS)
+    seen = spark.sparkContext.broadcast(Counts(counters(plain, _members(width, least_words), slots), slots))  # of bounded size
+    prefixes = plain.mapInPandas(prefixed(width, least_words, similarity, seen), PREFIXES)
+    prefixes = prefixes.join(lead, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "size", "first", "windows")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts * BINS // BUCKET)
+    by_window = prefixes.mapInPandas(dealt(buckets), DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    first = written(by_window.mapInPandas(met(similarity), "a bigint, b bigint").distinct(), "near-first")
     seen.unpersist()
-    seen_jointly.unpersist()
-    bitmap = np.zeros(many // 8, dtype=np.uint8)
-    for at, asked in counters(asks.select("sketch", "mask"), asking_keys(pairing), many):
-        bitmap[at // 8 : (at + len(asked)) // 8] = np.packbits(asked > 0, bitorder="little")
-    asked_anywhere = send(bitmap)
-
-    asking = asks.mapInPandas(sent(pairing), KEYS).select("key", F.col("id").alias("a"), F.col("bits1").alias("x1"), F.col("bits2").alias("x2"))
-    held = asks.mapInPandas(sent(pairing, asked_anywhere), KEYS).select("key", F.col("id").alias("b"), F.col("bits1").alias("y1"), F.col("bits2").alias("y2"))
-    apart = F.bit_count(F.col("x1").bitwiseXOR(F.col("y1"))) + F.bit_count(F.col("x2").bitwiseXOR(F.col("y2")).bitwiseAND(F.lit((1 << 56) - 1)))
-    steps = F.abs(F.shiftrightunsigned("x2", 56) - F.shiftrightunsigned("y2", 56))
-    near = asking.join(held, "key").where((F.col("a") != F.col("b")) & (apart <= BITS_APART) & (steps <= int(log(1 / similarity) / log(SIZE_STEP)) + 2))
-    first = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-first")
-    discard(asks)
-    side = lambda at: parities.select(F.col("id").alias(at), F.col("size").alias(f"n{at}"), *[F.col(f"p{i}").alias(f"{at}{i}") for i in (1, 2, 3, 4)])
+    side = lambda at: parities.select(F.col("id").alias(at), F.col("size").alias(f"n{at}"), *[F.col(f"p{i}").alias(f"{at}{i}") for i in (1, 2, 3, 4)], F.col("bits1").alias(f"{at}x"), F.col("bits2").alias(f"{at}y"))
     odd = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in (2, 3, 4)), F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))))
-    could = (F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & (odd <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")))
+    apart = F.bit_count(F.col("ax").bitwiseXOR(F.col("bx"))) + F.bit_count(F.col("ay").bitwiseXOR(F.col("by")).bitwiseAND(F.lit((1 << 56) - 1)))
+    could = (apart <= BITS_APART) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & (odd <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")))
     candidates = written(first.join(side("a"), "a").join(side("b"), "b").where(could).select("a", "b"), "near-candidates")
     discard(first)
 

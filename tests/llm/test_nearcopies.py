@@ -58,6 +58,24 @@ def test_against_all_pairs(spark):
     assert found(df.where("false")) == set()
 
 
+def moved(words, pieces):
+    """The pieces of a text in another order, none after the piece it stood after."""
+    cuts = [0, *sorted(random.sample(range(3, len(words) - 3, 3), pieces - 1)), len(words)]
+    order = list(range(pieces))
+    while any(b == a + 1 for a, b in zip(order, order[1:])):
+        random.shuffle(order)
+    return [w for k in order for w in words[cuts[k] : cuts[k + 1]]]
+
+
+def test_no_isolated_pair_with_moved_passages_is_lost(spark):
+    random.seed(5)
+    t, rows = datetime(2025, 1, 1), []
+    for k in range(1500):
+        base = [f"w{k}x{i}" for i in range(60)]  # of no other pair
+        rows += [(2 * k, " ".join(base), t), (2 * k + 1, " ".join(moved(base, 8)), t)]  # 44 windows of 72 in common
+    assert found(spark.createDataFrame(rows, SCHEMA)) == {(2 * k, 2 * k + 1) for k in range(1500)}
+
+
 def test_classes_of_copies_and_pairs_between_them(spark):
     random.seed(4)
     t = datetime(2025, 1, 1)
