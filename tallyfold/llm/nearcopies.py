@@ -2,15 +2,15 @@
 
 A text is the set of its hashed word windows.  All windows have one order, the rare ones first (by a sketch of the
 counts over all texts, then by hash).  The pigeonhole principle on that order loses no pair: two texts that share at
-least c windows share one of the first n - c + 1 of each.  A text of n windows is therefore sent under its first
-n - ceil(s n) + 1 of them, where s is the similarity; as the smaller text of a pair it need only be met in the first
-n - ceil(2 s n / (1 + s)) + 1.  Windows that the sketch has seen once are certain to stand in one text and are not sent.
-
-Texts that meet in a window are held against each other at once by size and by place: what follows the window they
-share first must leave room for the c windows.  What is left is filtered by the Hamming distance of 120 bits drawn from
-both sets, four of each of 30 least hashes (see `BITS_APART`), and by 256 parity bits of the sets, whose Hamming
-distance never exceeds the size of the symmetric difference, so that this filter loses no pair.  The rest is verified
-on the full sets.
+least c windows share `MEET` of the first n - c + `MEET` of each (all c, if c is less).  A text of n windows is
+therefore sent under its first n - ceil(s n) + `MEET` of them, where s is the similarity; as the smaller text of a pair
+it need only be met in the first n - ceil(2 s n / (1 + s)) + `MEET`.  Windows that the sketch has seen once are certain
+to stand in one text and are not sent.
+
+Texts that meet in a window are held against each other at once by size and by place: what follows the windows they
+share first must leave room for the c windows.  Pairs that meet often enough are filtered by 256 parity bits of the sets,
+whose Hamming distance never exceeds the size of the symmetric difference, and verified on the full sets.  No step
+loses a pair.
 """
 
 from __future__ import annotations
@@ -34,10 +34,8 @@ PIECE = 1 << 16  # slots in a piece of a count sketch, so that a slot in it take
 BUCKET = 500_000  # windows that a task holds at once when texts meet, about
 #: What the four bits of a counter stand for; up to 4 a count is exact, above it is rounded down.
 LEVELS = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 32, 64, 128, 512, 2048, 8192, 32768], dtype=np.int64)
-#: Of 30 least hashes, texts of similarity 0.6 differ in 12 +- 2.7, in half of the four bits of each: 24 +- 6.4; texts
-#: without likeness in 60 +- 5.5.  A pair at the threshold is lost once in a thousand, one at 0.65 once in ten thousand.
-BITS_APART = 45
-EMPTY = np.uint32(0xFFFFFFFF)
+#: Windows in which similar texts must meet: each more is one more window sent of each text, and fewer pairs to verify.
+MEET = 3
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -105,13 +103,6 @@ def sets_of(hashes: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarr
     return members, np.concatenate(([0], np.cumsum(sizes)))
 
 
-def _least(hashes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
-    """The least hash in each bin, texts x BINS; `EMPTY` in empty bins."""
-    out = np.full(texts * BINS, EMPTY, dtype=np.uint32)
-    np.minimum.at(out, owner * BINS + (hashes % np.uint64(BINS)).astype(np.int64), np.minimum(hashes >> np.uint64(32), np.uint64(EMPTY - 1)).astype(np.uint32))
-    return out.reshape(texts, BINS)
-
-
 def _chunks(batches: Iterator[pd.DataFrame], least_words: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     """Rows whose texts have enough words, with all their words' hashes and their numbers of words."""
     for batch in batches:
@@ -124,7 +115,7 @@ def _chunks(batches: Iterator[pd.DataFrame], least_words: int) -> Iterator[tuple
                 yield part[keep], hashes[np.repeat(keep, counts)], counts[keep]
 
 
-FEATURES = "id bigint, at bigint, h1 bigint, h2 bigint, bits1 bigint, bits2 bigint, size int, p1 bigint, p2 bigint, p3 bigint, p4 bigint"
+FEATURES = "id bigint, at bigint, h1 bigint, h2 bigint, size int, p1 bigint, p2 bigint, p3 bigint, p4 bigint"
 MEMBERS = "id bigint, h1 bigint, h2 bigint, members binary"
 
 
@@ -142,15 +133,10 @@ def featured(width: int, least_words: int):
             n = len(part)
             members, off = sets_of(*windows(hashes, counts, width), n)
             spread, h1, h2 = _set_hashes(members, off)
-            low = _least(spread, np.repeat(np.arange(n), np.diff(off)), n)
-            bits = np.where(low == EMPTY, 0, low & np.uint32(15)).astype(np.uint8)
-            bits = bits[:, 0::2] << 4 | bits[:, 1::2]
             sizes = np.diff(off)
-            bits[:, 15] = 0
-            bits = np.ascontiguousarray(bits).view(np.int64)
             place = np.repeat(np.arange(n), sizes) * 256 + (spread >> np.uint64(24) & np.uint64(255)).astype(np.int64)
             parity = np.packbits((np.bincount(place, minlength=n * 256).reshape(n, 256) & 1).astype(np.uint8), axis=1).view(np.int64)
-            yield pd.DataFrame({"id": part["id"].to_numpy(), "at": part["at"].to_numpy(), "h1": h1, "h2": h2, "bits1": bits[:, 0], "bits2": bits[:, 1], "size": sizes.astype(np.int32)} | {f"p{i + 1}": parity[:, i] for i in range(4)})
+            yield pd.DataFrame({"id": part["id"].to_numpy(), "at": part["at"].to_numpy(), "h1": h1, "h2": h2, "size": sizes.astype(np.int32)} | {f"p{i + 1}": parity[:, i] for i in range(4)})
 
     return run
 
@@ -240,8 +226,8 @@ def _members(width: int, least_words: int):
 
 
 def asked(sizes: np.ndarray, share: float) -> np.ndarray:
-    """How many first windows hold a common one, if at least `share` of the windows are common."""
-    return sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + 1
+    """How many first windows hold `MEET` common ones (or all), if at least `share` of the windows are common."""
+    return np.minimum(sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + MEET, sizes)
 
 
 PREFIXES = "id bigint, h1 bigint, h2 bigint, size int, first int, windows binary"
@@ -304,7 +290,7 @@ def dealt(buckets: int):
 
 
 def _met(rows: list, similarity: float, block: int = 1 << 21) -> Iterator[pd.DataFrame]:
-    """The pairs of one bucket: a < b, perhaps several times."""
+    """The meetings of one bucket's texts: a < b and how many they must have, once for each."""
     keys = np.concatenate([np.frombuffer(r.windows, dtype=np.uint32) for r in rows]).astype(np.int64) << 24
     ids, sizes, places = (_numbers([getattr(r, c) for r in rows], t) for c, t in (("ids", np.int64), ("sizes", np.int32), ("places", np.int32)))
     top = (1 << 24) - 1
@@ -324,14 +310,19 @@ def _met(rows: list, similarity: float, block: int = 1 << 21) -> Iterator[pd.Dat
         i = np.repeat(left[low:high], m)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
         room = np.minimum(sizes[i] - places[i], sizes[j] - places[j])
-        could = room >= similarity / (1 + similarity) * (sizes[i] + sizes[j]) - 1e-9
+        common = np.ceil(similarity / (1 + similarity) * (sizes[i] + sizes[j]) - 1e-9)
+        could = room > common - MEET
         a, b = ids[i[could]], ids[j[could]]
-        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "need": np.minimum(common[could], MEET).astype(np.int32)})
+        yield pairs.groupby(["a", "b", "need"]).size().rename("n").reset_index()
         low = high
 
 
+MEETINGS = "a bigint, b bigint, need int, n bigint"
+
+
 def met(similarity: float):
-    """Arrow batches of DEALT, sorted by bucket -> pairs a < b of texts that share a window that both are sent under."""
+    """Arrow batches of DEALT, sorted by bucket -> `MEETINGS` in the windows that both texts are sent under."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list = []
@@ -422,7 +413,7 @@ def near_copies(df: DataFrame, key: str, text: str, latest: str, similarity: flo
     leads = newest.groupBy("h1", "h2").agg(F.min("id").alias("class"))
     classes = written(newest.join(leads, ["h1", "h2"]).select("id", "class", "h1", "h2"), "near-classes")
     lead = classes.where(F.col("id") == F.col("class")).select("id", "h1", "h2")
-    parities = features.join(lead, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "size", "p1", "p2", "p3", "p4", "bits1", "bits2")
+    parities = features.join(lead, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "size", "p1", "p2", "p3", "p4")
     parities = written(parities, "near-parities")
     discard(features)
 
@@ -434,12 +425,12 @@ def near_copies(df: DataFrame, key: str, text: str, latest: str, similarity: flo
     prefixes = prefixes.join(lead, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "size", "first", "windows")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts * BINS // BUCKET)
     by_window = prefixes.mapInPandas(dealt(buckets), DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    first = written(by_window.mapInPandas(met(similarity), "a bigint, b bigint").distinct(), "near-first")
+    meetings = by_window.mapInPandas(met(similarity), MEETINGS).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    first = written(meetings.where("n >= need").select("a", "b"), "near-first")
     seen.unpersist()
-    side = lambda at: parities.select(F.col("id").alias(at), F.col("size").alias(f"n{at}"), *[F.col(f"p{i}").alias(f"{at}{i}") for i in (1, 2, 3, 4)], F.col("bits1").alias(f"{at}x"), F.col("bits2").alias(f"{at}y"))
+    side = lambda at: parities.select(F.col("id").alias(at), F.col("size").alias(f"n{at}"), *[F.col(f"p{i}").alias(f"{at}{i}") for i in (1, 2, 3, 4)])
     odd = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in (2, 3, 4)), F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))))
-    apart = F.bit_count(F.col("ax").bitwiseXOR(F.col("bx"))) + F.bit_count(F.col("ay").bitwiseXOR(F.col("by")).bitwiseAND(F.lit((1 << 56) - 1)))
-    could = (apart <= BITS_APART) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & (odd <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")))
+    could = (F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & (odd <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")))
     candidates = written(first.join(side("a"), "a").join(side("b"), "b").where(could).select("a", "b"), "near-candidates")
     discard(first)
 
