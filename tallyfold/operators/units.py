@@ -201,11 +201,11 @@ def _snap(log_scale: Column, num: Column) -> Column:
     return F.when(best["off"] < 0.0043, best["size"])
 
 
-def sources(links: DataFrame, rounds: int = 3, support: int = 3) -> DataFrame:
+def sources(links: DataFrame, support: int = 3) -> DataFrame:
     """The source graph: each recorded spelling with the kind and size that its links imply.
 
     Written phrases that the grammar reads are the anchors.  In each round, a spelling or phrase next to known ones takes
-    the kind with most links; its size is snapped to a known conversion.  Open units get no size: their links disagree
+    the kind with most links; its size is snapped to a known conversion.  Rounds end when no phrase is new. Open units get no size: their links disagree
     (`spread`), which is what marks them.  A spelling with fewer than `support` links in agreement stays unknown.
     """
     e = written(edges(links).where(F.col("n") >= 1), "unit-edges")
@@ -213,7 +213,7 @@ def sources(links: DataFrame, rounds: int = 3, support: int = 3) -> DataFrame:
     size = F.col("num").cast("double") / F.col("den").cast("double") * F.coalesce("scale", F.lit("1")).cast("double")
     known = written(words.select("node", "kind", size.alias("size")), "unit-anchors")
     out = None
-    for _ in range(rounds):
+    while True:  # each round but the last adds a phrase, so their number bounds the rounds
         # written -> recorded
         votes = e.join(known.withColumnRenamed("node", "w"), "w").where((F.col("spread") < 0.02) & (F.abs("offset") < 0.05))
         sized = votes.withColumn("snapped", _snap(F.col("log_scale"), F.log10("size"))).where(F.col("snapped").isNotNull())

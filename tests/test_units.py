@@ -71,3 +71,12 @@ def test_repeated_rows_extra_columns_empty_and_long_texts(spark):
 def test_halves_round_away_from_zero_and_huge_values_do_not_fail(spark):
     rows = [(1, "M", "It was 1.335 percent.", None, None, 1.335, "percent"), (2, "M", "It was USD 9.", None, None, 1e200, "USD"), (3, "M", "", None, None, -0.5, "USD")]
     assert result(frame(spark, rows)) == {1: ("bp", 134), 3: ("USD", -1)}
+
+
+def test_sizes_reach_spellings_many_links_away(spark):
+    links = []
+    for k in range(5):  # eur million - s0 - w0 - s1 - w1 - ...
+        links += [(f"s{k}", f"w{k - 1}" if k else "eur million", x, 1000.0 * x if not k else x) for x in (3.0, 4.5, 7.0)]
+        links += [(f"s{k}", f"w{k}", x, x) for x in (3.0, 4.5, 7.0)]
+    got = {r.node: (r.kind, r.size) for r in units.sources(spark.createDataFrame(links, "u string, w string, x double, value double")).collect()}
+    assert got == {f"s{k}": ("EUR", 1000.0) for k in range(5)}
