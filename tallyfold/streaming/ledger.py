@@ -14,14 +14,20 @@ def attempts(spark: SparkSession, folder: str, files_per_batch: int = 1) -> Data
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
 
-def once(stream: DataFrame, late: str = "30 days") -> DataFrame:
-    """Each usage_id once while its deliveries are at most `late` apart."""
-    timed = stream.withColumn("event_time", F.col("created_at").cast("timestamp")).withWatermark("event_time", late)
-    return timed.dropDuplicatesWithinWatermark(["usage_id"])
+def once(stream: DataFrame, late: str | None = None) -> DataFrame:
+    """Each usage_id once, in whatever order the files are read; the state holds all ids, which suits a bounded replay.
+
+    With `late` the state is bounded: ids are kept for that long, and rows further than that behind the newest row of
+    the files already read are dropped without a count.
+    """
+    timed = stream.withColumn("event_time", F.col("created_at").cast("timestamp"))
+    if late is None:
+        return timed.dropDuplicates(["usage_id"])
+    return timed.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["usage_id"])
 
 
 def daily(stream: DataFrame) -> DataFrame:
-    """Cost, attempts and failures per provider and day; a day is final once the watermark has passed it."""
+    """Cost, attempts and failures per provider and day; with a watermark a day is final once it has passed."""
     return stream.groupBy(F.window("event_time", "1 day").alias("w"), "provider").agg(
         F.sum("estimated_cost_usd").alias("cost"), F.count("*").alias("attempts"), F.count_if(F.col("status") == "failed").alias("failed")
     ).select(F.to_date("w.start").alias("day"), "provider", F.col("cost").cast("decimal(38,6)").alias("cost"), "attempts", "failed")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyfold.operators import carried, chunks, evidence, extraction, graph, merge, ordering, retrieval, timeline
 from tallyfold.operators import cards as cards_of
 from tallyfold.sources import markup, submissions
+from tallyfold.streaming import ledger
 
 PAGE = """<html><head><title>no</title></head><body><ix:header><p>machine</p></ix:header>
 <p>PART I</p><h2>Item 1A. Risk Factors</h2><p>First <b>bold</b> words &amp; more.</p>
@@ -177,3 +178,12 @@ def test_nearest_vectors(spark):
 def test_routing(spark):
     df = spark.createDataFrame([("10-K", None, "Item 1A. Risk Factors", None), ("8-K", "earnings_call", "x", "CEO"), (None, None, None, None)], "form string, kind string, title string, role string")
     assert [r.cards for r in cards_of.routed(df, "form", "kind", "title", "role").collect()] == [["revenue", "risks"], ["products", "guidance"], []]
+
+
+def test_streamed_days_count_rows_far_behind_the_newest(spark, tmp_path):
+    schema = "usage_id bigint, created_at timestamp_ntz, provider string, estimated_cost_usd decimal(12,6), status string"
+    parts = [[(1, datetime(2025, 10, 1), "x", None, "ok")], [(2, datetime(2025, 1, 1), "x", None, "failed"), (1, datetime(2025, 10, 1), "x", None, "ok")], [(3, datetime(2025, 1, 1), "x", None, "ok")]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "ai_usage_logs.parquet"))
+    result = ledger.drained(ledger.daily(ledger.once(ledger.attempts(spark, str(tmp_path)))), f"file://{tmp_path}", "late_rows")
+    assert {(r.day, r.attempts, r.failed) for r in result.collect()} == {(date(2025, 1, 1), 2, 1), (date(2025, 10, 1), 1, 0)}
