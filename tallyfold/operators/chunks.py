@@ -94,11 +94,17 @@ def oversized_parts(paragraphs: DataFrame, ceiling: int = CEILING * CHARS) -> Da
 
 
 def paragraphs_of(chunk_rows: DataFrame) -> DataFrame:
-    """Chunks taken apart again: each paragraph of a document once, by the first chunk that holds it."""
+    """Chunks taken apart again: each paragraph of a document once, by the first chunk that holds it.
+
+    A chunk whose text has another number of parts than it has ids (a paragraph holds a blank line) stays one row, with
+    the chunk's own anchor `c-section-chunk` (`c--chunk` without a section).
+    """
     parts = F.split("text", JOIN)
     rows = chunk_rows.where(F.size(parts) == F.size("paragraph_ids")).select("document_id", "section_ordinal", "chunk", F.posexplode(F.arrays_zip(F.col("paragraph_ids").alias("id"), parts.alias("text"))).alias("place", "p"))
     first = rows.groupBy("document_id", F.col("p.id").alias("paragraph_id")).agg(F.min_by("p.text", F.struct(F.coalesce("section_ordinal", F.lit(-1)).alias("s"), "chunk", "place")).alias("text"))
-    return first
+    anchor = F.concat(F.lit("c-"), F.coalesce(F.col("section_ordinal").cast("string"), F.lit("")), F.lit("-"), F.col("chunk").cast("string"))
+    whole = chunk_rows.where(F.size(parts) != F.size("paragraph_ids")).select("document_id", anchor.alias("paragraph_id"), "text")
+    return first.unionByName(whole)
 
 
 def table_parts(tables: DataFrame, limit: int = CEILING * CHARS) -> DataFrame:

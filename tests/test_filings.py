@@ -180,6 +180,13 @@ def test_routing(spark):
     assert [r.cards for r in cards_of.routed(df, "form", "kind", "title", "role").collect()] == [["revenue", "risks"], ["products", "guidance"], []]
 
 
+def test_a_chunk_that_cannot_be_split_stays_whole(spark):
+    rows = [(1, 0, 0, ["1_1", "1_2"], "a\n\nb"), (1, 0, 1, ["1_2", "1_3"], "b\n\nc\n\nd"), (1, None, 0, ["2_1"], "e\n\nf")]
+    df = spark.createDataFrame(rows, "document_id bigint, section_ordinal int, chunk int, paragraph_ids array<string>, text string")
+    got = {(r.paragraph_id, r.text) for r in chunks.paragraphs_of(df).collect()}
+    assert got == {("1_1", "a"), ("1_2", "b"), ("c-0-1", "b\n\nc\n\nd"), ("c--0", "e\n\nf")}
+
+
 def test_streamed_days_count_rows_far_behind_the_newest(spark, tmp_path):
     schema = "usage_id bigint, created_at timestamp_ntz, provider string, estimated_cost_usd decimal(12,6), status string"
     parts = [[(1, datetime(2025, 10, 1), "x", None, "ok")], [(2, datetime(2025, 1, 1), "x", None, "failed"), (1, datetime(2025, 10, 1), "x", None, "ok")], [(3, datetime(2025, 1, 1), "x", None, "ok")]]
