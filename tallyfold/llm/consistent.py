@@ -99,7 +99,7 @@ def _recomposed(parts: pd.Series) -> pd.Series:
 
 
 def consistent(df: DataFrame, key: str, text: str, out: str = "consistent") -> DataFrame:
-    """`key` and the consistent form of `text` for each row of `df` (one row per key; equal keys must have equal texts).
+    """`key` and the consistent form of `text` for each row of `df`, also of repeated rows and of different texts under one key.
 
     Only texts with a character outside printable ASCII are exploded: the others are their own form.
     """
@@ -108,9 +108,12 @@ def consistent(df: DataFrame, key: str, text: str, out: str = "consistent") -> D
     odd = rows.where(~F.col("__t").rlike(PLAIN))
     # positioned elements: runs of printable ASCII, and single characters of any other kind
     elements = F.regexp_extract_all("__t", F.lit(r"[\t\n\r -~]+|[^\t\n\r -~]"), F.lit(0))
-    exploded = odd.select("__k", F.posexplode(elements).alias("pos", "ch"))
-    mapped = exploded.join(F.broadcast(_table(df.sparkSession)), "ch", "left").select("__k", "pos", F.coalesce("to", "ch").alias("to"))
-    built = mapped.groupBy("__k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "to"))), lambda x: x["to"]), "").alias("joined"))
+    # rows of one key are told apart by their texts; a repeated row's elements are folded, and its form given as often
+    exploded = odd.select("__k", F.xxhash64("__t").alias("h1"), F.hash("__t").alias("h2"), F.posexplode(elements).alias("pos", "ch"))
+    mapped = exploded.join(F.broadcast(_table(df.sparkSession)), "ch", "left").select("__k", "h1", "h2", "pos", F.coalesce("to", "ch").alias("to"))
+    built = mapped.groupBy("__k", "h1", "h2").agg(F.array_sort(F.collect_list(F.struct("pos", "to"))).alias("all"), F.count_if(F.col("pos") == 0).cast("int").alias("rows"))
+    once = F.when(F.col("rows") > 1, F.array_distinct("all")).otherwise(F.col("all"))
+    built = built.select("__k", F.array_join(F.transform(once, lambda x: x["to"]), "").alias("joined"), F.explode(F.array_repeat(F.lit(1), F.col("rows"))))
     return plain.unionByName(built.select(F.col("__k").alias(key), _recomposed("joined").alias(out)))
 
 

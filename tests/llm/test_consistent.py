@@ -28,6 +28,12 @@ def test_null_empty_and_long_texts(spark):
     assert forms(spark, [None, "", long]) == {0: None, 1: "", 2: "é" * 30000 + "x" * 100}
 
 
+def test_repeated_rows_and_texts_of_one_key(spark):
+    df = spark.createDataFrame([(1, "é"), (1, "é"), (1, "ｘé"), (2, "e\u0301")], SCHEMA)
+    assert sorted((r.doc_id, r.consistent) for r in consistent.consistent(df, "doc_id", "text").collect()) == [(1, "xé"), (1, "é"), (1, "é"), (2, "é")]
+    assert [tuple(r) for r in consistent.found(df).collect()] == [(1, 2)]
+
+
 def test_found_pairs(spark):
     texts = {1: "file é", 2: "ﬁle é", 3: "ﬁle é", 4: "file é", 5: "file e", 6: "File é", 7: "", 8: None, 9: "file é", 10: "x2", 11: "x²"}
     df = spark.createDataFrame(list(texts.items()), SCHEMA).selectExpr("*", "'z' as form", "'z' as raw", "'z' as k")
