@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_next(df: DataFrame, entity: list[str], order: list[str], period: Column, take: str) -> DataFrame:
+def with_next(df: DataFrame, entity: list[str], order: list[str], period: Column, take: str, first: str | None = None) -> DataFrame:
     """Add `next_<take>`: the value of `take` in the entity's next row by `order`, null for its last.
 
-    Rows are sorted within (entity, period), so no task sorts more than one period of one entity; only one row per
+    `first` names a boolean column that tells the entity's first row, where one is wanted.  Rows are sorted within (entity, period), so no task sorts more than one period of one entity; only one row per
     (entity, period) is looked at across periods.  `period` must not decrease along `order`.
     """
     rows = df.withColumn("__period", period)
     within = Window.partitionBy(*entity, "__period").orderBy(*order)
     rows = rows.withColumn("__next", F.lead(take).over(within))
+    if first:
+        rows = rows.withColumn("__head", F.row_number().over(within) == 1)
     firsts = rows.groupBy(*entity, "__period").agg(F.min_by(take, F.struct(*order)).alias("__first"))
     across = Window.partitionBy(*entity).orderBy("__period")
-    firsts = firsts.withColumn("__after", F.lead("__first").over(across)).select(*entity, "__period", "__after")
+    firsts = firsts.withColumn("__after", F.lead("__first").over(across)).withColumn("__opens", F.row_number().over(across) == 1).select(*entity, "__period", "__after", "__opens")
     joined = rows.join(firsts, [*entity, "__period"], "left")
-    return joined.withColumn(f"next_{take}", F.coalesce("__next", "__after")).drop("__period", "__next", "__after")
+    if first:
+        joined = joined.withColumn(first, F.col("__head") & F.coalesce("__opens", F.lit(True))).drop("__head")
+    return joined.withColumn(f"next_{take}", F.coalesce("__next", "__after")).drop("__period", "__next", "__after", "__opens")

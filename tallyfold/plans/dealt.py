@@ -37,6 +37,6 @@ WITH fine AS (
 )
 SELECT DISTINCT card_id, document_id, coalesce(later_key, earlier_key) AS fact_key,
   CASE WHEN earlier_key IS NULL THEN 'added' WHEN later_key IS NULL THEN 'removed' ELSE 'changed' END AS change
-FROM pairs WHERE differs
+FROM pairs JOIN seq USING (card_id, document_id) WHERE differs AND before IS NOT NULL
 """,
 }
