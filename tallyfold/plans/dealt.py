@@ -6,7 +6,7 @@ from tallyfold.operators import snapshots, units
 from tallyfold.sources.tables import table
 
 QUERIES = {
-    "p1_found": lambda spark, d: units.found(table(spark, d, "extracted")),
+    "p1_found": lambda spark, d: units.found(table(spark, d, "extracted"), table(spark, d, "filings")),
     "p5_found": lambda spark, d: snapshots.found(table(spark, d, "card_revisions")),
 }
 

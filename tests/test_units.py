@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import pytest
+
 from tallyfold.operators import units
 
 SCHEMA = "extracted_id bigint, document_id bigint, paragraph_id string, name string, entity_type string, confidence double, quote string, description string, period string, value double, unit string, created_at timestamp_ntz"
@@ -13,8 +15,22 @@ def frame(spark, rows):
     return spark.createDataFrame(data, SCHEMA)
 
 
-def result(df):
-    return {r.extracted_id: (r.common_unit, r.common_value) for r in units.found(df).collect()}
+#: abbreviations, and a source each stands in a known relation to: (unit, phrase, value of the phrase's figure in the unit)
+HOUSE = [("ha", "acres", 0.40468564224), ("acre", "square feet", 1 / 43560), ("lbs", "kg", 1 / 0.45359237), ("pct", "basis points", 0.01), ("fraction", "percent", 0.01), ("kusd", "USD million", 1000), ("GJ", "kWh", 0.0036), ("TWh", "GWh", 0.001), ("GWh", "kWh", 1e-6), ("wks", "hours", 1 / 168), ("€ m", "EUR", 1e-6), ("JPY billion", "¥ bn", 1.0), ("USD billion", "USD bn", 1.0), ("k€", "euros", 0.001)]
+EARLIER = 1000
+
+
+def house_style(spark, pairs=HOUSE):
+    """Rows of other filings in which both sides of each pair stand: what the graph knows the abbreviations by."""
+    rows = []
+    for i, (unit, phrase, factor) in enumerate(pairs):
+        for k in range(1, 6):
+            rows.append((EARLIER + 10 * i + k, "Item", f"The item was {k * 1234567.891:.3f} {phrase}.", None, None, k * 1234567.891 * factor, unit))
+    return frame(spark, rows)
+
+
+def result(df, **rest):
+    return {r.extracted_id: (r.common_unit, r.common_value) for r in units.found(df, **rest).collect() if r.extracted_id < EARLIER}
 
 
 def test_every_way_of_telling_a_unit(spark):
@@ -34,7 +50,7 @@ def test_every_way_of_telling_a_unit(spark):
         (13, "Area", "The area is 12,910 m2 at the close.", None, None, 12910.0, ""),
         (14, "Inventory", "Inventory moved from USD 0.443 bn to USD 0.372 billion.", None, None, 0.372, "US dollars"),
     ]
-    assert result(frame(spark, rows)) == {
+    assert result(frame(spark, rows).unionByName(house_style(spark))) == {
         1: ("USD", 635000000), 2: ("USD", 145823974), 3: ("USD", 10888000), 4: ("EUR", 8666000000), 5: ("USD", -992000000), 6: ("count", 817000), 7: ("bp", 571),
         8: ("kg", 189141), 9: ("kwh", 52568225), 10: ("m2", 3830), 11: ("count", 4248), 12: ("JPY", 992323664), 13: ("m2", 12910), 14: ("USD", 372000000),
     }
@@ -76,7 +92,52 @@ def test_halves_round_away_from_zero_and_huge_values_do_not_fail(spark):
 def test_sizes_reach_spellings_many_links_away(spark):
     links = []
     for k in range(5):  # eur million - s0 - w0 - s1 - w1 - ...
-        links += [(f"s{k}", f"w{k - 1}" if k else "eur million", x, 1000.0 * x if not k else x) for x in (3.0, 4.5, 7.0)]
-        links += [(f"s{k}", f"w{k}", x, x) for x in (3.0, 4.5, 7.0)]
-    got = {r.node: (r.kind, r.size) for r in units.sources(spark.createDataFrame(links, "u string, w string, x double, value double")).collect()}
-    assert got == {f"s{k}": ("EUR", 1000.0) for k in range(5)}
+        links += [(f"s{k}", f"w{k - 1}" if k else "eur million", x, 1000.0 * x if not k else x, None) for x in (3.0, 4.5, 7.0)]
+        links += [(f"s{k}", f"w{k}", x, x, None) for x in (3.0, 4.5, 7.0)]
+    got = {r.id: (r.kind, r.scale) for r in units.sources(spark.createDataFrame(links, "u string, w string, x double, value double, entity string")).collect()}
+    assert got == {"W:eur million": ("EUR", "1000000")} | {f"{side}:{side.lower().replace('r', 's')}{k}": ("EUR", "1000") for k in range(5) for side in "RW"}
+
+
+def test_the_graph_decides(spark):
+    df = frame(spark, [(1, "Power", "Power came to 2.5 TWh.", None, None, 2.5, "TWh"), (2, "Space", "Space came to 3 ha.", None, None, None, "ha"), (3, "Space", "Space came to 3 ha.", None, None, 3.0, "ha")]).unionByName(house_style(spark))
+    assert result(df) == {1: ("kwh", 2500000000), 3: ("m2", 30000)}
+    alone = {r.extracted_id for r in units.harmonised(df, graph=False).collect()}
+    assert not alone & {1, 3}  # no anchor names these spellings
+
+
+@pytest.mark.parametrize("hidden", range(4))
+def test_a_quarter_of_the_anchors_hidden(spark, hidden):
+    """Every unit's full name is linked to two others, so the rest of the anchors size what is hidden."""
+    kinds = {"bp": [("basis points", 1.0), ("percent", 0.01), ("ratio", 0.0001)], "kwh": [("kilowatt hours", 1.0), ("megawatt hours", 1e-3), ("gigawatt hours", 1e-6), ("gigajoules", 0.0036)], "m2": [("square feet", 1 / 0.09290304), ("square metres", 1.0), ("acres", 1 / 4046.8564224)], "kg": [("short tons", 1 / 907.18474), ("tonnes", 0.001), ("pounds", 1 / 0.45359237), ("kilograms", 1.0)], "hour": [("hours", 1.0), ("days", 1 / 24), ("weeks", 1 / 168)]}
+    rows, expected = [], {}
+    for names in kinds.values():
+        for i, (unit, of_unit) in enumerate(names):
+            for phrase, of_phrase in (names[(i + 1) % len(names)], names[(i + 2) % len(names)]):
+                rows += [(EARLIER + len(rows) + k, "Item", f"The item was {k * 7654321.5 * of_phrase:.6f} {phrase}.", None, None, k * 7654321.5 * of_unit, unit) for k in range(1, 5)]
+    for kind, names in kinds.items():
+        for unit, of_unit in names:
+            expected[len(expected) + 1] = (kind, 50000)
+            rows.append((len(expected), "Item", f"The item was {50000 * of_unit:.8f} {unit}.", None, None, 50000 * of_unit, unit))
+    some = tuple(u for i, u in enumerate(units.UNITS) if i % 4 != hidden)
+    got = {r.extracted_id: (r.common_unit, r.common_value) for r in units.harmonised(frame(spark, rows), units=some).collect() if r.extracted_id < EARLIER}
+    assert got == expected
+
+
+def test_figures_of_one_entity_link_filings(spark):
+    filings = spark.createDataFrame([(d, f"c{d % 5}") for d in range(1, 11)], "document_id bigint, cik string")
+    rows = []
+    for d in range(1, 11):  # filings 1-5 state the figure in tonnes, 6-10 in quills, which no row writes beside a known unit
+        value = (d % 5 + 1) * 1000.0
+        unit, phrase, v = ("tonnes", "tonnes", value) if d <= 5 else ("quills", "", value * 1000 / 907.18474)
+        rows.append((d, d, "1_1", "Steel", "metric", 0.9, f"Steel came to {v:.4f} {phrase} in the year 2020.".replace("  ", " "), None, "FY2020", v, unit, datetime(2025, 1, 1)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert result(df, filings=filings) == {d: ("kg", (d % 5 + 1) * 1000000) for d in range(1, 11)}
+    assert set(result(df)) == {1, 2, 3, 4, 5}  # without companies nothing links the two
+
+
+def test_scale_and_offset_are_applied(spark):
+    warm = [10.0, 14.5, 21.0, 25.5, 30.0, 38.0, 40.5, 55.0]
+    rows = [(EARLIER + i, "Hall", f"The hall was at {c} degrees Celsius.", None, None, round(c * 1.8 + 32, 4), "fahr") for i, c in enumerate(warm)] + [(1, "Hall", "It was warm.", None, None, 212.0, "fahr")]
+    got = {r.extracted_id: (r.common_unit, r.common_value) for r in units.harmonised(frame(spark, rows)).collect()}
+    assert got[1] == ("celsius", 100) and got[EARLIER] == ("celsius", 10)
+    assert result(frame(spark, rows)) == {}  # no common unit of p1_found
