@@ -13,26 +13,43 @@ ABBREVIATIONS = frozenset(
     "u.s u.k e.u inc corp co ltd llc plc no nos e.g i.e etc vs approx mr ms mrs dr st jr sr jan feb mar apr jun jul aug sep sept oct nov dec fig sec art".split()
 )
 LONGEST_QUOTE = 600
-STOP = re.compile(r"(?P<mark>[.!?])[\"'”’)\]]*(?P<gap>\s+)(?=[A-Z0-9\"“‘(\[])")
-BEFORE = re.compile(r"[A-Za-z][A-Za-z.]*$")
+#: What ends a sentence, what may close behind the end, and what may open the next one beside capitals and digits.
+ENDS, CLOSERS, OPENERS = ".!?", "\"'”’)]", "\"“‘(["
 PLAIN = str.maketrans("‘’“”–— ", "''\"\"-- ")
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 
 
+def _opens(ch: str) -> bool:
+    return ch in OPENERS or (ch.isascii() and (ch.isupper() or ch.isdigit()))
+
+
+def _abbreviated(text: str, stop: int) -> bool:
+    """Whether the full stop at `stop` belongs to a known abbreviation or an initial."""
+    at = stop
+    while at and text[at - 1].isascii() and (text[at - 1].isalpha() or text[at - 1] == "."):
+        at -= 1
+    word = text[at:stop].strip(".").lower()
+    return len(word) == 1 or word in ABBREVIATIONS
+
+
 def spans(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the sentences, without outer white space."""
-    cuts = [0]
-    for m in STOP.finditer(text):
-        word = BEFORE.search(text[max(0, m.start() - 40) : m.start()]) if m["mark"] == "." else None
-        if not word or not (word[0].lower() in ABBREVIATIONS or re.fullmatch(r"[A-Za-z]", word[0])):
-            cuts.append(m.end())
-    out = []
-    for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
-        piece = text[a:b]
-        if piece.strip():
-            left = len(piece) - len(piece.lstrip())
-            out.append((a + left, a + len(piece.rstrip())))
-    return out
+    """(start, end) of the sentences, without outer white space.
+
+    Every gap of white space is looked at from behind: it parts two sentences if what precedes it, past closing marks,
+    is an end that no abbreviation explains, and what follows can open a sentence.
+    """
+    out, start = [], len(text) - len(text.lstrip())
+    for gap in re.finditer(r"\s+", text):
+        if gap.start() <= start or gap.end() == len(text) or not _opens(text[gap.end()]):
+            continue
+        last = gap.start() - 1
+        while last > start and text[last] in CLOSERS:
+            last -= 1
+        if text[last] in ENDS and not (text[last] == "." and _abbreviated(text, last)):
+            out.append((start, gap.start()))
+            start = gap.end()
+    end = len(text.rstrip())
+    return [*out, (start, end)] if end > start else out
 
 
 def _pattern(quote: str) -> re.Pattern | None:

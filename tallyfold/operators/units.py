@@ -214,8 +214,9 @@ def linked(df: DataFrame, filings: DataFrame | None = None) -> DataFrame:
     """
     rows = df
     if filings is not None:
-        # one company per filing: a small dimension beside the extractions, sized by Spark before it is broadcast
         companies = filings.where(F.col("document_id").isNotNull()).groupBy(F.col("document_id").alias("__d")).agg(F.min("cik").alias("__cik"))
+        if companies.count() <= 500_000:  # a dozen MB; beyond, the join shuffles
+            companies = F.broadcast(companies)
         rows = df.join(companies, F.col("document_id") == F.col("__d"), "left")
     company = F.col("__cik") if filings is not None else F.lit(None).cast("string")
     metric = F.lower(F.trim(F.regexp_replace("name", r"\(.*\)", "")))
