@@ -35,6 +35,7 @@ EXPANSIONS = {
     "ev": "electric vehicle",
     "iot": "internet of things",
 }
+#: Words that may stand before a name.
 ARTICLES = ("the", "a", "an", "our", "its", "their")
 #: Whole labels that are one entity.
 ENTITY_ALIASES = {
@@ -51,6 +52,7 @@ ENTITY_ALIASES = {
     "share repurchases": "buybacks",
     "stock repurchase program": "buybacks",
 }
+#: How some keys are shown.
 KEY_LABELS = {
     "ai_infrastructure": "AI Infrastructure",
     "export_controls": "Export Controls",
@@ -81,9 +83,9 @@ def words_only(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
-def content_id(prefix: str, accession: Column, text: Column) -> Column:
-    """A short content id within a filing."""
-    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat_ws("\x00", accession, F.lit(""), normalised(text)), 256), 1, 12))
+def content_id(prefix: str, accession: Column, text: Column, salt: Column | None = None) -> Column:
+    """A short content id within a filing; `salt` tells equal texts apart."""
+    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat_ws("\x00", accession, F.lit("") if salt is None else salt, normalised(text)), 256), 1, 12))
 
 
 def chunk_hash(company: Column, accession: Column, page: Column, text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions import text as T
+from tallyfold.operators import carried
 from tallyfold.operators.ordering import with_next
 from tallyfold.storage import written
 
@@ -15,6 +16,8 @@ ANNUAL = ("10-K", "20-F", "40-F")
 ORDER = {"filed": 0, "newly_disclosed": 1, "expanded": 2, "narrowed": 3, "no_longer_disclosed": 4, "disclosed_again": 5}
 #: Least difference and least ratio of paragraphs for a topic to have grown or shrunk.
 MIN_DELTA, MIN_RATIO = 3, 1.25
+#: Fixed value: the share of a paragraph's word runs said before from which it is carried over.
+CARRIED_OVER = 0.5
 
 
 def grown(before: Column, after: Column) -> Column:
@@ -91,9 +94,29 @@ def events(filings: DataFrame, mentions: DataFrame) -> DataFrame:
     return rows.withColumns({"rank": rank, "key": F.concat_ws(":", "accession", "kind", "slug")})
 
 
-def evidence(change_rows: DataFrame, mentions: DataFrame) -> DataFrame:
-    """The first citation, in reading order, that an event points at: in the filing, or for a dropped topic in the one before."""
-    at = change_rows.select(F.when(F.col("kind") == "no_longer_disclosed", F.col("before_id")).otherwise(F.col("document_id")).alias("cited_in"), "slug", F.concat_ws(":", "accession", "kind", "slug").alias("key"))
-    order = F.struct(T.reading_order(F.col("paragraph_id"), F.lit(None).cast("int"), F.lit(0)).alias("o"), F.col("mention_id"))
-    cited = mentions.groupBy(F.col("document_id").alias("cited_in"), "slug").agg(F.min_by(F.struct("mention_id", "paragraph_id", "quote"), order).alias("m"))
-    return at.join(cited, ["cited_in", "slug"]).select("key", "cited_in", "m.mention_id", "m.paragraph_id", "m.quote")
+def evidence(change_rows: DataFrame, mentions: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """The citation that an event points at: key, cited_in, mention_id, paragraph_id, quote, new_paragraph.
+
+    It is the first one in reading order whose paragraph is not carried over from what the compared filing says of the
+    topic, and then `new_paragraph` is true; if all are carried over it is the first one, and false.  For a dropped topic
+    it is the first one in the filing before, and null; so it is where a paragraph's text is not known.  A paragraph is
+    carried over if at least `CARRIED_OVER` of its word runs stand in the topic's paragraphs there.
+    """
+    dropped = F.col("kind") == "no_longer_disclosed"
+    at = change_rows.select(F.concat_ws(":", "accession", "kind", "slug").alias("key"), "slug", F.when(dropped, F.col("before_id")).otherwise(F.col("document_id")).alias("cited_in"), F.when(~dropped, F.col("before_id")).alias("against"))
+    at = written(at, "evidence-events")
+    order = F.struct(T.reading_order(F.col("paragraph_id"), F.lit(None).cast("int"), F.lit(0)).alias("o"), F.col("mention_id").alias("id"))
+    cited = mentions.select(F.col("document_id").alias("cited_in"), "slug", "mention_id", "paragraph_id", "quote", order.alias("order"))
+    rows = written(at.join(cited, ["cited_in", "slug"]), "evidence-cited")
+    texts = paragraphs.where(F.length("text") > 0).groupBy("document_id", "paragraph_id").agg(F.min_by("text", "block_id").alias("text"))
+    # the runs of the topic's paragraphs in the filing compared with, and of each cited paragraph, once however often it is cited
+    place = lambda doc: texts.withColumnRenamed("document_id", doc)
+    earlier = at.where(F.col("against").isNotNull()).join(mentions.select(F.col("document_id").alias("against"), "slug", "paragraph_id").distinct(), ["against", "slug"]).join(place("against"), ["against", "paragraph_id"]).select("key", "text")
+    looked = rows.where(F.col("against").isNotNull()).select("key", "cited_in", "paragraph_id").distinct().join(place("cited_in"), ["cited_in", "paragraph_id"]).select("key", F.struct("key", "paragraph_id").alias("where"), F.col("text").alias("quote"))
+    shares = carried.overlaps(looked, earlier, "where", "key").select("where.key", "where.paragraph_id", "share")
+    judged = rows.join(shares, ["key", "paragraph_id"], "left").withColumn("known", F.col("share").isNotNull())
+    fresh = F.struct((F.col("share") >= CARRIED_OVER).alias("carried"), "order")
+    pick = F.struct("mention_id", "paragraph_id", "quote", "cited_in", "share")
+    best = judged.groupBy("key").agg(F.bool_and("known").alias("known"), F.min_by(pick, fresh).alias("fresh"), F.min_by(pick, "order").alias("first"))
+    new = F.when(F.col("known"), F.col("fresh.share") < CARRIED_OVER)
+    return best.withColumn("p", F.when(new, F.col("fresh")).otherwise(F.col("first"))).select("key", "p.cited_in", "p.mention_id", "p.paragraph_id", "p.quote", new.alias("new_paragraph"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators import graph as G
 from tallyfold.operators import timeline as TL
-from tallyfold.plans.model import entities, entities_of, filings, mentions, sql
+from tallyfold.plans.model import entities, entities_of, filings, mentions, paragraphs, sql
 from tallyfold.storage import written
 
 
@@ -125,21 +125,25 @@ def _newest_events(s, d):
 
 
 def _evidence(s, d):
-    return TL.evidence(TL.changes(filings(s, d, *FILED), mentions(s, d)), mentions(s, d, "quote"))
+    return TL.evidence(TL.changes(filings(s, d, *FILED), mentions(s, d)), mentions(s, d, "quote"), paragraphs(s, d, "document_id", "paragraph_id", "text"))
 
 
 def _titles(s, d):
-    c, n, b = F.col, F.col("paragraphs").cast("string"), F.col("previous_paragraphs").cast("string")
-    plural = lambda x: F.concat(x.cast("string"), F.when(x == 1, " paragraph").otherwise(" paragraphs"))
+    """The sentence shown beside an event."""
+    c = F.col
+    plural = lambda x: F.concat(c(x).cast("string"), F.when(c(x) == 1, " paragraph").otherwise(" paragraphs"))
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    cited, was, before = say("Cited in ", plural("paragraphs")), F.coalesce(c("was"), F.lit("last filing")), c("previous_paragraphs").cast("string")
+    first = F.when(c("named_earlier_in") != "", say(cited, "; first time in a ", c("form_type"), ", named earlier in a ", c("named_earlier_in"), ".")).otherwise(say(cited, "; in no earlier filing on record."))
     text = (
-        F.when(c("kind") == "newly_disclosed", F.when(c("named_earlier_in") != "", F.concat(F.lit("Cited in "), plural(c("paragraphs")), F.lit("; first time in a "), c("form_type"), F.lit(", named earlier in a "), c("named_earlier_in"), F.lit("."))).otherwise(F.concat(F.lit("Cited in "), plural(c("paragraphs")), F.lit("; in no earlier filing on record."))))
-        .when(c("kind") == "disclosed_again", F.concat(F.lit("Cited in "), plural(c("paragraphs")), F.lit("; cited in an earlier "), c("form_type"), F.lit(".")))
-        .when(c("kind") == "expanded", F.concat(F.lit("Cited in "), plural(c("paragraphs")), F.lit(", up from "), b, F.lit(".")))
-        .when(c("kind") == "narrowed", F.concat(F.lit("Cited in "), plural(c("paragraphs")), F.lit(", down from "), b, F.lit(".")))
-        .otherwise(F.concat(F.lit("Cited in "), plural(c("previous_paragraphs")), F.lit(" before; in none of this filing.")))
-    )
-    del n
-    return TL.events(filings(s, d, *FILED), mentions(s, d)).where("kind <> 'filed'").select("key", text.alias("summary"))
+        F.when(c("kind") == "newly_disclosed", first)
+        .when(c("kind") == "disclosed_again", say(cited, "; absent from the ", was, ", cited in an earlier ", c("form_type"), "."))
+        .when(c("kind") == "expanded", say(cited, ", up from ", before, " in the ", was, "."))
+        .when(c("kind") == "narrowed", say(cited, ", down from ", before, " in the ", was, "."))
+        .otherwise(say("Cited in ", plural("previous_paragraphs"), " of the ", was, "; in none of this filing."))
+    )
+    labels = filings(s, d, "fiscal_period", "form_type").select(F.col("document_id").alias("before_id"), F.concat_ws(" ", F.nullif("fiscal_period", F.lit("")), "form_type").alias("was"))
+    return TL.events(filings(s, d, *FILED), mentions(s, d)).where("kind <> 'filed'").join(labels, "before_id", "left").select("key", text.alias("summary"))
 
 
 _PL = "{x}::VARCHAR || CASE WHEN {x} = 1 THEN ' paragraph' ELSE ' paragraphs' END"
@@ -185,13 +189,21 @@ SQL = {
     "tml2_changes": sql(_CHANGES + " SELECT * FROM chg", "men"),
     "tml4_evidence": sql(_CHANGES + r""", m AS (SELECT *, CASE WHEN regexp_matches(paragraph_id, '^\d+_\d+(#\d+)?$') THEN 0 ELSE 1 END AS o1, coalesce(TRY_CAST(split_part(paragraph_id, '_', 1) AS INT), 0) AS o2,
         coalesce(TRY_CAST(split_part(split_part(paragraph_id, '_', 2), '#', 1) AS INT), 0) AS o3, coalesce(TRY_CAST(split_part(paragraph_id, '#', 2) AS INT), 0) AS o4 FROM men),
-        c AS (SELECT document_id AS cited_in, slug, mention_id, paragraph_id, quote FROM m QUALIFY row_number() OVER (PARTITION BY document_id, slug ORDER BY o1, CASE WHEN o1 = 0 THEN o2 ELSE 0 END, CASE WHEN o1 = 0 THEN o3 ELSE 0 END, CASE WHEN o1 = 0 THEN o4 ELSE 0 END, mention_id) = 1)
-        SELECT accession || ':' || kind || ':' || chg.slug AS key, cited_in, mention_id, paragraph_id, quote FROM chg JOIN c ON c.slug = chg.slug AND cited_in = CASE WHEN kind = 'no_longer_disclosed' THEN before_id ELSE chg.document_id END""", "men"),
+        txt AS (SELECT document_id, paragraph_id, arg_min(text, block_id) AS text FROM par WHERE length(text) > 0 GROUP BY 1, 2), words AS (SELECT document_id, paragraph_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM txt),
+        runs AS (SELECT document_id, paragraph_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, greatest(len(w) - 2, 2))]) END AS r FROM words),
+        aim AS (SELECT accession || ':' || kind || ':' || slug AS key, slug, CASE WHEN kind = 'no_longer_disclosed' THEN before_id ELSE document_id END AS cited_in, CASE WHEN kind <> 'no_longer_disclosed' THEN before_id END AS against FROM chg),
+        old AS (SELECT key, list_distinct(flatten(list(r))) AS r FROM aim JOIN (SELECT DISTINCT document_id, slug, paragraph_id FROM m) b ON b.document_id = against AND b.slug = aim.slug JOIN runs ON runs.document_id = against AND runs.paragraph_id = b.paragraph_id GROUP BY 1),
+        j AS (SELECT aim.key, cited_in, m.mention_id, m.paragraph_id, m.quote, row_number() OVER (PARTITION BY aim.key ORDER BY o1, CASE WHEN o1 = 0 THEN o2 ELSE 0 END, CASE WHEN o1 = 0 THEN o3 ELSE 0 END, CASE WHEN o1 = 0 THEN o4 ELSE 0 END, mention_id) AS place,
+          CASE WHEN against IS NOT NULL AND len(n.r) > 0 THEN len(list_intersect(n.r, coalesce(old.r, [])))::DOUBLE / len(n.r) END AS share
+          FROM aim JOIN m ON m.document_id = cited_in AND m.slug = aim.slug LEFT JOIN runs n ON n.document_id = cited_in AND n.paragraph_id = m.paragraph_id LEFT JOIN old ON old.key = aim.key),
+        best AS (SELECT key, bool_and(share IS NOT NULL) AS known, min(place) FILTER (share < 0.5) AS fresh FROM j GROUP BY 1)
+        SELECT j.key, cited_in, mention_id, paragraph_id, quote, CASE WHEN known THEN fresh IS NOT NULL END AS new_paragraph FROM j JOIN best ON best.key = j.key AND place = CASE WHEN known AND fresh IS NOT NULL THEN fresh ELSE 1 END""", "men", "par"),
     "tml6_categories": sql(_CHANGES + " SELECT upper(substr(coalesce(entity_type, 'Filing'), 1, 1)) || substr(coalesce(entity_type, 'Filing'), 2) AS category, kind, count(*) AS events FROM chg LEFT JOIN ent USING (cik, slug) GROUP BY 1, 2", "men", "ent"),
     "srt5_newest_events": sql(_CHANGES + " SELECT key, filed_at, abs(coalesce(paragraphs, 0) - coalesce(previous_paragraphs, 0)) AS moved FROM ev ORDER BY filed_at DESC, accession, \"rank\", moved DESC, slug LIMIT 100", "men"),
-    "sca48_event_summaries": sql(_CHANGES + f""" SELECT key, CASE kind WHEN 'newly_disclosed' THEN CASE WHEN named_earlier_in <> '' THEN 'Cited in ' || {_P} || '; first time in a ' || form_type || ', named earlier in a ' || named_earlier_in || '.' ELSE 'Cited in ' || {_P} || '; in no earlier filing on record.' END
-        WHEN 'disclosed_again' THEN 'Cited in ' || {_P} || '; cited in an earlier ' || form_type || '.' WHEN 'expanded' THEN 'Cited in ' || {_P} || ', up from ' || previous_paragraphs || '.'
-        WHEN 'narrowed' THEN 'Cited in ' || {_P} || ', down from ' || previous_paragraphs || '.' ELSE 'Cited in ' || {_B} || ' before; in none of this filing.' END AS summary FROM ev WHERE kind <> 'filed'""", "men"),
+    "sca48_event_summaries": sql(_CHANGES + f""", told AS (SELECT ev.*, coalesce(nullif(concat_ws(' ', nullif(b.fiscal_period, ''), b.form_type), ''), 'last filing') AS was FROM ev LEFT JOIN fil b ON b.document_id = before_id WHERE kind <> 'filed')
+        SELECT key, CASE kind WHEN 'newly_disclosed' THEN CASE WHEN named_earlier_in <> '' THEN 'Cited in ' || {_P} || '; first time in a ' || form_type || ', named earlier in a ' || named_earlier_in || '.' ELSE 'Cited in ' || {_P} || '; in no earlier filing on record.' END
+        WHEN 'disclosed_again' THEN 'Cited in ' || {_P} || '; absent from the ' || was || ', cited in an earlier ' || form_type || '.' WHEN 'expanded' THEN 'Cited in ' || {_P} || ', up from ' || previous_paragraphs || ' in the ' || was || '.'
+        WHEN 'narrowed' THEN 'Cited in ' || {_P} || ', down from ' || previous_paragraphs || ' in the ' || was || '.' ELSE 'Cited in ' || {_B} || ' of the ' || was || '; in none of this filing.' END AS summary FROM told""", "men"),
     "win2_previous_filing": sql(_COMP + " SELECT document_id, cik, form_type, next_id AS next_document_id FROM comp", "men"),
     "win3_coverage": sql(_COMP + " SELECT f.document_id, f.accession, CASE WHEN c.document_id IS NULL THEN 'not compared' WHEN before_id IS NULL THEN 'baseline' ELSE 'compared' END AS coverage FROM fil f LEFT JOIN comp c USING (document_id)", "men"),
     "win4_first_citations": sql(_COMP + " SELECT m.cik, slug, m.form_type, arg_min(m.filed_at, (m.filed_at, m.accession)) AS filed_at, arg_min(m.accession, (m.filed_at, m.accession)) AS accession FROM men m JOIN comp c USING (document_id) GROUP BY 1, 2, 3", "men"),
