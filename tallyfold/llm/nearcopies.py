@@ -1,23 +1,29 @@
 """Near-duplicate texts: pairs whose sets of consecutive words have at least a given Jaccard similarity.
 
-A text is the set of its hashed word windows.  All windows have one order, the rare ones first (by a sketch of the
-counts over all texts, then by hash).  The pigeonhole principle on that order loses no pair: two texts that share at
-least c windows share `MEET` of the first n - c + `MEET` of each (all c, if c is less).  A text of n windows is
-therefore sent under its first n - ceil(s n) + `MEET` of them, where s is the similarity; as the smaller text of a pair
-it need only be met in the first n - ceil(2 s n / (1 + s)) + `MEET`.  Windows that the sketch has seen once are certain
-to stand in one text and are not sent.
+A text is the set of its hashed word windows, a vector of bits.  The generalised pigeonhole principle: of two texts with
+n and m windows, n <= m, that are similar to s, at most e = n (1 - s) / (1 + s) of the smaller one's windows are missing
+in the other.  Cut its windows into partitions of correlated bits (windows that stand side by side, which an edit changes
+together) and give partition i a threshold t_i >= -1: if the t_i + 1 add up to e + `MEET`, then in some partitions no more
+than t_i windows are missing, and asking for any t_i + 1 windows of each partition meets the other text in `MEET` windows
+(in all common ones, if they are fewer).  A partition is therefore probed under its t_i + 1 rarest windows.  The
+thresholds with the least estimated number of candidates are a dynamic programme over the partitions; as each further
+window of a partition costs at least as much as the one before, its solution is known in closed form: the e + `MEET`
+windows with the least estimated counts, wherever they stand (`allocated`).  Counts are estimated by a sketch over all
+texts; a window counted once is certain to stand in one text and costs nothing.
 
 Texts that meet in a window are held against each other at once by size and by place: what follows the windows they
-share first must leave room for the c windows.  Pairs that meet often enough are filtered by 256 parity bits of the sets,
-whose Hamming distance never exceeds the size of the symmetric difference, and verified on the full sets.  No step
-loses a pair.
+share first must leave room for the common ones.  Pairs that meet often enough are filtered by 256 parity bits of the
+sets, whose Hamming distance never exceeds the size of the symmetric difference, and verified on the full sets.  No step
+loses a pair, so the operator has no inexact setting.
+
+A window that very many texts are asked under is split: its texts fall into groups, and each pair of groups meets in a
+cell of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
 
 import numpy as np
 import pandas as pd
@@ -27,13 +33,14 @@ from pyspark.sql.types import DoubleType
 
 from tallyfold.storage import discard, written
 
-BINS = 32
-PARTS = BINS // 2
+KEYS = 32  # windows of a text that count sketches and buckets are planned for
 MOST_SLOTS = 1 << 27  # a count sketch has as many counters as keys need, and never more: 64 MiB
 PIECE = 1 << 16  # slots in a piece of a count sketch, so that a slot in it takes two bytes
 BUCKET = 500_000  # windows that a task holds at once when texts meet, about
+HOT = 20_000  # texts of one window that meet in one cell, about
+FLUSH = 1 << 21  # counters that a counting task holds before it sends them on
 #: What the four bits of a counter stand for; up to 4 a count is exact, above it is rounded down.
-LEVELS = np.array([0, 1, 2, 3, 4, 6, 8, 12, 16, 32, 64, 128, 512, 2048, 8192, 32768], dtype=np.int64)
+LEVELS = np.array([0, 1, 2, 3, 4, 6, 9, 16, 32, 128, 512, 2048, 16384, 131072, 1 << 20, 1 << 24], dtype=np.int64)
 #: Windows in which similar texts must meet: each more is one more window sent of each text, and fewer pairs to verify.
 MEET = 3
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -176,25 +183,33 @@ class Counts:
 SPARSE = "piece int, slots binary, counts binary"
 
 
+def _pieces(at: np.ndarray, counts: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Counters of sorted slots, in pieces."""
+    piece = at // PIECE
+    cut = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1], [True]))) if len(at) else np.zeros(1, np.int64)
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield pd.DataFrame({"piece": [int(piece[a])], "slots": [(at[a:b] - piece[a] * PIECE).astype(np.uint16).tobytes()], "counts": [counts[a:b].astype(np.uint32).tobytes()]})
+
+
 def _sparse(batches: Iterator[pd.DataFrame], keys_of, slots: int) -> Iterator[pd.DataFrame]:
-    """The counters of a partition's keys that aren't 0, in pieces."""
-    counts = np.zeros(slots, dtype=np.uint16)
+    """The counters of a partition's keys that aren't 0, in pieces; what is held is bounded by `FLUSH` and a batch."""
+    at, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        at, n = np.unique(_slot(keys_of(batch), slots), return_counts=True)
-        counts[at] = np.minimum(counts[at].astype(np.int64) + n, 65535)
-    used = np.flatnonzero(counts)
-    cut = np.searchsorted(used, np.arange(0, slots + 1, PIECE))
-    for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-        if b > a:
-            yield pd.DataFrame({"piece": [i], "slots": [(used[a:b] - i * PIECE).astype(np.uint16).tobytes()], "counts": [counts[used[a:b]].tobytes()]})
+        new, n = np.unique(_slot(keys_of(batch), slots), return_counts=True)
+        at, back = np.unique(np.concatenate((at, new)), return_inverse=True)
+        counts = np.bincount(back, weights=np.concatenate((counts, n)), minlength=len(at)).astype(np.int64)
+        if len(at) > FLUSH:
+            yield from _pieces(at, counts)
+            at, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    yield from _pieces(at, counts)
 
 
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(PIECE, dtype=np.int64)
     for at, counts in zip(pdf["slots"], pdf["counts"], strict=True):
-        total[np.frombuffer(at, dtype=np.uint16)] += np.frombuffer(counts, dtype=np.uint16)
+        total[np.frombuffer(at, dtype=np.uint16)] += np.frombuffer(counts, dtype=np.uint32)
     used = np.flatnonzero(total)
-    return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "slots": [used.astype(np.uint16).tobytes()], "counts": [np.minimum(total[used], 65535).astype(np.uint16).tobytes()]})
+    return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "slots": [used.astype(np.uint16).tobytes()], "counts": [np.minimum(total[used], (1 << 32) - 1).astype(np.uint32).tobytes()]})
 
 
 def slots_for(keys: int) -> int:
@@ -206,12 +221,12 @@ def counters(df: DataFrame, keys_of, slots: int) -> Iterator[tuple[int, np.ndarr
     """Counts by slot over the keys of all rows, piece by piece: the piece's first slot and its counts."""
     parts = df.mapInPandas(lambda batches: _sparse(batches, keys_of, slots), SPARSE)
     # a task sums a piece of at most 64 input partitions, so its group is bounded too
-    salts = max(1, df._jdf.rdd().getNumPartitions() // 64)
+    salts = max(1, df.rdd.getNumPartitions() // 64)
     if salts > 1:
         parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy("piece", "salt").applyInPandas(_summed, SPARSE)
     for r in parts.groupBy("piece").applyInPandas(_summed, SPARSE).toLocalIterator():
-        out = np.zeros(PIECE, dtype=np.uint16)
-        out[np.frombuffer(r.slots, dtype=np.uint16)] = np.frombuffer(r.counts, dtype=np.uint16)
+        out = np.zeros(PIECE, dtype=np.int64)
+        out[np.frombuffer(r.slots, dtype=np.uint16)] = np.frombuffer(r.counts, dtype=np.uint32)
         yield r.piece * len(out), out
 
 
@@ -230,6 +245,16 @@ def asked(sizes: np.ndarray, share: float) -> np.ndarray:
     return np.minimum(sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + MEET, sizes)
 
 
+def allocated(level: np.ndarray, members: np.ndarray, owner: np.ndarray, off: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cheapest thresholds with `units` units for each text: (its windows by estimated count, which are asked for).
+
+    Windows come as keys of owner, level and member.  A partition's threshold is the number of its windows asked for,
+    less one.
+    """
+    key = np.sort(owner.astype(np.uint64) << np.uint64(36) | level.astype(np.uint64) << np.uint64(32) | members)
+    return key, np.arange(len(key)) - off[owner] < units[owner]
+
+
 PREFIXES = "id bigint, h1 bigint, h2 bigint, size int, first int, windows binary"
 
 
@@ -243,9 +268,9 @@ def prefixed(width: int, least_words: int, similarity: float, seen):
             _, h1, h2 = _set_hashes(members, off)
             sizes = np.diff(off)
             owner = np.repeat(np.arange(n), sizes)
-            key = np.sort(owner.astype(np.uint64) << np.uint64(36) | seen.value.level(members).astype(np.uint64) << np.uint64(32) | members)
+            key, wanted = allocated(seen.value.level(members), members, owner, off, asked(sizes, similarity))
             alone = (key >> np.uint64(32) & np.uint64(15)) <= 1  # counts are never too small there
-            keep = ~alone & (np.arange(len(key)) - off[owner] < asked(sizes, similarity)[owner])
+            keep = ~alone & wanted
             raw = (key[keep] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
             cut = 4 * np.concatenate(([0], np.cumsum(np.bincount(owner[keep], minlength=n))))
             out = pd.DataFrame({"id": part["id"].to_numpy(), "h1": h1, "h2": h2, "size": sizes.astype(np.int32), "first": np.bincount(owner[alone], minlength=n).astype(np.int32), "windows": [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]})
@@ -264,11 +289,19 @@ def _numbers(planes: list[bytes], dtype: type) -> np.ndarray:
     return np.concatenate([np.ascontiguousarray(np.frombuffer(p, dtype=np.uint8).reshape(size, -1).T).view(dtype).ravel() for p in planes])
 
 
-DEALT = "bucket int, windows binary, ids binary, sizes binary, places binary"
+DEALT = "bucket int, windows binary, cells binary, ids binary, sizes binary, places binary"
+
 
+def _cells(ids: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the cells (low << 8 | high group) it meets others in, as (row, cell): one for each group of its window."""
+    row = np.repeat(np.arange(len(ids)), groups)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(groups) - groups, groups)
+    own = (_mix(ids.view(np.uint64))[row] % groups[row].astype(np.uint64)).astype(np.int64)
+    return row, np.minimum(own, other) << 8 | np.maximum(own, other)
 
-def dealt(buckets: int):
-    """Arrow batches of PREFIXES -> DEALT: windows with their texts, by ranges of hashes."""
+
+def dealt(buckets: int, seen):
+    """Arrow batches of PREFIXES -> DEALT: windows with their texts, by ranges of hashes; hot windows by cells."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -278,25 +311,41 @@ def dealt(buckets: int):
             n = batch["windows"].map(len).to_numpy() // 4
             owner = np.repeat(np.arange(len(batch)), n)
             place = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n) + batch["first"].to_numpy()[owner]
-            bucket = (keys.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            ids, sizes = batch["id"].to_numpy()[owner], batch["size"].to_numpy()[owner].astype(np.int32)
+            groups = np.clip(LEVELS[seen.value.level(keys)] // HOT + 1, 1, 256)
+            cell = np.zeros(len(keys), np.int64)
+            if groups.max(initial=1) > 1:
+                row, cell = _cells(ids, groups)
+                keys, ids, sizes, place = keys[row], ids[row], sizes[row], place[row]
+            spread = (_mix(keys.astype(np.uint64) + (cell.astype(np.uint64) << np.uint64(32))) >> np.uint64(32)) * np.uint64(buckets)
+            bucket = (spread >> np.uint64(32)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(cut)):
                 at = order[cut[k] : cut[k + 1]]
-                own = owner[at]
-                yield pd.DataFrame({"bucket": [k], "windows": [keys[at].tobytes()], "ids": [_planes(batch["id"].to_numpy()[own])], "sizes": [_planes(batch["size"].to_numpy()[own].astype(np.int32))], "places": [_planes(place[at].astype(np.int32))]})
+                cells = cell[at].astype(np.uint16).tobytes() if cell[at].any() else b""
+                yield pd.DataFrame({"bucket": [k], "windows": [keys[at].tobytes()], "cells": [cells], "ids": [_planes(ids[at])], "sizes": [_planes(sizes[at])], "places": [_planes(place[at].astype(np.int32))]})
 
     return run
 
 
-def _met(rows: list, similarity: float, block: int = 1 << 21) -> Iterator[pd.DataFrame]:
+def _met(rows: list, similarity: float, seen, block: int = 1 << 21) -> Iterator[pd.DataFrame]:
     """The meetings of one bucket's texts: a < b and how many they must have, once for each."""
-    keys = np.concatenate([np.frombuffer(r.windows, dtype=np.uint32) for r in rows]).astype(np.int64) << 24
+    windows = [np.frombuffer(r.windows, dtype=np.uint32) for r in rows]
+    cell = np.concatenate([np.frombuffer(r.cells, dtype=np.uint16) if r.cells else np.zeros(len(w), np.uint16) for r, w in zip(rows, windows, strict=True)]).astype(np.int64)
+    windows = np.concatenate(windows)
+    keys = windows.astype(np.int64)
+    if cell.any():  # windows are told apart by their cells too
+        keys = np.unique(keys << 16 | cell, return_inverse=True)[1].astype(np.int64)
+    keys <<= 24
     ids, sizes, places = (_numbers([getattr(r, c) for r in rows], t) for c, t in (("ids", np.int64), ("sizes", np.int32), ("places", np.int32)))
     top = (1 << 24) - 1
     key = keys | np.minimum(sizes, top)
     order = np.argsort(key, kind="stable")
-    key, keys, ids, sizes, places = key[order], keys[order], ids[order], sizes[order].astype(np.int64), places[order]
+    key, keys, ids, sizes, places, windows, cell = key[order], keys[order], ids[order], sizes[order].astype(np.int64), places[order], windows[order], cell[order]
+    mixed = cell >> 8 != cell & 255
+    groups = (LEVELS[seen.value.level(windows)] // HOT + 1).clip(1, 256).astype(np.uint64) if mixed.any() else None
+    group = _mix(ids.view(np.uint64)) % groups if mixed.any() else None
     # the smaller text of a pair stands before the larger, which is at most 1 / similarity times as large
     end = np.searchsorted(key, keys | np.minimum(np.floor(sizes / similarity + 1e-9).astype(np.int64), top), side="right")
     left = np.flatnonzero(places < asked(sizes, 2 * similarity / (1 + similarity)))
@@ -312,6 +361,8 @@ def _met(rows: list, similarity: float, block: int = 1 << 21) -> Iterator[pd.Dat
         room = np.minimum(sizes[i] - places[i], sizes[j] - places[j])
         common = np.ceil(similarity / (1 + similarity) * (sizes[i] + sizes[j]) - 1e-9)
         could = room > common - MEET
+        if group is not None:  # in a cell of two groups only texts of different groups meet
+            could &= ~mixed[i] | (group[i] != group[j])
         a, b = ids[i[could]], ids[j[could]]
         pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "need": np.minimum(common[could], MEET).astype(np.int32)})
         yield pairs.groupby(["a", "b", "need"]).size().rename("n").reset_index()
@@ -321,7 +372,7 @@ def _met(rows: list, similarity: float, block: int = 1 << 21) -> Iterator[pd.Dat
 MEETINGS = "a bigint, b bigint, need int, n bigint"
 
 
-def met(similarity: float):
+def met(similarity: float, seen):
     """Arrow batches of DEALT, sorted by bucket -> `MEETINGS` in the windows that both texts are sent under."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -329,68 +380,15 @@ def met(similarity: float):
         for batch in batches:
             for r in batch.itertuples(index=False):
                 if rows and rows[0].bucket != r.bucket:
-                    yield from _met(rows, similarity)
+                    yield from _met(rows, similarity, seen)
                     rows = []
                 rows.append(r)
         if rows:
-            yield from _met(rows, similarity)
+            yield from _met(rows, similarity, seen)
 
     return run
 
 
-def needs(similarity: float, width: int, probe_width: int, miss: float = 0.003) -> np.ndarray:
-    """By a text's number of filled bins: the units its thresholds must have.  `near_copies` doesn't use it.
-
-    That is one more than the bins in which a text of the similarity differs, but for `miss` of such texts.  Edits far
-    apart lower the similarity of wider windows most: each takes `probe_width` of them where it takes `width`.
-    """
-    gone = (1 - similarity) / (1 + similarity) * probe_width / width
-    agree = max(0.05, (1 - gone) / (1 + gone))
-    out = [0]
-    for m in range(1, BINS + 1):
-        below, k = 0.0, m
-        while k > 0:
-            below += comb(m, k) * (1 - agree) ** k * agree ** (m - k)
-            if below > miss:
-                break
-            k -= 1
-        out.append(min(k + 1, m))
-    return np.array(out)
-
-
-FAR = np.int64(1 << 40)
-
-
-def thresholds(single: np.ndarray, alone: np.ndarray, joint: np.ndarray, pairing: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cheapest thresholds of each text with `need` units: which bins are asked for alone, which partitions jointly.
-
-    `near_copies` doesn't use it.
-    """
-    n, units = len(single), int(need.max(initial=0))
-    filled = single != 0
-    best = np.full((n, units + 1), FAR, dtype=np.int64)
-    best[:, 0] = 0
-    choice = np.zeros((n, PARTS, units + 1), dtype=np.int8)
-    gains = filled[:, pairing[:, 0]].astype(np.int8) + filled[:, pairing[:, 1]]
-    for i, (a, b) in enumerate(pairing):
-        by_one = np.concatenate([best[:, :1], best[:, :-1]], axis=1)
-        by_two = np.concatenate([best[:, :1], by_one[:, :-1]], axis=1)
-        gain = gains[:, i : i + 1]
-        together = np.where(gain == 2, by_one + joint[:, i : i + 1], FAR)
-        apart = np.where(gain == 2, by_two, np.where(gain == 1, by_one, FAR)) + (alone[:, a] + alone[:, b])[:, None]
-        pick = np.where(apart < np.minimum(together, best), 2, np.where(together < best, 1, 0)).astype(np.int8)
-        choice[:, i] = pick
-        best = np.minimum(np.minimum(together, apart), best)
-    asked, asked_jointly = np.zeros((n, BINS), bool), np.zeros((n, PARTS), bool)
-    at, rows = need.copy(), np.arange(n)
-    for i in range(PARTS - 1, -1, -1):
-        pick = choice[rows, i, at]
-        asked_jointly[:, i] = pick == 1
-        asked[:, pairing[i]] = (pick == 2)[:, None]
-        at = np.maximum(at - np.where(pick == 2, gains[:, i], pick), 0)
-    return asked & filled, asked_jointly
-
-
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     out = np.empty(len(a))
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
@@ -419,13 +417,13 @@ def near_copies(df: DataFrame, key: str, text: str, latest: str, similarity: flo
 
     spark, texts = df.sparkSession, parities.count()
     plain = rows.select("id", "text")
-    slots = slots_for(texts * BINS)
+    slots = slots_for(texts * KEYS)
     seen = spark.sparkContext.broadcast(Counts(counters(plain, _members(width, least_words), slots), slots))  # of bounded size
     prefixes = plain.mapInPandas(prefixed(width, least_words, similarity, seen), PREFIXES)
     prefixes = prefixes.join(lead, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"]).select("id", "size", "first", "windows")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts * BINS // BUCKET)
-    by_window = prefixes.mapInPandas(dealt(buckets), DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    meetings = by_window.mapInPandas(met(similarity), MEETINGS).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts * KEYS // BUCKET)
+    by_window = prefixes.mapInPandas(dealt(buckets, seen), DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    meetings = by_window.mapInPandas(met(similarity, seen), MEETINGS).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
     first = written(meetings.where("n >= need").select("a", "b"), "near-first")
     seen.unpersist()
     side = lambda at: parities.select(F.col("id").alias(at), F.col("size").alias(f"n{at}"), *[F.col(f"p{i}").alias(f"{at}{i}") for i in (1, 2, 3, 4)])
@@ -445,11 +443,38 @@ def near_copies(df: DataFrame, key: str, text: str, latest: str, similarity: flo
     return pairs, classes.select("id", "class")
 
 
+SHARE = 10_000  # members of a class that one task expands
+
+
+def _expanded(pairs: DataFrame, side: str, members: DataFrame, sizes: DataFrame, out: str) -> DataFrame:
+    """`pairs` once for each member of the class `side`, as `out`; a large class is expanded by several tasks."""
+    salts = F.ceil(F.coalesce("n", F.lit(1)) / SHARE)
+    asking = pairs.join(sizes.withColumnRenamed("class", side), side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    holding = members.join(sizes, "class", "left").select(F.col("class").alias(side), F.col("id").alias(out), F.pmod(F.xxhash64("id"), salts).alias("salt"))
+    return asking.join(holding, [side, "salt"]).drop("salt")
+
+
 def found(blocks: DataFrame) -> DataFrame:
-    """block_id_a < block_id_b: blocks of at least 20 words whose sets of three consecutive words are similar to 0.6."""
+    """block_id_a < block_id_b: blocks of at least 20 words whose sets of three consecutive words are similar to 0.6.
+
+    The result names every pair, so copies are expanded; `classes_and_links` has one row per block instead.
+    """
     pairs, classes = near_copies(blocks, "block_id", "text", "ingested_at")
-    between = written(pairs.select("a", "b"), "near-pairs").join(classes.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(classes.select(F.col("class").alias("b"), F.col("id").alias("y")), "b")
-    several = classes.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
-    members = classes.join(several, "class", "left_semi")
-    within = members.withColumnRenamed("id", "x").join(members.withColumnRenamed("id", "y"), "class").where(F.col("x") < F.col("y"))
-    return between.select(F.least("x", "y").alias("block_id_a"), F.greatest("x", "y").alias("block_id_b")).unionByName(within.select(F.col("x").alias("block_id_a"), F.col("y").alias("block_id_b")))
+    sizes = classes.groupBy("class").agg(F.count("*").alias("n")).where("n > 1")
+    several = classes.join(sizes.select("class"), "class", "left_semi")
+    between = _expanded(_expanded(written(pairs.select("a", "b"), "near-pairs"), "a", classes, sizes, "x"), "b", classes, sizes, "y").select("x", "y")
+    within = _expanded(several.select(F.col("class").alias("a"), F.col("id").alias("x")), "a", several, sizes, "y").where(F.col("x") < F.col("y")).select("x", "y")
+    return between.unionByName(within).select(F.least("x", "y").alias("block_id_a"), F.greatest("x", "y").alias("block_id_b"))
+
+
+def classes_and_links(blocks: DataFrame) -> DataFrame:
+    """block_id, class_id, links: one row per block of at least 20 words: the least block with its set of windows, and to how many other classes that class is similar."""
+    pairs, classes = near_copies(blocks, "block_id", "text", "ingested_at")
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    return classes.join(links, "class", "left").select(F.col("id").alias("block_id"), F.col("class").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def class_pairs(blocks: DataFrame) -> DataFrame:
+    """class_a < class_b, similarity: similar classes, by their least blocks."""
+    pairs, _ = near_copies(blocks, "block_id", "text", "ingested_at")
+    return pairs.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.round("similarity", 6).alias("similarity"))

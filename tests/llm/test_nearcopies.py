@@ -101,18 +101,65 @@ def test_the_latest_delivery_counts(spark):
     assert found(spark.createDataFrame(rows, SCHEMA)) == {(1, 3)}
 
 
-def test_thresholds_have_the_units_at_least_cost():
+def test_thresholds_are_those_of_the_dynamic_programme():
     rng = np.random.default_rng(0)
-    n, pairing = 200, np.arange(nearcopies.BINS).reshape(-1, 2)
-    single = rng.integers(1, 9, (n, nearcopies.BINS)).astype(np.uint64) * (rng.random((n, nearcopies.BINS)) < 0.8)
-    alone = np.where(single == 0, 0, rng.integers(0, 50, single.shape))
-    joint = np.minimum(alone[:, 0::2], alone[:, 1::2]) // 2
-    need = np.minimum(nearcopies.needs(0.6, 3, 5)[(single != 0).sum(1)], (single != 0).sum(1))
-    asked, jointly = nearcopies.thresholds(single, alone, joint, pairing, need)
-    assert (asked.sum(1) + jointly.sum(1) >= need).all()
-    cheapest_alone = np.sort(np.where(single == 0, 1 << 30, alone), axis=1)
-    cost = (asked * alone).sum(1) + (jointly * joint).sum(1)
-    assert (cost <= np.array([c[:k].sum() for c, k in zip(cheapest_alone, need)]) + 50).all()
+    for n in (4, 9, 21, 40):
+        level = rng.integers(0, 16, n)
+        units = int(nearcopies.asked(np.array([n]), 0.6)[0])
+        key, wanted = nearcopies.allocated(level, rng.permutation(n).astype(np.uint32), np.zeros(n, np.int64), np.array([0, n]), np.array([units]))
+        cost = nearcopies.LEVELS[(key >> np.uint64(32) & np.uint64(15)).astype(int)][wanted].sum()
+        assert wanted.sum() == units
+        best = {0: 0}  # units -> least cost, partition by partition, with any number of its windows
+        for at in range(0, n, 3):
+            counts = np.sort(nearcopies.LEVELS[level[at : at + 3]])
+            options = [(t, counts[:t].sum()) for t in range(len(counts) + 1)]
+            best = {u: min(best[u - t] + c for t, c in options if u - t in best) for u in {v + t for v in best for t, _ in options}}
+        assert best[units] == cost
+
+
+def test_hot_windows_meet_in_cells(spark, monkeypatch):
+    random.seed(6)
+    t, rows = datetime(2025, 1, 1), []
+    base = random.choices(VOCABULARY, k=60)
+    for i in range(120):  # all windows of all texts are common
+        rows.append((i, " ".join(edited(base, random.randint(0, 4))), t))
+    df = spark.createDataFrame(rows, SCHEMA)
+    s = sets(rows)
+    expected = {(a, b) for a, b in combinations(sorted(s), 2) if len(s[a] & s[b]) >= 0.6 * len(s[a] | s[b])}
+    assert found(df) == expected and len(expected) > 3000
+    keys = np.arange(1000, dtype=np.int64)
+    row, cell = nearcopies._cells(keys, np.full(1000, 5))
+    assert len(row) == 5000 and len(set(cell.tolist())) == 15
+    where = {}
+    for r, c in zip(row.tolist(), cell.tolist()):
+        where.setdefault(r, set()).add(c)
+    assert all(where[a] & where[b] for a, b in combinations(range(60), 2))
+
+    class Low:  # every window counts as hot
+        value = type("V", (), {"level": staticmethod(lambda keys: np.full(len(keys), 15))})
+    monkeypatch.setattr(nearcopies, "LEVELS", np.array([0] * 15 + [4 * nearcopies.HOT]))
+    prefix = spark.createDataFrame([(i, 7, 20 + i % 3, 0, np.array([5, 9], np.uint32).tobytes()) for i in range(50)], "id bigint, h1 bigint, size int, first int, windows binary").toPandas()
+    parts = next(iter([list(nearcopies.dealt(4, Low)(iter([prefix])))]))
+    pairs = {}
+    for p in parts:
+        for r in p.itertuples(index=False):
+            for m in nearcopies._met([r], 0.6, Low):
+                for q in m.itertuples(index=False):
+                    pairs[q.a, q.b] = pairs.get((q.a, q.b), 0) + q.n
+    assert pairs == {(a, b): 2 for a, b in combinations(range(50), 2)}
+
+
+def test_large_classes_are_expanded_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "SHARE", 4)
+    random.seed(4)
+    t = datetime(2025, 1, 1)
+    base = random.choices(VOCABULARY, k=60)
+    near = " ".join(edited(base, 2))
+    rows = [(i, " ".join(base), t) for i in range(30)] + [(i, near, t) for i in range(100, 110)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert found(df) == set(combinations([r[0] for r in rows], 2))
+    assert {tuple(r) for r in nearcopies.classes_and_links(df).collect()} == {(r[0], 0 if r[0] < 30 else 100, 1) for r in rows}
+    assert [(r.class_a, r.class_b) for r in nearcopies.class_pairs(df).collect()] == [(0, 100)]
 
 
 def test_word_hashes_are_those_of_the_words():
