@@ -22,7 +22,8 @@ from pyspark.sql.types import StringType
 
 from tallyfold.storage import written
 
-#: Letters of other scripts beside the Latin letters of the same shape.
+#: Letters of other scripts, and of phonetic writing, beside the Latin letters of the same shape, as Unicode's
+#: table of confusable characters (UTS #39) pairs them.
 LOOKALIKES = (
     # Cyrillic
     ("АВЕЅІЈКМНОРСТУХҮԌԚԜӀ", "ABESIJKMHOPCTYXYGQWI"),
@@ -30,6 +31,15 @@ LOOKALIKES = (
     # Greek
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳ", "ABEZHIKMNOPTYXCj"),
     ("οϲν", "ocv"),
+    ("αρυ", "apu"),
+    # Armenian
+    ("ՕՍՏօհոս", "OUSohnu"),
+    # Cherokee
+    ("ᎠᎡᎢᎪᎫᎬᎳᎻᏀᏃᏒᏔᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMGZRWVSLCPKB"),
+    # Coptic
+    ("ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲬⲟⲥ", "ABEHIKMNOPCTXoc"),
+    # phonetic letters
+    ("ɑɡ", "ag"),
 )
 #: The sorts of compatibility decomposition that change width or joining only.
 JOINED = ("<wide>", "<narrow>", "<compat>", "<isolated>", "<initial>", "<medial>", "<final>", "<noBreak>", "<vertical>", "<small>")

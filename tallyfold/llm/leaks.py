@@ -10,25 +10,35 @@ back to offsets in the original text.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.llm.consistent import consistent_text
 
 WORD = re.compile(r"[^\W_]+")  # the longest runs of letters and digits
+BETWEEN = re.compile(r"[\W_]+")
+BLOCK_CHARS = 32 << 20  # characters of items in one automaton, about
 CLUSTER = regex.compile(r"\X\p{Cf}*")
 SCHEMA = "doc_id bigint, item_id bigint, part string, words int, start int, end int"
 
 
+def line_of(text: str) -> str:
+    """The words of a text in the consistent form, lower-cased, each between spaces."""
+    form = consistent_text(text)
+    if "İ" in form:  # the only letter whose lower case holds a character that is none: it stays in its word
+        return " " + " ".join(w.lower() for w in WORD.findall(form)) + " "
+    return " " + BETWEEN.sub(" ", form.lower()).strip() + " "
+
+
 def words_of(text: str) -> list[str]:
-    """The words of a text, lower-cased, after it is in the consistent form."""
-    return [w.lower() for w in WORD.findall(consistent_text(text))]
+    return line_of(text).split()
 
 
 @dataclass
@@ -58,14 +68,14 @@ class Items:
             automaton.make_automaton()
         return cls(parts, automaton)
 
-    def runs(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
-        """(part, first word, words) of each maximal run of at least the part's least length in a document's words."""
+    def runs(self, line: str) -> Iterator[tuple[int, int, int]]:
+        """(part, first word, words) of each maximal run of at least the part's least length in a document's `line_of`."""
         if not len(self.automaton):
             return
-        line = " " + " ".join(words) + " "
-        seen = set()
+        seen, words = set(), None
         at, counted = -1, 0
         for end, places in self.automaton.iter(line):
+            words = words or line.split()
             at += line.count(" ", counted, end)
             counted = end
             for part, place, size in places:
@@ -107,7 +117,7 @@ def scan(items: Items):
                 if not isinstance(text, str):
                     continue
                 spans = None
-                for part, first, n in items.runs(words_of(text)):
+                for part, first, n in items.runs(line_of(text)):
                     spans = spans or original_spans(text)
                     item, name, _, _ = items.parts[part]
                     rows.append((doc, item, name, n, spans[first][0], spans[first + n - 1][1]))
@@ -118,42 +128,48 @@ def scan(items: Items):
 
 
 class _Scan:
-    """Builds the automaton once per Python worker; what travels is the items' text."""
+    """Builds the automaton once per Python worker from the items' text, which travels as one broadcast of bounded size."""
 
-    built: dict[int, Items] = {}
+    built: dict[tuple, Items] = {}
 
-    def __init__(self, rows: list[tuple[int, str, str]], shared: int) -> None:
-        self.rows, self.shared, self.key = rows, shared, hash((tuple(rows), shared))
+    def __init__(self, rows: list[tuple[int, str, str]], shared: int, spark: SparkSession) -> None:
+        self.shared, self.key, self.rows = shared, (uuid.uuid4().hex, shared), spark.sparkContext.broadcast(rows)
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if self.key not in _Scan.built:
-            _Scan.built = {self.key: Items.build(self.rows, self.shared)}
+            _Scan.built = {self.key: Items.build(self.rows.value, self.shared)}
         yield from scan(_Scan.built[self.key])(batches)
 
 
-def leaks(documents: DataFrame, items: DataFrame, shared: int = 15, block: int = 20_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, shared: int = 15, block: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, part (`passage` or `question`), words of the run, start and end in the original text.
 
-    The items are the stated query set: they are taken in blocks of `block`, each of which is one automaton and one scan
-    of the corpus, so an automaton's size is bounded.  Null or empty texts, passages and questions have no run; a
-    document or item delivered twice gives equal rows.
+    A part shorter than `shared` words is reported only where it stands as a whole.  The items are the stated query set:
+    they are taken in blocks of `block` characters, each of which is one automaton and one scan of the corpus, so what is
+    broadcast and what a worker holds are bounded (a longer text is a block of its own).  Null or empty texts, passages
+    and questions have no run; a document or item delivered twice gives equal rows.
     """
+    spark = documents.sparkSession
     parts = items.where(F.col("item_id").isNotNull()).select("item_id", F.explode(F.map_from_arrays(F.array(F.lit("passage"), F.lit("question")), F.array("passage", "question"))).alias("part", "text"))
     parts = parts.where(F.length("text") > 0).distinct()
     corpus = documents.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select("doc_id", "text")
-    out, rows = None, []
+    out, rows, held = None, [], 0
 
     def scanned(out: DataFrame | None) -> DataFrame:
-        hits = corpus.mapInPandas(_Scan(list(rows), shared), SCHEMA)
+        hits = corpus.mapInPandas(_Scan(rows, shared, spark), SCHEMA)
         return hits if out is None else out.unionByName(hits)
 
     for r in parts.orderBy("item_id", "part").toLocalIterator():
+        if rows and held + len(r.text) > block:
+            out, rows, held = scanned(out), [], 0
         rows.append((r.item_id, r.part, r.text))
-        if len(rows) == block:
-            out, rows = scanned(out), []
+        held += len(r.text)
     return scanned(out) if rows or out is None else out
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id of the documents that hold at least 15 consecutive words of the item's passage."""
-    return leaks(documents, items).where(F.col("part") == "passage").select("doc_id", "item_id").distinct()
+    """doc_id, item_id of the documents that hold at least 15 consecutive words of the item's passage.
+
+    A passage of fewer words than that is in no document.
+    """
+    return leaks(documents, items).where((F.col("part") == "passage") & (F.col("words") >= 15)).select("doc_id", "item_id").distinct()

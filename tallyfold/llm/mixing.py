@@ -18,35 +18,41 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from tallyfold.storage import written
 
-TOKENIZERS = "/opt/tokenizers"
+#: The session setting that names the folder of vocabularies, as the driver sees it, and the folder where it is unset.
+SETTING, TOKENIZERS = "spark.tallyfold.tokenizers", "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 EPS = 1e-9
 
 
-@lru_cache(2)
-def encoding(folder: str, name: str):
-    """A public byte-level vocabulary of ranks with its folder's splitting pattern."""
-    import tiktoken
-
+def vocabulary(folder: str, name: str) -> tuple[str, bytes]:
+    """The splitting pattern of a folder of public vocabularies, and a file of ranks (a few MB)."""
     spec = importlib.util.spec_from_file_location("tokenizer_folder", f"{folder}/__init__.py")
     module = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(module)
-    with open(f"{folder}/{name}", "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(f"{folder}/{name}", "rb") as file:
+        return module.PATTERN, file.read()
+
+
+@lru_cache(2)
+def encoding(pattern: str, ranks: bytes):
+    """The coder of a byte-level vocabulary, built once per Python worker."""
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
 
 
-def token_count(folder: str = TOKENIZERS, name: str = VOCABULARY):
-    """A column function: text -> number of tokens; null for null."""
+def token_count(spark: SparkSession, folder: str | None = None, name: str = VOCABULARY):
+    """A column function: text -> number of tokens; null for null.  Executors get the vocabulary from the driver."""
+    held = spark.sparkContext.broadcast(vocabulary(folder or spark.conf.get(SETTING, TOKENIZERS), name))
 
     def run(texts: pd.Series) -> pd.Series:
-        coder = encoding(folder, name)
+        coder = encoding(*held.value)
         return pd.Series([None if t is None else len(coder.encode_ordinary(t)) for t in texts], dtype="Int32")
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
@@ -152,7 +158,7 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.select("source", "target_share", "max_repeats", "tokens", "docs", "share", F.when(usable, rate).otherwise(0.0).alias("rate"))
 
 
-def mixed(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+def mixed(documents: DataFrame, targets: DataFrame, folder: str | None = None, name: str = VOCABULARY, block: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(chosen: doc_id, source, tokens, repeats >= 1; the plan by source).
 
     Records without an id, of unlisted or null sources, or without tokens (null or empty text) are not used.  Of a
@@ -160,7 +166,7 @@ def mixed(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS, na
     """
     want = targets.select(plain_source(F.col("source")).alias("source")).where(F.col("source").isNotNull()).distinct()
     listed = documents.select("doc_id", plain_source(F.col("source")).alias("source"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).join(want, "source", "left_semi")
-    counted = listed.select("doc_id", "source", token_count(folder, name)("text").alias("tokens")).where(F.col("tokens") > 0)
+    counted = listed.select("doc_id", "source", token_count(documents.sparkSession, folder, name)("text").alias("tokens")).where(F.col("tokens") > 0)
     sized = written(counted.groupBy("doc_id").agg(F.max(F.struct("tokens", "source")).alias("r")).select("doc_id", "r.source", "r.tokens"), "mix-sized")
     sources = written(plan(sized, targets), "mix-plan")
     units = sized.join(F.broadcast(sources.select("source", "rate")), "source").where(F.col("rate") > 0)  # one row per listed source

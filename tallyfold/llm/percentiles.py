@@ -95,7 +95,6 @@ def bisected(counts: DataFrame, groups: list[str], per_mille: tuple[int, ...] =
     return done.select(*keys, "per_mille", F.col("total").alias("n"), F.col("lo").alias("v"))
 
 
-
 def usage_state(logs: DataFrame, tolerance: dict[str, int] | None = None) -> DataFrame:
     """The state of ai_usage_logs per task_type and day of created_at: latency in ms, cost in millionths of a dollar."""
     rows = once(logs.select("usage_id", "received_at", "task_type", F.to_date("created_at").alias("day"), "latency_ms", "estimated_cost_usd"), "usage_id", "received_at", ["task_type", "day", "latency_ms", "estimated_cost_usd"])
@@ -111,7 +110,7 @@ def usage_percentiles(logs: DataFrame, tolerance: dict[str, int] | None = None)
     """
     counts = written(usage_state(logs, tolerance), "usage-state").withColumn("all_days", F.lit(False))
     both = counts.unionByName(regrouped(counts, ["day"]).withColumn("all_days", F.lit(True)))
-    out = bisected(both, ["task_type", "day", "all_days"])
+    out = bisected(written(both, "usage-both"), ["task_type", "day", "all_days"])  # read in every pass
     unit = F.when(F.col("measure") == "latency_ms", 1.0).otherwise(1e6)
     off = F.lit(0)
     for m, width in (tolerance or {}).items():

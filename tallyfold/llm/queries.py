@@ -53,7 +53,7 @@ _SIMILAR = r"""once AS (
   SELECT DISTINCT block_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT block_id, w, unnest(range(1, len(w) - 1)) AS i FROM once WHERE len(w) >= 20)
 ), sizes AS (SELECT block_id, count(*) AS n FROM grams GROUP BY 1), shared AS (
   SELECT a.block_id AS x, b.block_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.block_id < b.block_id GROUP BY 1, 2
-), similar AS (SELECT x, y, c, p.n AS nx, q.n AS ny FROM shared JOIN sizes p ON p.block_id = x JOIN sizes q ON q.block_id = y WHERE 10 * c >= 6 * (p.n + q.n - c))"""
+), alike AS (SELECT x, y, c, p.n AS nx, q.n AS ny FROM shared JOIN sizes p ON p.block_id = x JOIN sizes q ON q.block_id = y WHERE 10 * c >= 6 * (p.n + q.n - c))"""
 
 SQL: dict[str, str] = {
     "p2_percentiles": f"""
@@ -78,16 +78,16 @@ SELECT task_type, pm / 1000.0::DOUBLE AS percentile, n AS "rows", v AS latency_m
 """,
     "p4_found": f"""
 WITH {_SIMILAR}
-SELECT x AS block_id_a, y AS block_id_b FROM similar
+SELECT x AS block_id_a, y AS block_id_b FROM alike
 """,
     "p4_classes": f"""
 WITH {_SIMILAR}, sets AS (SELECT block_id, string_agg(g, '|' ORDER BY g) AS s FROM grams GROUP BY 1), classes AS (SELECT block_id, min(block_id) OVER (PARTITION BY s) AS class_id FROM sets),
-links AS (SELECT c.class_id, count(*) AS links FROM (SELECT x, y FROM similar UNION ALL SELECT y, x FROM similar) p JOIN classes c ON c.block_id = x AND c.class_id = x JOIN classes k ON k.block_id = y AND k.class_id = y GROUP BY 1)
+links AS (SELECT c.class_id, count(*) AS links FROM (SELECT x, y FROM alike UNION ALL SELECT y, x FROM alike) p JOIN classes c ON c.block_id = x AND c.class_id = x JOIN classes k ON k.block_id = y AND k.class_id = y GROUP BY 1)
 SELECT block_id, class_id, coalesce(links, 0) AS links FROM classes LEFT JOIN links USING (class_id)
 """,
     "p4_pairs": f"""
 WITH {_SIMILAR}, sets AS (SELECT block_id, string_agg(g, '|' ORDER BY g) AS s FROM grams GROUP BY 1), leads AS (SELECT min(block_id) AS block_id FROM sets GROUP BY s)
-SELECT x AS class_a, y AS class_b, round(c::DOUBLE / (nx + ny - c), 6) AS similarity FROM similar JOIN leads a ON a.block_id = x JOIN leads b ON b.block_id = y
+SELECT x AS class_a, y AS class_b, round(c::DOUBLE / (nx + ny - c), 6) AS similarity FROM alike JOIN leads a ON a.block_id = x JOIN leads b ON b.block_id = y
 """,
     "p3_found": "SELECT DISTINCT accession, paragraph_id FROM blocks WHERE length(text) > 2400",
 }

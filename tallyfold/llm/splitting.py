@@ -76,7 +76,9 @@ def pieces(text: str, limit: int, overlap: int, size: Callable[[str], int] = len
             if pattern.search(text[max(a, b - 12) : b]):
                 bounds[kind].append(i)
                 break
-    order = [kind for kind, _ in ENDS]
+    merged: list[tuple[str, list[int]]] = []  # boundaries of a kind and of all stronger ones
+    for kind, _ in ENDS:
+        merged.append((kind, sorted([*(merged[-1][1] if merged else []), *bounds[kind]])))
     out, first, done, count = [], 0, 0, len(ends)  # done: tokens that earlier pieces hold
     while True:
         last = bisect.bisect_right(sums, sums[first] + limit) - 1  # tokens first..last-1 fit
@@ -85,9 +87,7 @@ def pieces(text: str, limit: int, overlap: int, size: Callable[[str], int] = len
             return out
         floor = bisect.bisect_left(sums, sums[first] + limit * least)
         cut, kind = last, "word" if text[ends[last - 1] - 1].isspace() else "hard"
-        strong: list[int] = []
-        for k in order:
-            strong = sorted([*strong, *bounds[k]])
+        for k, strong in merged:
             i = bisect.bisect_right(strong, last) - 1
             if i >= 0 and strong[i] > done and strong[i] >= floor:
                 cut, kind = strong[i], k

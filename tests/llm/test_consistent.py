@@ -13,6 +13,7 @@ def forms(spark, texts):
 CASES = [
     ("ｆｕｌｌ　ｗｉｄｔｈ１", "full width1"), ("ﬁle oﬀer", "file offer"), ("café", "café"), ("a​b­c﻿", "abc"), ("a b c", "a b c"),
     ("соре", "cope"), ("q̣̇", "q̣̇"), ("x²", "x²"), ("Part Ⅱ", "Part II"), ("tab\tand\nline", "tab\tand\nline"), ("‘quoted’", "‘quoted’"), ("𝒳", "𝒳"), ("한국", "한국"),
+    ("Հօսո", "Հoun"), ("ᎢᎬᎪ", "TEA"), ("ⲤⲞⲆⲈ", "COⲆE"), ("ɡɑp", "gap"), ("αυρ", "aup"),
 ]
 
 

@@ -37,7 +37,7 @@ def test_against_brute_force(spark):
     d, i = frames(spark, docs, items)
     got = {tuple(r) for r in leaks.found(d, i).collect()}
     assert got == brute(docs, items) and len(got) > 10
-    assert {tuple(r) for r in leaks.leaks(d, i, block=3).where("part = 'passage'").select("doc_id", "item_id").distinct().collect()} == got
+    assert {tuple(r) for r in leaks.leaks(d, i, block=100).where("part = 'passage'").select("doc_id", "item_id").distinct().collect()} == got
     assert leaks.found(d.where("false"), i).count() == 0
     assert leaks.found(d, i.where("false")).count() == 0
 
@@ -62,3 +62,10 @@ def test_the_least_run(spark, n):
 def test_a_question_counts_as_a_whole(spark):
     d, i = frames(spark, [(1, "So: what is the LEVEL of tax? Yes"), (2, "what is the level of")], [(1, None, "What is the level of tax?")])
     assert [(r.doc_id, r.part) for r in leaks.leaks(d, i).collect()] == [(1, "question")]
+
+
+def test_a_passage_under_the_least_run_is_no_case(spark):
+    short = "one two three four five six seven eight nine ten"
+    d, i = frames(spark, [(1, f"So {short} it goes."), (2, "İSTANBUL " * 20)], [(1, short, None), (2, "i̇stanbul " * 16, None), (3, "istanbul " * 16, None)])
+    assert {tuple(r) for r in leaks.found(d, i).collect()} == brute([(2, "İSTANBUL " * 20)], [(2, "i̇stanbul " * 16, None), (3, "istanbul " * 16, None)])
+    assert {(r.item_id, r.words) for r in leaks.leaks(d, i).where("item_id = 1").collect()} == {(1, 10)}

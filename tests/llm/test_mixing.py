@@ -63,5 +63,5 @@ def test_empty_tables(spark, none):
 
 
 def test_tokens_of_the_public_vocabulary(spark):
-    row = spark.createDataFrame([("Hello world",), (None,), ("",)], "text string").select(mixing.token_count()("text").alias("n")).collect()
+    row = spark.createDataFrame([("Hello world",), (None,), ("",)], "text string").select(mixing.token_count(spark)("text").alias("n")).collect()
     assert [r.n for r in row] == [2, None, 0]
