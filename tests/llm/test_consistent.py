@@ -1,5 +1,7 @@
 """The consistent form, and texts that are equal in it."""
 
+import random
+
 from tallyfold.llm import consistent
 
 SCHEMA = "doc_id bigint, text string"
@@ -48,3 +50,15 @@ def test_every_mapped_character_is_stable():
     for ch, to in consistent.mapping().items():
         once = consistent.consistent_text(ch)
         assert consistent.consistent_text(once) == once, (hex(ord(ch)), to)
+
+
+def test_ordering_and_composing_are_those_of_the_database(spark):
+    rng = random.Random(7)
+    pool = ["a", "e", "q", "é", "ậ", "ὄ", "가", "ᄀ", "ᅡ", "ᆨ", "か", "ﾊ", "ﾞ", "゛", "\u09c7", "\u09be", "क", "़", "ﬁ", " ", "\u00a0", "\u200b", "е", "\n", "文", "\u0344", "\u2126", "\u212b", "\ufb1f", "\ufe0f"]
+    marks = [chr(c) for c in range(0x300, 0x370)] + [chr(c) for c in (0x591, 0x5B0, 0x64B, 0x670, 0x0E38, 0x0F71, 0x302A, 0x3099, 0x20D0)]
+    texts = ["".join(rng.choice(pool if rng.random() < 0.5 else marks) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    every = [chr(c) + rest for c in (*range(0x80, 0x3100), *range(0xF900, 0xFFFE), *range(0x1D100, 0x1D200)) for rest in ("", "\u0301")]
+    df = spark.createDataFrame(list(enumerate(texts + every)), SCHEMA)
+    got = {r.doc_id: r.consistent for r in consistent.consistent(df, "doc_id", "text").collect()}
+    bad = [(t, got[i], consistent.consistent_text(t)) for i, t in enumerate(texts + every) if got[i] != consistent.consistent_text(t)]
+    assert not bad, bad[:5]
