@@ -14,6 +14,7 @@ shape are that letter.  Null stays null and an empty text stays empty; the form
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -46,6 +47,7 @@ LOOKALIKES = (
 JOINED = ("<wide>", "<narrow>", "<compat>", "<isolated>", "<initial>", "<medial>", "<final>", "<noBreak>", "<vertical>", "<small>")
 #: Characters without a trace in print that are not of the category of format characters.
 UNSEEN = "͏ᅟᅠ឴឵ㅤﾠ"
+ODD = re.compile(r"[^\x00-\x7f]")
 PLAIN = r"^[\t\n\r -~]*$"
 
 
@@ -85,16 +87,17 @@ def mapping() -> dict[str, str]:
 
 
 @lru_cache(1)
-def _short() -> dict[int, str]:
+def _short() -> dict[str, str]:
     """The mapping composed again, for whole-string translation; marks are composed with their letters afterwards."""
-    return {ord(a): unicodedata.normalize("NFC", b) for a, b in mapping().items()}
+    return {a: unicodedata.normalize("NFC", b) for a, b in mapping().items()}
 
 
 def consistent_text(text: str) -> str:
     """The consistent form of one string: what `consistent` builds, for use inside Arrow batches of other operators."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFC", text.translate(_short()))
+    short = _short()
+    return unicodedata.normalize("NFC", ODD.sub(lambda m: short.get(m[0], m[0]), text))
 
 
 @lru_cache(1)
@@ -118,19 +121,28 @@ def compositions() -> tuple[dict[str, str], dict[str, str]]:
 
 @lru_cache(1)
 def joining() -> str:
-    """A pattern's class of the characters that may change with those before them: they vanish, or begin with a mark or a second part."""
+    """A pattern for one of the characters that may change with those before them: they vanish, or begin with a mark or a second part.
+
+    It covers marks and format characters by category, and the rest by rule; that some stand alone does no harm.
+    """
     seconds = {pair[1] for pair in compositions()[0]} | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
-    to, ranges = mapping(), []
+    to, low, high = mapping(), [], []
     for code in range(0x80, 0x110000):
         if 0xD800 <= code <= 0xDFFF:
             continue
-        form = to.get(chr(code), chr(code))
-        if not form or unicodedata.combining(form[0]) or form[0] in seconds:
+        ch = chr(code)
+        form = to.get(ch, ch)
+        joins = not form or unicodedata.combining(form[0]) or form[0] in seconds
+        # a runtime may know fewer marks outside the basic plane: they are named one by one
+        if joins and (code >= 0x10000 or unicodedata.category(ch) not in ("Mn", "Mc", "Me", "Cf")):
+            ranges = low if code < 0x3000 else high
             if ranges and ranges[-1][1] == code - 1:
                 ranges[-1][1] = code
             else:
                 ranges.append([code, code])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+    listed = lambda ranges: "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
+    # few texts have the characters of the long list: it is looked at only where they can be
+    return rf"(?:[\p{{M}}\p{{Cf}}{listed(low)}]|(?![\x{{0}}-\x{{2fff}}])[{listed(high)}])"
 
 
 def _table(spark: SparkSession) -> DataFrame:

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from tallyfold.llm.consistent import consistent_text
 
 WORD = re.compile(r"[^\W_]+")  # the longest runs of letters and digits
-BETWEEN = re.compile(r"[\W_]+")
 BLOCK_CHARS = 32 << 20  # characters of items in one automaton, about
 CLUSTER = regex.compile(r"\X\p{Cf}*")
 SCHEMA = "doc_id bigint, item_id bigint, part string, words int, start int, end int"
@@ -34,7 +33,7 @@ def line_of(text: str) -> str:
     form = consistent_text(text)
     if "İ" in form:  # the only letter whose lower case holds a character that is none: it stays in its word
         return " " + " ".join(w.lower() for w in WORD.findall(form)) + " "
-    return " " + BETWEEN.sub(" ", form.lower()).strip() + " "
+    return " " + " ".join(WORD.findall(form.lower())) + " "
 
 
 def words_of(text: str) -> list[str]:
