@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyfold.llm.classes import expanded
 from tallyfold.storage import written
 
 #: Letters of other scripts, and of phonetic writing, beside the Latin letters of the same shape, as Unicode's
@@ -218,11 +219,14 @@ def found(df: DataFrame) -> DataFrame:
     rows = df.where(F.col("doc_id").isNotNull() & (F.length("text") > 0)).select(F.struct("doc_id", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2")).alias("k"), "text")
     forms = consistent(rows, "k", "text").select("k.doc_id", F.struct("k.h1", "k.h2").alias("raw"), F.md5("consistent").alias("form"))
     forms = written(forms, "consistent-forms")
-    strings = forms.groupBy("form", "raw").agg(F.lit(1).alias("one")).drop("one")
-    several = strings.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    strings = strings.join(several, "form", "left_semi")
-    pairs = strings.withColumnRenamed("raw", "a").join(strings.withColumnRenamed("raw", "b"), "form").where(F.col("a") < F.col("b"))
-    left = forms.select("form", F.col("raw").alias("a"), F.col("doc_id").alias("x"))
-    right = forms.select("form", F.col("raw").alias("b"), F.col("doc_id").alias("y"))
-    both = pairs.join(left, ["form", "a"]).join(right, ["form", "b"]).where(F.col("x") != F.col("y"))
-    return both.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
+    strings = forms.groupBy("form", "raw").agg(F.count("*").alias("n"))
+    several = strings.groupBy(F.col("form").alias("class")).agg(F.count("*").alias("n")).where("n > 1")
+    strings = written(strings.join(several.select(F.col("class").alias("form")), "form", "left_semi"), "consistent-strings")
+    # each pair of strings of one form once, then each string's documents; forms and strings with very many are split
+    apart = expanded(strings.select(F.col("form").alias("a"), F.col("raw").alias("x")), "a", strings.select(F.col("form").alias("class"), F.col("raw").alias("id")), several, "y").where(F.col("x") < F.col("y"))
+    named = F.struct("form", "raw")
+    holders = forms.join(strings.select("form", "raw"), ["form", "raw"], "left_semi").select(named.alias("class"), F.col("doc_id").alias("id"))
+    sizes = strings.where("n > 1").select(named.alias("class"), "n")
+    pairs = apart.select(F.struct(F.col("a").alias("form"), F.col("x").alias("raw")).alias("a"), F.struct(F.col("a").alias("form"), F.col("y").alias("raw")).alias("b"))
+    both = expanded(expanded(pairs, "a", holders, sizes, "p"), "b", holders, sizes, "q").where(F.col("p") != F.col("q"))
+    return both.select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b")).distinct()

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tallyfold.llm.classes import expanded
 from tallyfold.storage import discard, written
 
 KEYS = 32  # windows of a text that count sketches and buckets are planned for
@@ -443,17 +444,6 @@ def near_copies(df: DataFrame, key: str, text: str, latest: str, similarity: flo
     return pairs, classes.select("id", "class")
 
 
-SHARE = 10_000  # members of a class that one task expands
-
-
-def _expanded(pairs: DataFrame, side: str, members: DataFrame, sizes: DataFrame, out: str) -> DataFrame:
-    """`pairs` once for each member of the class `side`, as `out`; a large class is expanded by several tasks."""
-    salts = F.ceil(F.coalesce("n", F.lit(1)) / SHARE)
-    asking = pairs.join(sizes.withColumnRenamed("class", side), side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
-    holding = members.join(sizes, "class", "left").select(F.col("class").alias(side), F.col("id").alias(out), F.pmod(F.xxhash64("id"), salts).alias("salt"))
-    return asking.join(holding, [side, "salt"]).drop("salt")
-
-
 def found(blocks: DataFrame) -> DataFrame:
     """block_id_a < block_id_b: blocks of at least 20 words whose sets of three consecutive words are similar to 0.6.
 
@@ -462,8 +452,8 @@ def found(blocks: DataFrame) -> DataFrame:
     pairs, classes = near_copies(blocks, "block_id", "text", "ingested_at")
     sizes = classes.groupBy("class").agg(F.count("*").alias("n")).where("n > 1")
     several = classes.join(sizes.select("class"), "class", "left_semi")
-    between = _expanded(_expanded(written(pairs.select("a", "b"), "near-pairs"), "a", classes, sizes, "x"), "b", classes, sizes, "y").select("x", "y")
-    within = _expanded(several.select(F.col("class").alias("a"), F.col("id").alias("x")), "a", several, sizes, "y").where(F.col("x") < F.col("y")).select("x", "y")
+    between = expanded(expanded(written(pairs.select("a", "b"), "near-pairs"), "a", classes, sizes, "x"), "b", classes, sizes, "y").select("x", "y")
+    within = expanded(several.select(F.col("class").alias("a"), F.col("id").alias("x")), "a", several, sizes, "y").where(F.col("x") < F.col("y")).select("x", "y")
     return between.unionByName(within).select(F.least("x", "y").alias("block_id_a"), F.greatest("x", "y").alias("block_id_b"))
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from tallyfold.llm import consistent
+from tallyfold.llm import classes, consistent
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -37,12 +37,14 @@ def test_repeated_rows_and_texts_of_one_key(spark):
     assert [tuple(r) for r in consistent.found(df).collect()] == [(1, 2)]
 
 
-def test_found_pairs(spark):
+def test_found_pairs(spark, monkeypatch):
     texts = {1: "file é", 2: "ﬁle é", 3: "ﬁle é", 4: "file é", 5: "file e", 6: "File é", 7: "", 8: None, 9: "file é", 10: "x2", 11: "x²"}
     df = spark.createDataFrame(list(texts.items()), SCHEMA).selectExpr("*", "'z' as form", "'z' as raw", "'z' as k")
     got = {tuple(r) for r in consistent.found(df).collect()}
     same = [(1, 2), (1, 3), (1, 4), (2, 4), (3, 4), (2, 9), (3, 9), (4, 9)]
     assert got == set(same)
+    monkeypatch.setattr(classes, "SHARE", 1)  # every class is split
+    assert {tuple(r) for r in consistent.found(df).collect()} == set(same)
     assert consistent.found(df.where("false")).count() == 0
 
 

@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import regex
 
+from tallyfold.llm import classes as classes_of
 from tallyfold.llm import nearcopies
 
 SCHEMA = "block_id bigint, text string, ingested_at timestamp_ntz"
@@ -150,7 +151,7 @@ def test_hot_windows_meet_in_cells(spark, monkeypatch):
 
 
 def test_large_classes_are_expanded_by_several_tasks(spark, monkeypatch):
-    monkeypatch.setattr(nearcopies, "SHARE", 4)
+    monkeypatch.setattr(classes_of, "SHARE", 4)
     random.seed(4)
     t = datetime(2025, 1, 1)
     base = random.choices(VOCABULARY, k=60)
