@@ -56,3 +56,18 @@ def document_stats(paragraphs: DataFrame) -> DataFrame:
         F.count_distinct(page).alias("pages_with_text"), F.min(page).alias("first_page"), F.count_distinct(T.base_paragraph(F.col("paragraph_id"))).alias("paragraphs"),
         F.sum(F.length("text")).alias("characters"), F.max(page).alias("last_page"),
     )
+
+
+def names_in(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """key, slug: the names of a company (cik, slug, name) that stand in its texts (key, cik, text), adjacent and whole.
+
+    Texts and names meet in the first two words of a name, or in its only one, so no text is held against a name that
+    does not begin in it.
+    """
+    words = T.said(F.col("name"))
+    opening = names.withColumn("__w", words).where(F.size("__w") > 0).withColumn("__o", F.array_join(F.slice("__w", 1, 2), " ")).select("cik", "slug", F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")).alias("__n"), "__o")
+    said = texts.select(key, "cik", T.said(F.col("text")).alias("__w"))
+    pairs = F.transform(F.col("__w"), lambda w, i: F.concat_ws(" ", w, F.get("__w", i + 1)))
+    starts = said.select(key, "cik", F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")).alias("__t"), F.explode(F.array_distinct(F.concat("__w", pairs))).alias("__o"))
+    met = starts.join(opening, ["cik", "__o"]).where(F.instr(F.col("__t"), F.col("__n")) > 0)
+    return met.select(key, "slug").distinct()

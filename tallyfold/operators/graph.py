@@ -85,7 +85,10 @@ def kept_edges(edges: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def contract(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
-    """One JSON document per company with its nodes and edges in display order."""
+    """One JSON document per company with its nodes and edges in display order.
+
+    A document is one row: give it nodes that `nodes` has limited, and the edges between them, whose number that bounds.
+    """
     n = node_rows.groupBy("cik").agg(F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("o"), "id", "label", "type", "importance", "mentions"))).alias("n"))
     e = edge_rows.groupBy("cik").agg(F.array_sort(F.collect_list(F.struct((-F.col("strength")).alias("o"), "source", "target", "relationship", "strength"))).alias("e"))
     rows = n.join(e, "cik", "left")

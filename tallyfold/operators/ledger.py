@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.operators.ordering import with_sum_before
+
 #: Statuses of attempts that called a provider, and of those that answered.
 CALLED = ("success", "failed", "fallback")
 ANSWERED = ("success", "fallback", "cached")
@@ -59,16 +61,17 @@ def filled_days(points: DataFrame, day: str, zero: dict[str, Column]) -> DataFra
 
 
 def running_spend(attempts: DataFrame) -> DataFrame:
-    """What an organization had spent in the month before each attempt."""
-    month = F.date_trunc("month", F.col("created_at").cast("timestamp")).cast("date")
-    before = Window.partitionBy("organization_id", "month").orderBy("created_at", "usage_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = attempts.withColumn("month", month)
-    return rows.select("usage_id", "organization_id", "month", F.coalesce(F.sum("estimated_cost_usd").over(before), F.lit(0)).cast("decimal(38,6)").alias("spent_before"))
+    """What an organization had spent in the month before each attempt; its attempts are sorted hour by hour."""
+    rows = attempts.withColumn("month", F.date_trunc("month", F.col("created_at").cast("timestamp")).cast("date"))
+    rows = with_sum_before(rows, ["organization_id", "month"], ["created_at", "usage_id"], F.date_trunc("hour", F.col("created_at").cast("timestamp")), F.col("estimated_cost_usd"), "spent")
+    return rows.select("usage_id", "organization_id", "month", F.col("spent").cast("decimal(38,6)").alias("spent_before"))
 
 
 def failure_runs(attempts: DataFrame) -> DataFrame:
-    """Runs of consecutive failed attempts of a model within a day: start, end, length."""
-    w = Window.partitionBy("provider", "model", "day").orderBy("created_at", "usage_id")
-    rows = attempts.withColumn("day", F.to_date("created_at")).withColumn("failed", F.col("status") == "failed")
-    rows = rows.withColumn("run", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(w))
+    """Runs of consecutive failed attempts of a model within a day: start, end, length.
+
+    A run is known by the attempts before it in the day that did not fail; they are counted hour by hour.
+    """
+    rows = attempts.withColumns({"day": F.to_date("created_at"), "failed": F.coalesce(F.col("status") == "failed", F.lit(False))})
+    rows = with_sum_before(rows, ["provider", "model", "day"], ["created_at", "usage_id"], F.date_trunc("hour", F.col("created_at").cast("timestamp")), F.when(F.col("failed"), 0).otherwise(1), "run")
     return rows.where("failed").groupBy("provider", "model", "day", "run").agg(F.min("created_at").alias("started"), F.max("created_at").alias("ended"), F.count("*").alias("length")).drop("run")

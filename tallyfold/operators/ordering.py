@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,3 +26,21 @@ def with_next(df: DataFrame, entity: list[str], order: list[str], period: Column
     if first:
         joined = joined.withColumn(first, F.col("__head") & F.coalesce("__opens", F.lit(True))).drop("__head")
     return joined.withColumn(f"next_{take}", F.coalesce("__next", "__after")).drop("__period", "__next", "__after", "__opens")
+
+
+def with_sum_before(df: DataFrame, entity: list[str], order: list[str], period: Column, value: Column, name: str) -> DataFrame:
+    """Add `name`: the sum of `value` over the entity's rows before this one by `order`, 0 for its first.
+
+    Rows are sorted within (entity, period) only; what earlier periods add up to comes from one row per period.
+    `period` must not decrease along `order`.
+    """
+    rows = df.withColumns({"__period": period, "__value": value})
+    keys = [*entity, "__period"]
+    before = lambda *k: Window.partitionBy(*k)
+    sums = rows.groupBy(*keys).agg(F.sum("__value").alias("__sum"))
+    carried = sums.withColumn("__carried", F.sum("__sum").over(before(*entity).orderBy("__period").rowsBetween(Window.unboundedPreceding, -1))).select(*keys, "__carried")
+    inside = rows.withColumn("__inside", F.sum("__value").over(before(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    same = [inside[k].eqNullSafe(carried[k]) for k in keys]
+    joined = inside.join(carried, reduce(lambda a, b: a & b, same), "left").select(*[inside[c] for c in inside.columns], "__carried")
+    zero = F.lit(0)
+    return joined.withColumn(name, F.coalesce("__carried", zero) + F.coalesce("__inside", zero)).drop("__period", "__value", "__inside", "__carried")

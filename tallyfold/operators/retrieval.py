@@ -21,10 +21,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2000) -
     out, ids, mats = None, [], []
 
     def scored(ids: list[int], mats: list[list[float]]) -> DataFrame:
-        q, names = np.array(mats, dtype=np.float64), np.array(ids)
-        q = q / np.linalg.norm(q, axis=1, keepdims=True)
+        q = np.array(mats, dtype=np.float64)
+        held = vectors.sparkSession.sparkContext.broadcast((np.array(ids), q / np.linalg.norm(q, axis=1, keepdims=True)))  # one block
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, q = held.value
             for batch in batches:
                 batch = batch[[len(v) == q.shape[1] for v in batch["embedding"]]]
                 if batch.empty:
@@ -34,13 +35,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2000) -
                 vec = batch["vec_id"].to_numpy()[norm > 0]
                 if not len(vec):
                     continue
-                s = np.round((m[norm > 0] / norm[norm > 0, None]) @ q.T, 9)
-                s[vec[:, None] == names[None, :]] = -np.inf
+                s = np.round(q @ (m[norm > 0] / norm[norm > 0, None]).T, 9)
+                s[names[:, None] == vec[None, :]] = -np.inf
                 take = min(k, len(vec))
-                for j in range(len(names)):
-                    best = np.lexsort((vec, -s[:, j]))[:take]
-                    best = best[np.isfinite(s[best, j])]
-                    yield pd.DataFrame({"query_id": names[j], "vec_id": vec[best], "score": s[best, j]})
+                least = np.partition(s, len(vec) - take, axis=1)[:, len(vec) - take]
+                of, at = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+                order = np.lexsort((vec[at], -s[of, at], of))
+                of, at = of[order], at[order]
+                kept = np.arange(len(of)) - np.searchsorted(of, of) < take  # ties at the end are cut by id
+                yield pd.DataFrame({"query_id": names[of[kept]], "vec_id": vec[at[kept]], "score": s[of[kept], at[kept]]})
 
         return rows.mapInPandas(run, "query_id bigint, vec_id bigint, score double")
 

@@ -106,6 +106,13 @@ def _pruned(s, d):
     return kept, G.kept_edges(edges, kept)
 
 
+def _contract(s, d):
+    """Each company's 40 most important nodes and the edges between them as one document."""
+    scores, edges = _graph(s, d)
+    top = written(G.nodes(scores, limit=40), "graph-top")
+    return G.contract(top, G.kept_edges(edges, top))
+
+
 def _as_of(s, d):
     scores = _scores(s, d)
     until = F.lit("2022-12-31").cast("date")
@@ -157,7 +164,7 @@ QUERIES = {
     "gra10_importance": lambda s, d: _scores(s, d).select("cik", "slug", "frequency", "spread", "recency", "centrality", "importance"),
     "gra12_graph_nodes": _nodes,
     "gra12_graph_edges": lambda s, d: _pruned(s, d)[1],
-    "gra12_graph_contract": lambda s, d: G.contract(*_pruned(s, d)),
+    "gra12_graph_contract": _contract,
     "gra13_explained": lambda s, d: _scores(s, d).select("cik", "slug", "importance", "mention_count", "documents", "latest_seen", "degree", "frequency", "spread", "recency", "centrality"),
     "gra14_graph_as_of": _as_of,
     "srt3_top_nodes": lambda s, d: G.nodes(_scores(s, d), limit=5),
@@ -182,6 +189,10 @@ SQL = {
     "gra10_importance": sql(_EDGES + " SELECT cik, slug, frequency, spread, recency, centrality, importance FROM scored", "men", "ent"),
     "gra12_graph_nodes": sql(_EDGES + " SELECT cik, slug AS id, name AS label, entity_type AS type, importance, mention_count AS mentions FROM scored WHERE importance >= 30", "men", "ent"),
     "gra12_graph_edges": sql(_EDGES + " SELECT s.cik, source, target, relationship, strength FROM strong s JOIN scored a ON a.cik = s.cik AND a.slug = source AND a.importance >= 30 JOIN scored b ON b.cik = s.cik AND b.slug = target AND b.importance >= 30", "men", "ent"),
+    "gra12_graph_contract": sql(_EDGES + """, top AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY cik ORDER BY importance DESC, slug) <= 40),
+      n AS (SELECT cik, string_agg('{"id":' || to_json(slug) || coalesce(',"label":' || to_json(name), '') || coalesce(',"type":' || to_json(entity_type), '') || ',"importance":' || importance || ',"mentions":' || mention_count || '}', ',' ORDER BY importance DESC, slug, name) AS n FROM top GROUP BY 1),
+      e AS (SELECT s.cik, string_agg('{"source":' || to_json(source) || ',"target":' || to_json(target) || ',"relationship":' || to_json(relationship) || ',"strength":' || strength || '}', ',' ORDER BY strength DESC, source, target, relationship) AS e FROM strong s JOIN top a ON a.cik = s.cik AND a.slug = source JOIN top b ON b.cik = s.cik AND b.slug = target GROUP BY 1)
+      SELECT cik, '{"nodes":[' || n || '],"edges":[' || coalesce(e, '') || ']}' AS graph FROM n LEFT JOIN e USING (cik)""", "men", "ent"),
     "gra13_explained": sql(_EDGES + " SELECT cik, slug, importance, mention_count, documents, latest_seen, degree, frequency, spread, recency, centrality FROM scored", "men", "ent"),
     "gra14_graph_as_of": sql(_EDGES + " SELECT cik, slug AS id, name AS label, entity_type AS type, importance, mention_count AS mentions FROM scored WHERE first_seen IS NULL OR first_seen <= DATE '2022-12-31'", "men", "ent"),
     "srt3_top_nodes": sql(_EDGES + " SELECT cik, slug AS id, name AS label, entity_type AS type, importance, mention_count AS mentions FROM scored QUALIFY row_number() OVER (PARTITION BY cik ORDER BY importance DESC, slug) <= 5", "men", "ent"),

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions import text as T
+from tallyfold.operators import evidence as EV
 from tallyfold.operators import graph as G
 from tallyfold.operators import merge as M
 from tallyfold.operators import timeline as TL
@@ -81,7 +82,7 @@ def _search_text(s, d):
     """Paragraphs of periodic filings that speak of a topic of their own company by name."""
     top = entities(s, d).where("mention_count >= 3").select("cik", "slug", "name")
     p = paragraphs(s, d, "document_id", "text").join(filings(s, d, *FILED).where(F.col("form_type").isin(*TL.PERIODIC)).select("document_id", "cik"), "document_id")
-    return p.join(top, "cik").where(T.has_name(F.col("text"), F.col("name"))).select("block_id", "slug")
+    return EV.names_in(p.select("block_id", "cik", "text"), top, "block_id")
 
 
 def _redacted(s, d):

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
-_paths: dict[int, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,7 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -45,14 +44,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tallyfold/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     back = spark.read.schema(df.schema).parquet(path)
-    _paths[id(back)] = path
+    back._table_path = path  # the handle that `discard` takes
     return back
 
 
 def discard(df: DataFrame) -> None:
     """Remove a table of `written` that nothing reads any more, before the application ends."""
-    path = _paths.pop(id(df), None)
+    path = df.__dict__.pop("_table_path", None)
     if path:
-        _remove(df.sparkSession, path)
+        remove(df.sparkSession, path)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyfold.storage import remove
 
 
 def attempts(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
@@ -33,10 +38,23 @@ def daily(stream: DataFrame) -> DataFrame:
     ).select(F.to_date("w.start").alias("day"), "provider", F.col("cost").cast("decimal(38,6)").alias("cost"), "attempts", "failed")
 
 
-def drained(result: DataFrame, folder: str, name: str) -> DataFrame:
-    """Run a stream over all that is there now and give what it has written."""
+def drained(result: DataFrame, folder: str, name: str, keys: tuple[str, ...] = ("day", "provider")) -> DataFrame:
+    """Run a stream over all that is there now and give what it has written: for each key its newest row.
+
+    A micro-batch writes the rows it changed to a table of its own in the shared folder, and again if it is repeated, so
+    nothing is collected and a lost executor costs a re-read.  The tables go with the application.
+    """
     spark = result.sparkSession
-    out = f"{folder}/{name}"
-    query = result.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    out, checkpoint = f"{folder}/{name}/batches", f"{folder}/{name}/checkpoint"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    atexit.register(remove, spark, f"{folder}/{name}")
+    query = result.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if query.lastProgress is None:
+        return spark.createDataFrame([], result.schema)
+    rest = [c for c in result.columns if c not in keys]
+    rows = spark.read.schema(T.StructType([*result.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
