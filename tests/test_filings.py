@@ -4,11 +4,12 @@ import json
 import random
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.operators import carried, chunks, evidence, extraction, graph, merge, ordering, retrieval, timeline
 from tallyfold.operators import cards as cards_of
-from tallyfold.sources import markup, submissions
+from tallyfold.sources import markup, submissions, tables
 from tallyfold.streaming import ledger
 
 PAGE = """<html><head><title>no</title></head><body><ix:header><p>machine</p></ix:header>
@@ -222,3 +223,23 @@ def test_streamed_days_count_rows_far_behind_the_newest(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "ai_usage_logs.parquet"))
     result = ledger.drained(ledger.daily(ledger.once(ledger.attempts(spark, str(tmp_path)))), f"file://{tmp_path}", "late_rows")
     assert {(r.day, r.attempts, r.failed) for r in result.collect()} == {(date(2025, 1, 1), 2, 1), (date(2025, 10, 1), 1, 0)}
+
+
+def test_published_tables_are_replaced_as_a_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    first = tables.published(spark.range(3), path)
+    second = tables.published(spark.range(5, 7), path)
+    assert sorted(r.id for r in second.collect()) == [5, 6] and tables.current(spark, path).count() == 2
+    assert first.count() == 3  # a reader of the old version keeps it
+    with pytest.raises(Exception, match="no more"):
+        tables.published(spark.range(2).select(F.raise_error(F.lit("no more")).cast("bigint").alias("id")), path)
+    assert tables.current(spark, path).count() == 2
+
+
+def test_sums_before_and_names_in_texts(spark):
+    rows = spark.createDataFrame([(e, i, i % 4) for e in ("a", None) for i in range(12)], "e string, i int, v int")
+    got = {(r.e, r.i): r.s for r in ordering.with_sum_before(rows, ["e"], ["i"], F.floor(F.col("i") / 5), F.col("v"), "s").collect()}
+    assert got == {(e, i): sum(k % 4 for k in range(i)) for e in ("a", None) for i in range(12)}
+    texts = spark.createDataFrame([(1, "c", "The New York plant and new york"), (2, "c", "newyork"), (3, "d", "New York"), (4, "c", None), (5, "c", "Energy of New")], "k int, cik string, text string")
+    names = spark.createDataFrame([("c", "ny", "New  York"), ("c", "nyp", "new york plant"), ("c", "e", "Energy"), ("c", "none", "--"), ("c", "nn", None)], "cik string, slug string, name string")
+    assert {(r.k, r.slug) for r in evidence.names_in(texts, names, "k").collect()} == {(1, "ny"), (1, "nyp"), (5, "e")}
