@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions.sentences import sentence_spans
 from tallyfold.operators import chunks as CH
 from tallyfold.operators import extraction as X
+from tallyfold.plans.memory import _FOLDQ
 from tallyfold.plans.model import extractions, filings, paragraphs, sql, table
 from tallyfold.sources import markup
 
@@ -74,7 +75,7 @@ QUERIES = {
 _CHECKED = r""", k AS (SELECT document_id, paragraph_id, arg_min(text, block_id) AS paragraph FROM par GROUP BY 1, 2), a AS (SELECT ext.*, k.paragraph, trim(regexp_replace(name, '[\s\x{a0}]+', ' ', 'g')) AS nm FROM ext LEFT JOIN k USING (document_id, paragraph_id)),
   c AS (SELECT extracted_id, document_id, paragraph_id, CASE WHEN coalesce(length(nm), 0) = 0 THEN 'no name' WHEN NOT coalesce(entity_type IN ('company', 'executive', 'geography', 'metric', 'product', 'risk', 'segment', 'strategy'), false) THEN 'unknown kind'
     WHEN confidence IS NULL OR isnan(confidence) OR confidence NOT BETWEEN 0 AND 1 THEN 'confidence out of range' WHEN paragraph IS NULL THEN 'no such paragraph' WHEN coalesce(length(trim(quote)), 0) = 0 THEN 'no quote'
-    WHEN len(string_split(nm, ' ')) > 7 THEN 'a phrase, not a name' WHEN NOT (contains(paragraph, quote)) THEN 'the quote is not in the paragraph' END AS reason FROM a)"""
+    WHEN len(string_split(nm, ' ')) > 7 THEN 'a phrase, not a name' WHEN NOT (contains(paragraph, quote) OR contains(""" + _FOLDQ.format(c="paragraph") + ", " + _FOLDQ.format(c="quote") + """)) THEN 'the quote is not in the paragraph' END AS reason FROM a)"""
 _HEADING = r"length({t}) <= 120 AND regexp_matches({t}, '(?i)^(part\s+[ivx]+\b|item\s+\d+[a-z]?)')"
 
 # paragraphs of more than 600 tokens in parts of whole sentences, packed greedily one piece at a time

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyfold.plans import cards, dealt, derived, entries, ledger, memory, more, pages, parsing, scalars, sources, streams
+from tallyfold.plans import cards, dealt, derived, entries, labels, ledger, memory, more, pages, parsing, scalars, sources, streams
 
-MODULES = (dealt, scalars, ledger, derived, memory, cards, parsing, streams, more, entries, pages, sources)
+MODULES = (dealt, scalars, ledger, derived, memory, cards, parsing, streams, more, entries, pages, sources, labels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
