@@ -93,6 +93,8 @@ UNITS: tuple[tuple[str, str, str, str, str], ...] = (
 SCALES: tuple[tuple[str, str], ...] = (("1000", r"thousands?"), ("1000000", r"millions?"), ("1000000000", r"billions?"), ("12", r"dozens?"))
 #: Words around a unit that name none.
 FILLERS = r"in|of|a|the|figures|reported|as|presented|calendar|from|summary|table"
+#: Kinds with units that differ in their zero.
+BENT = tuple(sorted({kind for kind, _, _, shift in CONVERSIONS if shift != "0"}))
 #: Kinds whose bare unit leaves the scale open to the prose.
 OPEN = ("USD", "EUR", "GBP", "JPY", "count")
 PLACEHOLDERS = ("", "n/a", "na", "see text", "unknown", "none", "null", "-", "tbd", "?")
@@ -272,23 +274,24 @@ SIZE = ("num", "den", "shift", "scale")
 def _snap(kind: Column, a: Column, b: Column) -> Column:
     """The known conversion of the kind nearest to the line a * value + b: one percent in scale, and as near in offset."""
     known = _table([(k, math.log10(a_), b_, *r) for k, *r, a_, b_ in _conversions()], ("kind", "log", "b", *SIZE))
-    near = F.filter(known, lambda z: (z["kind"] == kind) & (F.abs(F.log10(a) - z["log"]) < 0.0043) & (F.abs(b - z["b"]) <= 0.02 * F.abs(z["b"])))
+    near = F.filter(known, lambda z: (z["kind"] == kind) & (F.abs(F.log10(a) - z["log"]) < 0.0043) & (F.abs(b - z["b"]) <= 0.02 * F.abs(z["b"]) + 0.01))
     return F.array_min(F.transform(near, lambda z: F.struct(F.abs(F.log10(a) - z["log"]).alias("off"), z["num"].alias("num"), z["den"].alias("den"), z["shift"].alias("shift"), z["scale"].alias("scale"))))
 
 
-def sources(links: DataFrame, units: tuple[tuple[str, str, str, str, str], ...] = UNITS, support: int = 3) -> DataFrame:
+def sources(links: DataFrame, units: tuple[tuple[str, str, str, str, str], ...] = UNITS, support: int = 3, words: DataFrame | None = None) -> DataFrame:
     """The source graph, propagated: id (`R:` or `W:` and the phrase), kind (null where links agree on the size only), num, den, shift, scale.
 
     Anchors start it.  In each round a source next to known ones is voted on by its links: a neighbour's line and the
     pair's scale and offset give the source's line, snapped to a known conversion; a phrase that is recorded and written
     alike votes for itself, unless its scale is open.  The size with at least `support`
     links and nine tenths of the votes holds, and so does the kind.  Rounds end when no source is new, so their number is
-    bounded by that of the sources.  Sources whose links disagree get no size: that marks an open scale.
+    bounded by that of the sources.  `words` is the `dictionary` of all phrases, if there is one already.  Sources whose links disagree get no size: that marks an open scale.
     """
     e = edges(links)
     e = written(e.where((F.col("a") != F.col("b")) & F.col("log_scale").isNotNull()), "unit-edges")
     nodes = e.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("node", F.substring("id", 3, 1 << 20))
-    read = written(nodes.join(dictionary(nodes.select("node").distinct(), units), "node"), "unit-nodes")
+    read = nodes.join(dictionary(nodes.select("node").distinct(), units) if words is None else words, "node")
+    read = written(read, "unit-nodes")
     usable = read.where(~F.col("excluded"))
     # a recorded spelling without a scale word may be of any scale in these kinds
     bare = F.col("id").startswith("R:") & F.col("kind").isin(*OPEN) & F.col("scale").isNull()
@@ -302,9 +305,12 @@ def sources(links: DataFrame, units: tuple[tuple[str, str, str, str, str], ...]
     while True:
         size = F.col("num").cast("double") / F.col("den").cast("double") * F.col("scale").cast("double")
         votes = both.join(known.select("id"), "id", "left_anti").join(known.select(F.col("id").alias("at"), "kind", size.alias("size"), (size * F.col("shift").cast("double")).alias("shifted")).where(F.col("kind").isNotNull()), "at")
-        pure = F.when((F.col("spread") < 0.02) & (F.col("shifted") == 0), _snap(F.col("kind"), F.col("size") * F.pow(F.lit(10.0), "log"), F.lit(0.0)))
-        bent = F.when(F.col("slope") > 0, _snap(F.col("kind"), F.col("size") * F.col("slope"), F.col("size") * F.col("offset") + F.col("shifted")))
-        votes = votes.withColumn("s", F.coalesce(pure, F.when(bent["shift"] != "0", bent), F.when((F.col("spread") < 0.02) & (F.col("slope") > 0) & (F.col("shifted") != 0), bent))).where(F.col("s").isNotNull())
+        # kinds whose units differ in their zero are lines, all others pure scales
+        bent = F.col("kind").isin(*BENT)
+        fits = F.when(bent, F.col("slope") > 0).otherwise(F.col("spread") < 0.02)
+        steep = F.when(bent, F.col("size") * F.col("slope")).otherwise(F.col("size") * F.pow(F.lit(10.0), "log"))
+        zero = F.when(bent, F.col("size") * F.col("offset") + F.col("shifted")).otherwise(0.0)
+        votes = votes.where(fits).withColumn("s", _snap(F.col("kind"), steep, zero)).where(F.col("s").isNotNull())
         votes = votes.select("id", "kind", *[f"s.{c}" for c in SIZE], "n")
         twin = F.concat(F.when(F.col("id").startswith("R:"), "W:").otherwise("R:"), F.substring("id", 3, 1 << 20))
         twins = known.where(F.col("kind").isNotNull() & (~F.col("kind").isin(*OPEN) | (F.col("scale") != "1"))).select(twin.alias("id"), "kind", *SIZE, F.lit(support).cast("bigint").alias("n"))
@@ -329,7 +335,7 @@ def harmonised(df: DataFrame, filings: DataFrame | None = None, units: tuple[tup
     words = written(dictionary(links.select(F.explode(F.array_compact(F.array("u", "w", "h"))).alias("node")).distinct(), units), "unit-dictionary")
     c = F.col
     own = words.select("node", "excluded", "whole", "kind", *[F.when(c("whole"), c(x)).alias(x) for x in SIZE])
-    sized = sources(links, units).select("id", c("kind").alias("g_kind"), *[c(x).alias(f"g_{x}") for x in SIZE])
+    sized = sources(links, units, words=words).select("id", c("kind").alias("g_kind"), *[c(x).alias(f"g_{x}") for x in SIZE])
     if not graph:
         sized = sized.where("false")
     # a vocabulary of spellings, whose size is checked before it is sent to every task
