@@ -247,7 +247,7 @@ _CARDS = "CASE WHEN f.form_type IN ('10-K', '10-Q') THEN 'revenue' END AS c1, CA
 _ROUTED = f", rt AS (SELECT s.document_id, s.ordinal, {_CARDS} FROM (SELECT document_id, ordinal, min(title) AS title FROM sections GROUP BY 1, 2) s JOIN fil f USING (document_id)), rc AS (SELECT document_id, ordinal, [x FOR x IN [c1, c2, c3, c4] IF x IS NOT NULL] AS c FROM rt)"
 
 SQL = {
-    "agg14_memory_overview": sql("SELECT cik, count(*) AS entities, sum(mention_count) AS mentions, min(first_seen) AS first_seen, max(latest_seen) AS latest_seen, string_agg(slug, ',' ORDER BY mention_count DESC, slug) FILTER (p <= 10) AS top FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY mention_count DESC, slug) AS p FROM ent) GROUP BY 1", "ent"),
+    "agg14_memory_overview": sql("SELECT cik, count(*) AS entities, CAST(sum(mention_count) AS BIGINT) AS mentions, min(first_seen) AS first_seen, max(latest_seen) AS latest_seen, string_agg(slug, ',' ORDER BY mention_count DESC, slug) FILTER (p <= 10) AS top FROM (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY mention_count DESC, slug) AS p FROM ent) GROUP BY 1", "ent"),
     "agg19_typed_edges": sql(_TYPED + " SELECT cik, source, target, relationship, weight, CAST(len(documents) AS INT) AS documents, first_seen, last_seen FROM typed", "men", "ent"),
     "agg20_shared_filings": sql(_CO + " SELECT cik, source, target, weight, first_seen, last_seen FROM cospan", "men", "ent"),
     "agg21_earlier_date": sql("SELECT document_id, least(filed_at, CAST(published_at AS DATE)) AS earlier FROM fil", "fil"),
@@ -255,8 +255,8 @@ SQL = {
     "agg27_merged_risks": sql("SELECT cik, slug, mention_count, first_seen, latest_seen, CASE WHEN latest_seen < newest THEN 'dropped' ELSE 'active' END AS status FROM ent JOIN (SELECT cik, max(filed_at) AS newest FROM fil GROUP BY 1) USING (cik) WHERE entity_type = 'risk'", "ent"),
     "agg28_extended_span": "SELECT card_id, min(least(as_of, CAST(created_at AS DATE))) AS since, max(greatest(as_of, CAST(created_at AS DATE))) AS until FROM card_revisions GROUP BY 1",
     "agg31_seed_listing": sql("SELECT slug, name, count(*) AS mentions, min(mention_id) AS first_mention FROM men GROUP BY 1, 2", "men"),
-    "agg34_entities_of_kinds": sql("SELECT entity_type, count(*) AS entities, sum(mention_count) AS mentions FROM ent GROUP BY 1", "ent"),
-    "agg37_tokens_by_model": sql("SELECT provider, model, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens, sum(cached_tokens) AS cached_tokens FROM usage1 GROUP BY 1, 2", "usage1"),
+    "agg34_entities_of_kinds": sql("SELECT entity_type, count(*) AS entities, CAST(sum(mention_count) AS BIGINT) AS mentions FROM ent GROUP BY 1", "ent"),
+    "agg37_tokens_by_model": sql("SELECT provider, model, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cached_tokens) AS BIGINT) AS cached_tokens FROM usage1 GROUP BY 1, 2", "usage1"),
     "agg38_cache_rate": sql("SELECT model, round_even(coalesce(sum(cached_tokens)::DOUBLE / nullif(sum(input_tokens), 0), 0), 4) AS rate FROM usage1 GROUP BY 1", "usage1"),
     "agg39_cache_rate_of_answers": sql("SELECT usage_id, round_even(coalesce(cached_tokens::DOUBLE / nullif(input_tokens, 0), 0), 4) AS rate FROM usage1", "usage1"),
     "agg40_acceptance": sql(_CHECKED + " SELECT document_id, count(*) AS extractions, round_even(count(*) FILTER (reason IS NULL)::DOUBLE / count(*), 4) AS accepted FROM c GROUP BY 1", "ext", "par"),
@@ -295,7 +295,7 @@ SQL = {
     "msc17_history": "SELECT card_id, string_agg(revision_id::VARCHAR, ',' ORDER BY revision NULLS FIRST, revision_id) AS history FROM (SELECT DISTINCT card_id, revision, revision_id FROM card_revisions) GROUP BY 1",
     "msc20_kinds_as_text": sql("SELECT string_agg(DISTINCT entity_type, chr(10) ORDER BY entity_type) AS text FROM ext", "ext"),
     "msc36_usage_as_json": sql("SELECT usage_id, json_object('input_tokens', input_tokens, 'output_tokens', output_tokens, 'cached_tokens', cached_tokens)::VARCHAR AS usage FROM usage1", "usage1"),
-    "msc40_chunks_written": _RECURSIVE(_PACKED + " SELECT count(*) AS chunks, sum(tokens) AS tokens FROM chunked", "par"),
+    "msc40_chunks_written": _RECURSIVE(_PACKED + " SELECT count(*) AS chunks, CAST(sum(tokens) AS BIGINT) AS tokens FROM chunked", "par"),
     "msc42_pages": sql(", pg AS (SELECT document_id, page_number, count(*) AS paragraphs FROM par WHERE page_number > 0 GROUP BY 1, 2) SELECT *, lag(page_number) OVER w AS before, lead(page_number) OVER w AS after FROM pg WINDOW w AS (PARTITION BY document_id ORDER BY page_number)", "par"),
     "msc43_reading_view": sql("SELECT document_id, page_number, string_agg(paragraph_id, ',' ORDER BY ordinal, block_id) AS paragraph_ids, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_number NULLS LAST) AS INT) AS place FROM par GROUP BY 1, 2", "par"),
     "msc48_event_log": "SELECT event_type, count(*) AS events, min(event_id) AS first, max(event_id) AS last FROM events WHERE event_type IS NOT NULL GROUP BY 1",
