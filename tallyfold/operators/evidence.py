@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions import text as T
+from tallyfold.storage import written
+
+#: Rows at most of the table that tells where a name may begin: it is sent to every task, however many names there are.
+SLOTS = 1 << 21
 
 
 def resolved(citations: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -61,13 +65,18 @@ def document_stats(paragraphs: DataFrame) -> DataFrame:
 def names_in(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """key, slug: the names of a company (cik, slug, name) that stand in its texts (key, cik, text), adjacent and whole.
 
-    Texts and names meet in the first two words of a name, or in its only one, so no text is held against a name that
-    does not begin in it.
+    Texts and names meet in the first two words of a name, or in its only one.  A place in a text is sent only if a name
+    may begin there, which a table of at most SLOTS rows tells before anything is sent, and it takes along as many words
+    as the longest such name has, never the text.
     """
-    words = T.said(F.col("name"))
-    opening = names.withColumn("__w", words).where(F.size("__w") > 0).withColumn("__o", F.array_join(F.slice("__w", 1, 2), " ")).select("cik", "slug", F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")).alias("__n"), "__o")
-    said = texts.select(key, "cik", T.said(F.col("text")).alias("__w"))
-    pairs = F.transform(F.col("__w"), lambda w, i: F.concat_ws(" ", w, F.get("__w", i + 1)))
-    starts = said.select(key, "cik", F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")).alias("__t"), F.explode(F.array_distinct(F.concat("__w", pairs))).alias("__o"))
-    met = starts.join(opening, ["cik", "__o"]).where(F.instr(F.col("__t"), F.col("__n")) > 0)
+    slot = F.xxhash64("cik", "__o").bitwiseAND(F.lit(SLOTS - 1))
+    named = names.select("cik", "slug", T.said(F.col("name")).alias("__w")).where(F.size("__w") > 0)
+    known = written(named.select("cik", "slug", F.array_join("__w", " ").alias("__n"), F.array_join(F.slice("__w", 1, 2), " ").alias("__o"), F.size("__w").alias("__size")), "names")
+    slots = known.groupBy(slot.alias("__slot")).agg(F.max("__size").alias("__most"))
+    # outer: else Spark looks for a text's words once more, to tell whether it has any
+    places = texts.select(key, "cik", T.said(F.col("text")).alias("__w")).select(key, "cik", "__w", F.posexplode_outer("__w").alias("__i", "__first"))
+    openings = F.array("__first", F.concat_ws(" ", "__first", F.get("__w", F.col("__i") + 1)))
+    starts = places.select(key, "cik", "__w", "__i", F.explode(openings).alias("__o")).withColumn("__slot", slot).join(F.broadcast(slots), "__slot")
+    runs = starts.select(key, "cik", "__o", F.array_join(F.slice("__w", F.col("__i") + 1, F.col("__most")), " ").alias("__run"))
+    met = runs.join(known, ["cik", "__o"]).where(F.startswith(F.concat("__run", F.lit(" ")), F.concat("__n", F.lit(" "))))
     return met.select(key, "slug").distinct()

@@ -243,3 +243,34 @@ def test_sums_before_and_names_in_texts(spark):
     texts = spark.createDataFrame([(1, "c", "The New York plant and new york"), (2, "c", "newyork"), (3, "d", "New York"), (4, "c", None), (5, "c", "Energy of New")], "k int, cik string, text string")
     names = spark.createDataFrame([("c", "ny", "New  York"), ("c", "nyp", "new york plant"), ("c", "e", "Energy"), ("c", "none", "--"), ("c", "nn", None)], "cik string, slug string, name string")
     assert {(r.k, r.slug) for r in evidence.names_in(texts, names, "k").collect()} == {(1, "ny"), (1, "nyp"), (5, "e")}
+
+
+def sent(spark):
+    """Bytes that all tasks have written for shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    return sc.statusStore().executorList(True).head().totalShuffleWrite()
+
+
+def test_texts_are_not_sent_with_each_of_their_words(spark):
+    random.seed(3)
+    words = [f"{random.getrandbits(40):x}" for _ in range(3000)]
+    texts = spark.createDataFrame([(i, "c", " ".join(words[i:] + words[:i])) for i in range(4)], "k int, cik string, text string")
+    names = spark.createDataFrame([("c", "two", " ".join(words[10:12])), ("c", "five", " ".join(words[100:105])), ("d", "other", words[7]), ("c", "turned", " ".join([words[-1], *words[:2]]))], "cik string, slug string, name string")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = sent(spark)
+        got = {(r.k, r.slug) for r in evidence.names_in(texts, names, "k").collect()}
+        assert sent(spark) - before < 4 * 3000 * 11  # no more than the texts themselves
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert got == {(k, s) for k in range(4) for s in ("two", "five")} | {(2, "turned"), (3, "turned")}
+
+
+@pytest.mark.parametrize("slots", [1, 2, 1 << 21])
+def test_names_that_share_a_slot_are_told_apart(spark, monkeypatch, slots):
+    monkeypatch.setattr(evidence, "SLOTS", slots)
+    texts = spark.createDataFrame([(1, "c", "Net sales rose; net sales of new plants fell. Net"), (2, "d", "net sales of new plants"), (3, "c", "sales of"), (4, "c", ""), (5, None, "net sales")], "k int, cik string, text string")
+    names = spark.createDataFrame([("c", "all", "net sales of new plants"), ("c", "net", "NET"), ("c", "ns", "net-sales"), ("c", "over", "fell net sales"), ("c", "end", "fell. Net"), ("d", "d", "of new plants"), (None, "none", "net")], "cik string, slug string, name string")
+    assert {(r.k, r.slug) for r in evidence.names_in(texts, names, "k").collect()} == {(1, "all"), (1, "net"), (1, "ns"), (1, "end"), (2, "d")}
