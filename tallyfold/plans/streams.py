@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from tallyfold.plans.model import sql
+from tallyfold.plans.model import latest, sql
 from tallyfold.storage import shared_folder
 from tallyfold.streaming import ledger
 
 
 def _daily(s, d):
     name = f"daily_{uuid.uuid4().hex}"
-    return ledger.drained(ledger.daily(ledger.once(ledger.attempts(s, d))), shared_folder(s), name)
+    columns = ("created_at", "provider", "estimated_cost_usd", "status")
+    rows = ledger.arrived(ledger.attempts(s, d).select("usage_id", "received_at", *columns), shared_folder(s), name)
+    return ledger.by_day(latest(rows, "usage_id", "received_at", columns=columns))
 
 
 QUERIES = {"ext_streamed_days": _daily}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,30 +31,59 @@ def once(stream: DataFrame, late: str | None = None) -> DataFrame:
     return timed.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["usage_id"])
 
 
+def _sums() -> list[Column]:
+    return [F.sum("estimated_cost_usd").cast("decimal(38,6)").alias("cost"), F.count("*").alias("attempts"), F.count_if(F.col("status") == "failed").alias("failed")]
+
+
 def daily(stream: DataFrame) -> DataFrame:
     """Cost, attempts and failures per provider and day; with a watermark a day is final once it has passed."""
-    return stream.groupBy(F.window("event_time", "1 day").alias("w"), "provider").agg(
-        F.sum("estimated_cost_usd").alias("cost"), F.count("*").alias("attempts"), F.count_if(F.col("status") == "failed").alias("failed")
-    ).select(F.to_date("w.start").alias("day"), "provider", F.col("cost").cast("decimal(38,6)").alias("cost"), "attempts", "failed")
+    return stream.groupBy(F.window("event_time", "1 day").alias("w"), "provider").agg(*_sums()).select(F.to_date("w.start").alias("day"), "provider", "cost", "attempts", "failed")
 
 
-def drained(result: DataFrame, folder: str, name: str, keys: tuple[str, ...] = ("day", "provider")) -> DataFrame:
-    """Run a stream over all that is there now and give what it has written: for each key its newest row.
+def by_day(rows: DataFrame) -> DataFrame:
+    """The same of a table's rows, those without a time too."""
+    return rows.groupBy(F.to_date("created_at").alias("day"), "provider").agg(*_sums())
+
 
-    A micro-batch writes the rows it changed to a table of its own in the shared folder, and again if it is repeated, so
-    nothing is collected and a lost executor costs a re-read.  The tables go with the application.
+def _written(stream: DataFrame, folder: str, name: str, mode: str) -> DataFrame | None:
+    """Run a stream over all that is there now and give what its micro-batches wrote, with the number of the batch; None if there was none.
+
+    A micro-batch writes its rows to a table of its own in the shared folder, and again if it is repeated, so nothing is
+    collected and a lost executor costs a re-read.  The tables go with the application.
     """
-    spark = result.sparkSession
+    spark = stream.sparkSession
     out, checkpoint = f"{folder}/{name}/batches", f"{folder}/{name}/checkpoint"
+    numbers = set()
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        numbers.add(number)
 
     atexit.register(remove, spark, f"{folder}/{name}")
-    query = result.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    if query.lastProgress is None:
-        return spark.createDataFrame([], result.schema)
+    if not numbers:
+        return None
+    return spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+
+
+def arrived(stream: DataFrame, folder: str, name: str) -> DataFrame:
+    """All rows of a stream that are there now, each with the number of its micro-batch as `batch`.
+
+    The stream keeps no state, so a micro-batch costs what its own rows cost, however many came before; what a fold over
+    all rows needs (each id once, sums by day) is done once, over the table.
+    """
+    rows = _written(stream, folder, name, "append")
+    return stream.sparkSession.createDataFrame([], T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])) if rows is None else rows
+
+
+def drained(result: DataFrame, folder: str, name: str, keys: tuple[str, ...] = ("day", "provider")) -> DataFrame:
+    """Run a stream with state over all that is there now and give what it has written: for each key its newest row.
+
+    State is read and written anew for each micro-batch: to replay many files at once, see `arrived`.
+    """
+    rows = _written(result, folder, name, "update")
+    if rows is None:
+        return result.sparkSession.createDataFrame([], result.schema)
     rest = [c for c in result.columns if c not in keys]
-    rows = spark.read.schema(T.StructType([*result.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")

@@ -3,12 +3,15 @@
 import json
 import random
 from datetime import date, datetime
+from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.operators import carried, chunks, evidence, extraction, graph, merge, ordering, retrieval, timeline
 from tallyfold.operators import cards as cards_of
+from tallyfold.plans import streams
 from tallyfold.sources import markup, submissions, tables
 from tallyfold.streaming import ledger
 
@@ -274,3 +277,30 @@ def test_names_that_share_a_slot_are_told_apart(spark, monkeypatch, slots):
     texts = spark.createDataFrame([(1, "c", "Net sales rose; net sales of new plants fell. Net"), (2, "d", "net sales of new plants"), (3, "c", "sales of"), (4, "c", ""), (5, None, "net sales")], "k int, cik string, text string")
     names = spark.createDataFrame([("c", "all", "net sales of new plants"), ("c", "net", "NET"), ("c", "ns", "net-sales"), ("c", "over", "fell net sales"), ("c", "end", "fell. Net"), ("d", "d", "of new plants"), (None, "none", "net")], "cik string, slug string, name string")
     assert {(r.k, r.slug) for r in evidence.names_in(texts, names, "k").collect()} == {(1, "all"), (1, "net"), (1, "ns"), (1, "end"), (2, "d")}
+
+
+def test_the_replayed_ledger_keeps_no_state_and_the_last_delivery(spark, tmp_path, monkeypatch):
+    schema = "usage_id bigint, received_at timestamp_ntz, created_at timestamp_ntz, provider string, estimated_cost_usd decimal(12,6), status string"
+    day, one, two = datetime(2025, 3, 1, 23, 59), Decimal("1.5"), Decimal("2.25")
+    parts = [
+        [(1, datetime(2025, 3, 3), day, "x", one, "failed"), (2, None, day, "x", one, "ok"), (4, day, None, None, None, None)],
+        [(1, datetime(2025, 3, 4), day, "x", two, "ok"), (2, datetime(2025, 3, 2), day, "y", two, "failed"), (1, datetime(2025, 3, 1), day, "z", one, "ok")],
+        [(3, day, datetime(2025, 3, 2), "x", one, "ok"), (3, day, datetime(2025, 3, 2), "x", one, "ok"), (5, day, None, "x", two, "failed")],
+    ]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "ai_usage_logs.parquet"))
+    monkeypatch.setattr(streams, "shared_folder", lambda s: f"file://{tmp_path}/shared")
+    result = streams.QUERIES["ext_streamed_days"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW ai_usage_logs AS SELECT * FROM '{tmp_path}/ai_usage_logs.parquet/*.parquet'")
+    got = {tuple(r) for r in result.select("day", "provider", "cost", "attempts", "failed").collect()}
+    assert got == set(con.execute(streams.SQL["ext_streamed_days"]).fetchall()) and len(got) == 5
+    assert list(tmp_path.glob("shared/*/checkpoint/commits/2")) and not list(tmp_path.glob("shared/*/checkpoint/state/*"))
+
+
+def test_a_replay_of_nothing_is_empty(spark, tmp_path):
+    spark.range(0).write.parquet(str(tmp_path / "ai_usage_logs.parquet"))
+    for f in (tmp_path / "ai_usage_logs.parquet").glob("part*"):
+        f.rename(tmp_path / f.name)
+    stream = spark.readStream.schema("id bigint").parquet(str(tmp_path / "ai_usage_logs.parquet"))
+    assert ledger.arrived(stream, f"file://{tmp_path}", "none").count() == 0
